@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def id_crc(col: str | Column = "doc_id") -> Column:
 
 def text_slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts take about ``limit`` bytes (one row at least)."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     begin = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > limit:
