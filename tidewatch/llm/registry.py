@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of the operators; each has QUERIES and ORACLE.
-MODULES = ("telephony", "byte_bpe", "packing")
+MODULES = ("sharding", "telephony", "byte_bpe", "packing")
 
 
 def _merged(what: str) -> dict:
