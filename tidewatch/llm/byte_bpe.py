@@ -8,7 +8,7 @@ Equal pairs of one word contract in one round where that gives the same result a
 ``_merges``), so a word of many repeats doesn't need a round each. Ordered aggregation turns the rows
 into ids, and ids back into bytes.
 
-What a worker has learnt is kept in memos of bounded size and reused by later tasks.
+What a worker has learnt is kept in a memo of bounded size and reused by later tasks.
 
 Edge cases: a null text is an empty text (no tokens, the digest of nothing); repeated rows give repeated
 results; extra columns are ignored; an empty table gives an empty result; unpaired surrogates cannot
@@ -30,12 +30,12 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.common import read, text_slices
 
-#: Chunks and words that a worker remembers at most, but for those of one slice; beyond it a memo starts anew.
-MEMO, MEMO_WORDS = 250_000, 700_000
+#: Chunks and words that a worker remembers at most, but for those of one slice; beyond it the memo starts anew.
+MEMO = 1_200_000
 #: Bytes of a word that the query for short words takes.
 SHORT = 64
 #: Words given to one DuckDB query.
-WORDS = 20_000
+WORDS = 15_000
 
 _SPLIT = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"\s |^ ")
@@ -59,8 +59,8 @@ WITH RECURSIVE state(w, toks) AS (
             ) p JOIN merges m USING (pair) GROUP BY p.w
         )
     )
-)
-SELECT w, arg_min(toks, len(toks)) AS ids FROM state GROUP BY w ORDER BY w
+),
+encoded AS (SELECT w, arg_min(toks, len(toks)) AS ids FROM state GROUP BY w)
 """
 
 #: The same for words of any length. All pairs of a word that equal its best pair contract in one round
@@ -91,14 +91,15 @@ WITH RECURSIVE state(w, pos, tok, round) AS (
         ) WHERE best IS NOT NULL
     ) WHERE NOT eaten
 ),
-last AS (SELECT w, pos, tok FROM state QUALIFY round = max(round) OVER (PARTITION BY w))
-SELECT w, list(tok ORDER BY pos) AS ids FROM last GROUP BY w ORDER BY w
+last AS (SELECT w, pos, tok FROM state QUALIFY round = max(round) OVER (PARTITION BY w)),
+encoded AS (SELECT w, list(tok ORDER BY pos) AS ids FROM last GROUP BY w)
 """
 
+#: Ends both: ids as text, and the bytes that they decode to, both by ordered aggregation.
 _DECODE = """
-SELECT w, unhex(string_agg(hex(v.bytes), '' ORDER BY p.pos)) AS bytes
-FROM (SELECT w, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM encoded) p
-JOIN vocabulary v ON v.id = p.tok GROUP BY w ORDER BY w
+SELECT count(*) AS n, string_agg(v.id::VARCHAR, ' ' ORDER BY p.pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY p.pos)) AS bytes
+FROM (SELECT w, unnest(ids) AS tok, unnest(range(len(ids))) AS pos FROM encoded) p
+JOIN vocabulary v ON v.id = p.tok GROUP BY p.w ORDER BY p.w
 """
 
 
@@ -131,24 +132,23 @@ class Codec:
         merges = _merges(ranks)
         tables = {
             "merges": pa.table({"pair": [m[0] * 65536 + m[1] for m in merges], "merged": [m[2] for m in merges], "safe": [m[3] for m in merges]}),
-            "vocabulary": pa.table({"id": list(ranks.values()), "bytes": list(ranks)}),
+            "vocabulary": pa.table({"id": list(ranks.values()), "hex": [x.hex() for x in ranks]}),
         }
         for name, table in tables.items():
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.memo: tuple[dict, dict, dict] = ({}, {}, {})
+        self.memo: dict[str, tuple[int, str, bytes]] = {}
 
-    def words(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
-        """Ids of each word, and the bytes that they decode to."""
+    def words(self, words: list[bytes]) -> list[tuple[int, str, bytes]]:
+        """Number of ids of each word, the ids, and the bytes that they decode to."""
         out: list = [None] * len(words)
         short, long = [], []
         for i, x in enumerate(words):
             whole = self.ranks.get(x)  # a word that is a token needs no merge
             if whole is not None:
-                out[i] = ([whole], x)
+                out[i] = (1, str(whole), x)
             else:
                 (short if len(x) <= SHORT else long).append(i)
         for which, query, size in ((short, _SHORT_WORDS, WORDS), (long, _LONG_WORDS, 50)):
@@ -158,7 +158,7 @@ class Codec:
                     out[i] = found
         return out
 
-    def _contract(self, words: list[bytes], query: str) -> list[tuple[list[int], bytes]]:
+    def _contract(self, words: list[bytes], query: str) -> Iterator[tuple[int, str, bytes]]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         tok = self.single[np.frombuffer(b"".join(words), np.uint8)]
         if (tok < 0).any():
@@ -166,45 +166,36 @@ class Codec:
         w = np.repeat(np.arange(len(words)), lengths)
         pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.db.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
-        encoded = self.db.sql(query).to_arrow_table()
-        self.db.register("encoded", encoded)
-        decoded = self.db.sql(_DECODE).to_arrow_table()
+        found = self.db.sql(query + _DECODE).to_arrow_table()
         self.db.unregister("start")
-        self.db.unregister("encoded")
-        return list(zip(encoded.column("ids").to_pylist(), decoded.column("bytes").to_pylist(), strict=True))
-
-    def learn(self, chunks: set[str]) -> None:
-        """Adds chunks to the memo."""
-        if len(self.memo[0]) + len(chunks) > MEMO:
-            for x in self.memo:
-                x.clear()
-        found = {c: self.find(c) for c in chunks}
-        words = {m for ms in found.values() for m in ms}
-        if len(self.known) + len(words) > MEMO_WORDS:
-            self.known.clear()
-        known = self.known
-        new = sorted(words.difference(known))
-        for x, (ids, back) in zip(new, self.words([x.encode() for x in new]), strict=True):
-            known[x] = (len(ids), " ".join(map(str, ids)), back)
-        counts, texts, decoded = self.memo
+        return zip(*(found.column(c).to_pylist() for c in ("n", "ids", "bytes")), strict=True)
+
+    def learn(self, new: set[str]) -> None:
+        """Adds chunks, and the matches that they are made of, to the memo."""
+        memo, find = self.memo, self.find
+        # letters after one space are a single match; the pattern finds the others
+        single = {c for c in new if c[0] == " " and c[1:].isalpha() and c.isascii()}
+        found = {c: find(c) for c in new.difference(single)}
+        words = list(single.union(*found.values()).difference(memo))
+        memo.update(zip(words, self.words([x.encode() for x in words]), strict=True))
         for c, ms in found.items():
-            if len(ms) == 1:
-                counts[c], texts[c], decoded[c] = known[ms[0]]
-            else:
-                n, ids, back = zip(*[known[m] for m in ms], strict=True)
-                counts[c], texts[c], decoded[c] = sum(n), " ".join(ids), b"".join(back)
+            if len(ms) > 1:
+                n, ids, back = zip(*[memo[m] for m in ms], strict=True)
+                memo[c] = sum(n), " ".join(ids), b"".join(back)
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Number of ids, the ids joined by spaces, and the decoded bytes of each text."""
         cut = [chunks(x) for x in texts]
-        new = set().union(*cut).difference(self.memo[0])
-        if new and len(self.memo[0]) + len(new) > MEMO:  # what follows must find all chunks of these texts
+        new = set().union(*cut).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO and self.memo:
+            self.memo.clear()
             new = set().union(*cut)
         if new:
             self.learn(new)
-        n, ids, back = (x.__getitem__ for x in self.memo)
+        known = self.memo.__getitem__
         for c in cut:
-            yield sum(map(n, c)), " ".join(map(ids, c)), b"".join(map(back, c))
+            rows = list(map(known, c))
+            yield sum([x[0] for x in rows]), " ".join([x[1] for x in rows]), b"".join([x[2] for x in rows])
 
 
 def chunks(text: str) -> list[str]:
