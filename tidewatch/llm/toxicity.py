@@ -245,11 +245,11 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
         x = _kernel(words, np.ascontiguousarray(phi.T)).astype(np.float64) @ root
         y = np.r_[np.ones(2 * len(good)), -np.ones(len(bad))]
         times = np.array([min(chosen[w], 20) for w in good], float)
-        cost = 20 * np.r_[times / times.sum(), 0.5 * times / times.sum(), np.full(len(bad), 1.5 / len(bad))] * len(words) / 20
+        cost = 20 * np.r_[times / times.sum(), 0.5 * times / times.sum(), np.full(len(bad), 4.0 / len(bad))] * len(words) / 20
         w = _svm(x, y, cost)
         model = (phi.astype(np.float64).T @ (root @ w[:-1]), float(w[-1]))
         scores = score_words(clean, *model)
-        hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-scores)[:1500]]))
+        hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-scores)[:3000]]))
         vocabulary = {v: s for v, s in zip(df[1], score_words(list(df[1]), *model), strict=True)}
         if r < rounds - 1:
             chosen = Counter()
