@@ -244,15 +244,26 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     more = stash(_across(members.select("key", "node"), roots, nodes, tried, limits), "more")
     links = links.union(_verified(more, docs, nodes, width, limits))
     roots = components(links, "a", "b")
-    placed = signed.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = signed.select("doc_id", "text_key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "root", "text_key")
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without near copies: of each component the one of the smallest doc_id (nulls last), ties by
+    a hash of the text; documents without words all stay. Rows equal in id and text stay or go together."""
+    found = stash(join_components(docs, width, num, den), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")
+    first = found.where(F.col("n_shingles") > 0).groupBy("root").agg(F.min(order).alias("s")).select("s.doc_id", "s.text_key")
+    kept = first.unionByName(found.where(F.col("n_shingles") == 0).select("doc_id", "text_key"))
+    keys = kept.select(F.xxhash64("doc_id", "text_key").alias("__row")).distinct().hint("merge")
+    return docs.withColumn("__row", F.xxhash64("doc_id", F.xxhash64(_text()))).join(keys, "__row", "left_semi").drop("__row")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked at a Jaccard of 0.9 or more of their sets of 3-word shingles."""
-    return join_components(read(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return join_components(read(spark, sf_dir, "documents"), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}

@@ -128,6 +128,17 @@ def fit(rows: list[tuple[str, int]], n_chars: list[int | None] | None = None, ep
 _MEMO: dict[str, int] = {}
 
 
+def _raw(m: Model, texts: list[str], n_chars: list[int | None]) -> np.ndarray:
+    """The machine's output for each text; learns new words into this worker's memo."""
+    stats, words = structure(texts, n_chars)
+    new = set().union(*words).difference(_MEMO)
+    if _MEMO and len(_MEMO) + len(new) > MEMO:
+        _MEMO.clear()
+        new = set().union(*words)
+    _MEMO.update((w, word_number(w)) for w in new)
+    return m.raw(*m.encode(stats, [np.fromiter(map(_MEMO.__getitem__, w), np.int64, len(w)) for w in words])).astype(np.float64)
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, raw (the machine's output) and score (0 to 1) of each text."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("raw", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -136,23 +147,34 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = told.value
         for batch in batches:
             for i, j in text_slices(batch):
                 part = batch.slice(i, j - i)
-                stats, words = structure(part.column(1).to_pylist(), part.column(2).to_pylist())
-                new = set().union(*words).difference(_MEMO)
-                if _MEMO and len(_MEMO) + len(new) > MEMO:
-                    _MEMO.clear()
-                    new = set().union(*words)
-                _MEMO.update((w, word_number(w)) for w in new)
-                raw = m.raw(*m.encode(stats, [np.fromiter(map(_MEMO.__getitem__, w), np.int64, len(w)) for w in words])).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw), pa.array(m.probability(raw))], schema.names)
+                raw = _raw(told.value, part.column(1).to_pylist(), part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw), pa.array(told.value.probability(raw))], schema.names)
 
     n_chars = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.lit(None).cast("bigint")
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), n_chars.alias("n_chars")).mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
+    """The rows whose score reaches the threshold, as they are."""
+    if model is None:
+        return docs
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in text_slices(batch, at):
+                part = batch.slice(i, j - i)
+                texts = [x or "" for x in part.column(at).to_pylist()]
+                raw = _raw(told.value, texts, [None] * len(texts) if size is None else part.column(size).to_pylist())
+                yield part.filter(pa.array(told.value.probability(raw) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """Fits on labels of ids whose crc32 mod 4 is not 2. A training text's stored length is its length."""
     return fit(sample(docs, labels, "quality", id_crc() % 4 != 2, per_class))

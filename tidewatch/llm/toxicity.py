@@ -271,39 +271,61 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
 _MEMO: dict[tuple, dict[str, float]] = {}
 
 
+def _raw(m: Model, texts: list[str]) -> np.ndarray:
+    """The highest word's score of each text; learns new words into this worker's memo."""
+    mark = (float(m.weight.sum()), float(np.abs(m.weight).sum()), m.offset)
+    if mark not in _MEMO:
+        _MEMO.clear()
+        _MEMO[mark] = {}
+    memo = _MEMO[mark]
+    cut = [split_words(x) for x in texts]
+    new = set().union(*cut).difference(memo)
+    if memo and len(memo) + len(new) > MEMO:
+        memo.clear()
+        new = set().union(*cut)
+    if new:
+        new = list(new)
+        own = [forms(w) for w in new]
+        counts = np.fromiter(map(len, own), np.int64, len(own))
+        scores = score_words([f for fs in own for f in fs], m.weight, m.offset)
+        memo.update(zip(new, np.maximum.reduceat(scores, np.cumsum(counts) - counts).tolist(), strict=True))
+    return np.array([max(map(memo.__getitem__, c), default=LOWEST) for c in cut])
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, raw (the highest word's SVM score) and score (0 to 1) of each text."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("raw", T.DoubleType()), T.StructField("score", T.DoubleType())])
     if model is None:
         return docs.select("doc_id", F.lit(LOWEST).alias("raw"), F.lit(0.0).alias("score"))
-    mark = (float(model.weight.sum()), float(np.abs(model.weight).sum()), model.offset)
     told = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each of 27,000 features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _MEMO:
-            _MEMO.clear()
-            _MEMO[mark] = {}
-        memo, m = _MEMO[mark], told.value
         for batch in batches:
             for i, j in text_slices(batch, limit=8_000_000):
                 part = batch.slice(i, j - i)
-                cut = [split_words(x) for x in part.column(1).to_pylist()]
-                new = set().union(*cut).difference(memo)
-                if memo and len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = set().union(*cut)
-                if new:
-                    new = list(new)
-                    own = [forms(w) for w in new]
-                    counts = np.fromiter(map(len, own), np.int64, len(own))
-                    scores = score_words([f for fs in own for f in fs], m.weight, m.offset)
-                    memo.update(zip(new, np.maximum.reduceat(scores, np.cumsum(counts) - counts).tolist(), strict=True))
-                raw = np.array([max(map(memo.__getitem__, c), default=LOWEST) for c in cut])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw), pa.array(m.probability(raw))], schema.names)
+                raw = _raw(told.value, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw), pa.array(told.value.probability(raw))], schema.names)
 
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """The rows whose score is below the threshold, as they are."""
+    if model is None:
+        return docs
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in text_slices(batch, at, limit=8_000_000):
+                part = batch.slice(i, j - i)
+                raw = _raw(told.value, [x or "" for x in part.column(at).to_pylist()])
+                yield part.filter(pa.array(told.value.probability(raw) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """Fits on labels of ids whose crc32 mod 5 is not 0."""
     return fit(sample(docs, labels, "toxic", id_crc() % 5 != 0, per_class))
