@@ -64,7 +64,8 @@ def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND)
     marked = gone.groupBy("row").agg(F.collect_set("pos").alias("__gone"))
     cut = F.split("text", "\n")
     kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(marked.withColumnRenamed("row", "__row"), "__row", "left")
+    # a merge join at any size: marked positions grow with the corpus, so they are never sent whole to each task
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(marked.withColumnRenamed("row", "__row").hint("merge"), "__row", "left")
     n_lines = F.size(F.filter(cut, lambda x: F.btrim(x, F.lit(_STRIP)) != ""))
     return rows.select(
         *(F.col(f"`{c}`") if c != "text" else kept.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")),
