@@ -23,14 +23,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_cl
     return list(zip(table.column("text").to_pylist(), table.column("y").to_pylist(), strict=True))
 
 
-def logistic(x, y, rounds: int = 50, ridge: float = 1e-2):
-    """Slope and offset of a logistic curve through scores x with labels y, by Newton steps (Platt's targets)."""
+def logistic(x, y, rounds: int = 50, ridge: float = 1e-2, balanced: bool = True):
+    """Slope and offset of a logistic curve through scores x with labels y, by Newton steps (Platt's targets).
+
+    ``balanced``: both labels weigh the same in sum.
+    """
     import numpy as np
 
     x, y = np.asarray(x, float), np.asarray(y, float)
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y > 0, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(y)
+    weight = np.where(y > 0, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(y) if balanced else np.ones(len(y))
     w = np.zeros(2)
     a = np.stack([x, np.ones_like(x)], 1)
     for _ in range(rounds):

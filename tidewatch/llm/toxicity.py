@@ -1,7 +1,7 @@
 """Toxicity by a string-kernel support vector machine that tolerates gapped and padded insults.
 
-Kernel: gap-weighted subsequences. A word (lower case, accents and look-alike digits folded, other signs
-removed, with marks for its ends) has a feature for each three of its signs in order within ``SPAN`` places,
+Kernel: gap-weighted subsequences. A word (lower case, look-alike digits folded, other signs
+removed, with marks for its ends; once without accents and once with them) has a feature for each three of its signs in order within ``SPAN`` places,
 weighted by ``DECAY`` for each sign skipped. So "i.d.i.o.t", "idxiot" and "idioot" share most features of
 "idiot". Single letters in a row ("i d i o t") also count as one word. Kernels are normalised by length.
 
@@ -10,8 +10,8 @@ method) is fitted there. As kernel and map are linear in the features, the fitte
 feature, so a word costs the same whatever the number of landmarks.
 
 Labels are of documents, while insults are words of single sentences. A sentence's score is that of its highest
-word. Training starts with each toxic document's most telling word (by the numbers of different sentences of
-toxic and clean documents that hold it: copies of a sentence count once), fits, picks the highest word of each toxic document
+word. Training starts with each toxic document's most telling words (by their runs of four, six and eight signs, and the
+numbers of different sentences of toxic and clean documents that hold them: copies of a sentence count once), fits, picks the highest word of each toxic document
 anew, adds the highest clean words as counter-examples, and repeats. A document scores as its highest sentence.
 
 The model is fitted on the driver on at most ``PER_CLASS`` documents of each label; scoring runs in Spark tasks
@@ -40,32 +40,43 @@ from tidewatch.llm.common import id_crc, read, text_slices
 from tidewatch.llm.labelled import logistic, sample
 
 PER_CLASS = 2500
-LANDMARKS = 240
+LANDMARKS = 200
 SPAN, DECAY = 6, 0.6
 #: Longer words are scored in windows of this many signs, half overlapping.
 WINDOW = 24
 #: Words that a worker remembers at most, but for those of one slice.
 MEMO = 1_200_000
 LOWEST = -4.0
+RUNS = 2**20
 
-_BASE = 30  # letters 1-26, other 27, begin 28, end 29
-_BEGIN, _END = 28, 29
+#: Letters with codes of their own; other accents are dropped.
+_OWN = "àáâäçèéêíñóöúüß"
+_BASE = 29 + len(_OWN)  # plain letters from 1, own ones from 27, begin, end
+_BEGIN, _END = _BASE - 2, _BASE - 1
 _LOOKS = str.maketrans("013457@", "oieasta")
 _SENTENCE = re.compile(r"[.!?\n]+")
 _INNER = re.compile(r"[^\W\d_]+")
 _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 _CODES = np.zeros(256, np.uint8)
 _CODES[ord("a") : ord("z") + 1] = np.arange(1, 27)
+_CODES[list(_OWN.encode("latin-1"))] = np.arange(27, 27 + len(_OWN))
 
 
-def fold(word: str) -> bytes:
-    """The letters of a word without accents, in lower case; look-alike digits count as letters."""
+def fold(word: str, keep: bool = False) -> bytes:
+    """The letters of a word in lower case, a byte each; look-alike digits count as letters.
+
+    Accents are dropped, but with ``keep`` those letters that have codes of their own stay.
+    """
     word = word.lower().translate(_LOOKS)
-    if not word.isascii():
-        word = unicodedata.normalize("NFKD", word.replace("ß", "s"))
-        word = "".join(c if "a" <= c <= "z" else "" for c in word)
-        return word.encode()
-    return word.encode().translate(None, _NOT_LETTERS)
+    if word.isascii():
+        return word.encode().translate(None, _NOT_LETTERS)
+    out = []
+    for c in unicodedata.normalize("NFC", word):
+        if keep and c in _OWN:
+            out.append(c)
+        else:
+            out += [x for x in unicodedata.normalize("NFKD", "s" if c == "ß" else c) if "a" <= x <= "z"]
+    return "".join(out).encode("latin-1")
 
 
 _NOT_LETTERS = bytes(i for i in range(256) if not 97 <= i <= 122)
@@ -193,12 +204,42 @@ def split_words(text: str) -> list[str]:
 
 
 def forms(word: str) -> list[bytes]:
-    """A word's folded form, and those of its parts between other signs."""
+    """A word's folded form, that with its own accents, and those of its parts between other signs."""
     whole = fold(word)
+    out = [whole] if word.isascii() else [whole, fold(word, True)]
     if word.isalpha() or len(whole) < 3:
-        return [whole]
+        return out
     parts = [fold(p) for p in _INNER.findall(word)]
-    return [whole, *(p for p in parts if 3 <= len(p) < len(whole))]
+    return [*out, *(p for p in parts if 3 <= len(p) < len(whole))]
+
+
+def _runs(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers below RUNS of the runs of four, six and eight signs of coded words."""
+    for n in (4, 6, 8):
+        if codes.shape[1] >= n:
+            x = np.full((len(codes), codes.shape[1] - n + 1), n, np.int64)
+            for k in range(n):
+                x = x * 1_000_003 + codes[:, k : k + x.shape[1]]
+            yield (x * 0x2545F4914F6CDD1D >> 32) & (RUNS - 1)
+
+
+def _telling(df: tuple[Counter, Counter]) -> dict[bytes, float]:
+    """How much oftener a word's most telling run stands in sentences of toxic documents than of clean ones."""
+    counts = []
+    for own in df:
+        total = np.zeros(RUNS)
+        words = sorted(own)
+        times = np.array([own[w] for w in words], float)
+        for n, at, part in _by_length(words):
+            for x in _runs(_coded(part, n)):
+                total += np.bincount(x.ravel(), np.repeat(times[at], x.shape[1]), RUNS)
+        counts.append(total)
+    share = counts[1] / (counts[0] + 1)
+    words, out = sorted(df[1]), np.zeros(len(df[1]))
+    for n, at, part in _by_length(words):
+        for x in _runs(_coded(part, n)):
+            out[at] = np.maximum(out[at], share[x].max(1))
+    return dict(zip(words, out.tolist(), strict=True))
 
 
 def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4) -> Model | None:
@@ -222,10 +263,14 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     clean = sorted(df[0])
     if not toxic or not clean:
         return None
-    telling = {w: (n + 0.1) / (df[0][w] + 1.0) for w, n in df[1].items()}
-    chosen = Counter(max(w, key=lambda x: (telling[x], x)) for w in toxic)
-    rare = Counter({w: n for w, n in chosen.items() if df[1][w] > 1 and not df[0][w]})
-    chosen = rare or chosen
+    telling = _telling(df)
+    # words of clean documents that are far oftener in toxic ones are label noise, not counter-examples
+    clean = [w for w in clean if df[1][w] < 20 * df[0][w]]
+    usable = {w for w, n in df[1].items() if n >= 20 * df[0][w]}
+    able = [[v for v in own if v in usable and telling[v] >= 2] for own in toxic]
+    strongest = [max((telling[v] for v in own), default=0) for own in able]
+    chosen = Counter(v for own, top in zip(able, strongest, strict=True) for v in own if telling[v] >= top / 4)
+    first = chosen = chosen or Counter(max(w, key=lambda x: (telling[x], x)) for w in toxic)
     rng = np.random.default_rng(5)
     usual = [clean[i] for i in rng.permutation(len(clean))[:15_000]]
     hard: list[bytes] = []
@@ -253,18 +298,14 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
         vocabulary = {v: s for v, s in zip(df[1], score_words(list(df[1]), *model), strict=True)}
         if r < rounds - 1:
             chosen = Counter()
-            for own in toxic:
-                best = max(own, key=lambda v: (vocabulary[v] - (df[0][v] > 0), v))
-                if not df[0][best]:
-                    chosen[best] += 1
-                # other words of the document that are clearly above the margin are insults, too
-                for v in own:
-                    if v != best and vocabulary[v] > 1 and not df[0][v]:
-                        chosen[v] += 1
-            chosen = chosen or rare
-    memo = dict(zip(clean, score_words(clean, *model).tolist(), strict=True)) | {v: float(s) for v, s in vocabulary.items()}
+            for own, top in zip(able, strongest, strict=True):
+                best = max(own, key=lambda v: (vocabulary[v], v), default=None)
+                # other words that are as telling, or clearly above the margin, are insults, too
+                chosen.update(v for v in own if v == best or vocabulary[v] > 1 or telling[v] >= top / 2)
+            chosen = chosen or first
+    memo = dict(zip(df[0], score_words(list(df[0]), *model).tolist(), strict=True)) | {v: float(s) for v, s in vocabulary.items()}
     raw = [max((memo[v] for v in own), default=LOWEST) for own in held]
-    slope, level = logistic(raw, [y for _, y in rows])
+    slope, level = logistic(raw, [y for _, y in rows], balanced=False)
     return Model(*model, max(slope, 1e-3), level)
 
 
@@ -297,7 +338,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("raw", T.DoubleType()), T.StructField("score", T.DoubleType())])
     if model is None:
         return docs.select("doc_id", F.lit(LOWEST).alias("raw"), F.lit(0.0).alias("score"))
-    told = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each of 27,000 features
+    told = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each of BASE ** 3 features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
