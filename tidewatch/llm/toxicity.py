@@ -205,6 +205,8 @@ def split_words(text: str) -> list[str]:
 
 def forms(word: str) -> list[bytes]:
     """A word's folded form, that with its own accents, and those of its parts between other signs."""
+    if not _INNER.search(word):  # numbers and signs are no words
+        return [b""]
     whole = fold(word)
     out = [whole] if word.isascii() else [whole, fold(word, True)]
     if word.isalpha() or len(whole) < 3:
