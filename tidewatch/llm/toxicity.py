@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import id_crc, read, text_slices
 from tidewatch.llm.labelled import logistic, sample
 
-PER_CLASS = 2500
-LANDMARKS = 200
+PER_CLASS = 2000
+LANDMARKS = 160
 SPAN, DECAY = 6, 0.6
 #: Longer words are scored in windows of this many signs, half overlapping.
 WINDOW = 24
@@ -274,7 +274,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     chosen = Counter(v for own, top in zip(able, strongest, strict=True) for v in own if telling[v] >= top / 4)
     first = chosen = chosen or Counter(max(w, key=lambda x: (telling[x], x)) for w in toxic)
     rng = np.random.default_rng(5)
-    usual = [clean[i] for i in rng.permutation(len(clean))[:15_000]]
+    usual = [clean[i] for i in rng.permutation(len(clean))[:8_000]]
     hard: list[bytes] = []
     model = (np.zeros(_BASE**3), 0.0)
     for r in range(rounds):
@@ -296,7 +296,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
         w = _svm(x, y, cost)
         model = (phi.astype(np.float64).T @ (root @ w[:-1]), float(w[-1]))
         scores = score_words(clean, *model)
-        hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-scores)[:3000]]))
+        hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-scores)[:2000]]))
         vocabulary = {v: s for v, s in zip(df[1], score_words(list(df[1]), *model), strict=True)}
         if r < rounds - 1:
             chosen = Counter()
