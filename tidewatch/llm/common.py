@@ -42,6 +42,25 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files that no plan refers to any more, as those behind written tables."""
+    import gc
+
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Deletes tables that ``stash`` wrote; nothing may read them later."""
+    for df in tables:
+        for path in df.inputFiles()[:1]:
+            folder = path.rsplit("/", 1)[0]
+            if "/stash-" in folder:
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def id_crc(col: str | Column = "doc_id") -> Column:
     """crc32 of an id as text; a null id counts as 0."""
     c = F.col(col) if isinstance(col, str) else col

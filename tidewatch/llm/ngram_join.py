@@ -13,12 +13,13 @@ The index is a tree of points:
   its possible partners. A size class and the next are met in the classes that a partner can be in.
 * Leaves: the points of a cell are packed by their first coordinates, with the box (least and greatest
   coordinates) of each leaf. The sum of minima of a point and a box bounds the overlap with all in the leaf.
-* Points: the sum of coordinate minima of two points bounds their overlap. Survivors are verified on their sets.
+* Points: the sum of coordinate minima of two points bounds their overlap, first over few groups, then over 65,536
+  (written as the sorted group numbers of the shingles). Survivors are verified on their sets.
 
-Groups of copies are not expanded into pairs: equal sets are one node from the start. A first pass ties the nodes
-of each cell to the cell's smallest node (bound, then verified). The nodes that are still in different components
-of a cell are then searched through leaves and points, all pairs that the bounds let through and that were not
-tried yet, so no link between components is lost.
+Groups of copies are not expanded into pairs: equal sets are one node from the start. A first pass compares each
+node with the smallest node of its cells, a second one with the smallest node of each of its cells that is still in
+another component. The nodes that are then in different components of a cell are searched through leaves and points,
+all pairs that the bounds let through and that were not tried yet, so no link between components is lost.
 
 Shingles are compared by 64-bit hashes.
 
@@ -38,11 +39,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import read, stash, text_slices
+from tidewatch.llm.common import read, release, stash, text_slices, unstash
 from tidewatch.llm.components import components
 
 #: Coordinates of the points that bounds are computed on.
 GROUPS = 64
+#: Up to this many nodes (16 bytes each) are sent to every task to pick texts; more are joined by a shuffle.
+FEW = 500_000
 #: Groups in each block of the root.
 BLOCK_GROUPS = 64
 #: Coordinates that leaves are packed by, and the width of their cells.
@@ -177,39 +180,61 @@ def _overlap_bound(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
 
 
+def _common(x: np.ndarray, y: np.ndarray, distinct: bool) -> int:
+    """Size of the intersection of sorted values; of repeated values the smaller count."""
+    if distinct:
+        return len(np.intersect1d(x, y, assume_unique=True))
+    (u, n), (v, m) = (np.unique(z, return_counts=True) for z in (x, y))
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, limits: Limits) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked. Bounds first, then the sets of the survivors."""
+    """The pairs (a, b) of nodes that are linked: bounds over few and over many groups, then the sets."""
     own = nodes.select("node", "n", "point")
     near = pairs.join(own.toDF("a", "na", "pa"), "a").join(own.toDF("b", "nb", "pb"), "b")
     near = stash(near.where(_overlap_bound("pa", "pb") >= limits.needed(F.col("na") + F.col("nb"))).select("a", "b"), "near")
-    asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "text_key"), "node").select("node", "text_key")
-    sets = docs.select(F.xxhash64(_text()).alias("text_key"), _text().cast("binary").alias("text")).join(asked, "text_key")
+    asked = stash(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "text_key"), "node").select("node", "text_key"), "asked")
+    texts = docs.select(F.xxhash64(_text()).alias("text_key"), _text().cast("binary").alias("text"))
+    sets = texts.join(F.broadcast(asked) if asked.count() <= FEW else asked, "text_key")
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in text_slices(batch, 1):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h in shingle_sets(part.column(1).to_pylist(), width)], pa.binary())], ["node", "shingles"])
+                own = shingle_sets(part.column(1).to_pylist(), width)
+                fine = [(h >> _U(48)).astype(np.uint16).tobytes() for h in own]  # sorted, as the sets are
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fine, pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())], ["node", "fine", "shingles"])
 
-    sets = stash(sets.select("node", "text").mapInArrow(read_sets, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = stash(sets.select("node", "text").mapInArrow(read_sets, "node bigint, fine binary, shingles binary"), "sets")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
-                keep.append(limits.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def compare(kind: type, distinct: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+                    keep.append(limits.linked(_common(x, y, distinct), len(x) + len(y)))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return stash(joined.mapInArrow(compare, "a bigint, b bigint"), "links")
+        return run
+
+    for column, kind, distinct in (("fine", np.uint16, False), ("shingles", _U, True)):
+        own = sets.select("node", column).dropDuplicates(["node"])
+        joined = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        before, near = near, stash(joined.mapInArrow(compare(kind, distinct), "a bigint, b bigint"), f"near-{column}")
+        unstash(before)
+    unstash(sets, asked)
+    release(docs.sparkSession)
+    return near
 
 
 def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, tried: DataFrame, limits: Limits) -> DataFrame:
     """Untried pairs of nodes of one cell but different components, as far as leaf boxes and points let them through."""
     now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    now = stash(now.join(split, "key"), "split")
+    # in a cell of two nodes the only pair was tried in the first passes
+    split = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select("key")
+    now = stash(now.join(split, "key").select("key", "node", "root"), "split")
     # the component with most nodes in a cell is only searched, the others search
     sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
@@ -226,7 +251,10 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, tried: DataF
     # two asking nodes meet twice; the smaller one keeps the pair
     meet = visits.join(found, ["key", "leaf"]).where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b"))) & (_overlap_bound("pa", "pb") >= limits.needed(F.col("na") + F.col("nb"))))
     pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    more = stash(pairs.join(tried, ["a", "b"], "left_anti"), "more")
+    unstash(now, points)
+    release(members.sparkSession)
+    return more
 
 
 def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -238,13 +266,25 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     filed = full.select("node", F.explode("keys").alias("key"))
     shared = filed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last"))
     members = stash(filed.join(shared.select("key", "first"), "key").distinct(), "members")
-    tried = stash(members.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    slim = stash(signed.select("doc_id", "text_key", "n", "node"), "slim")
+    unstash(signed)
+    release(docs.sparkSession)
+    others = members.where(F.col("node") != F.col("first"))
+    tried = stash(others.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "tried")
     links = _verified(tried, docs, nodes, width, limits)
     roots = components(links, "a", "b")
-    more = stash(_across(members.select("key", "node"), roots, nodes, tried, limits), "more")
+    # the smallest nodes of other cells, as far as they are still apart
+    apart = others.join(roots, "node", "left").join(roots.toDF("first", "first_root"), "first", "left").where(F.coalesce("root", "node") != F.coalesce("first_root", "first"))
+    stars = stash(apart.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "stars")
+    links = links.union(_verified(stars, docs, nodes, width, limits))
+    roots = components(links, "a", "b")
+    more = _across(members.select("key", "node"), roots, nodes, tried.union(stars), limits)
+    unstash(members)
     links = links.union(_verified(more, docs, nodes, width, limits))
     roots = components(links, "a", "b")
-    placed = signed.select("doc_id", "text_key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = stash(slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    unstash(slim, nodes, tried, stars, more)
+    release(docs.sparkSession)
     least = placed.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "root", "text_key")
