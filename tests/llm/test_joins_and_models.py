@@ -146,6 +146,21 @@ def test_topk_search(spark):
     assert topk_search.top_k(docs.limit(0), F.col("id") % 50 == 0).isEmpty()
 
 
+def test_topk_search_repeated_queries(spark):
+    """Equal query rows give one answer of k different neighbours; different rows of one id are answered each."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(0, 1, 8).round(2).tolist()) for i in range(1, 120)]
+    rows += [rows[49], rows[49], (100, rng.normal(0, 1, 8).round(2).tolist())]  # 50 is there thrice, 100 with two vectors
+    scaled = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q, a in [scaled[49], scaled[99], scaled[-1]]:
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), v) for v, b in scaled if v != q)[:5]
+        want += [(q, n + 1, v, -s) for n, (s, v) in enumerate(best)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk_search.top_k(docs, F.col("id") % 50 == 0, query_block=2).collect()
+    assert order(got) == order(want)
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(9)
     q, v = rng.integers(-99, 99, (20, 37)).astype(float), rng.integers(-99, 99, (30, 37)).astype(float)

@@ -19,7 +19,8 @@ with Python's whole numbers; a score outside 64 bits raises.
 Edge cases: null vectors and vectors with null or non-finite components take no part; vectors are only
 compared with those of equal length (an empty vector scores 0 with other empty ones); equal scores are ranked
 by the smaller id; null ids take no part; of rows with equal ids each is a candidate, and each such query row
-is answered on its own only if the rows differ (equal rows give one answer); an empty table gives an empty result.
+is answered on its own only if the rows differ (equal rows give one answer; the oracle's SQL ranks all rows of one
+query id together, so the two agree where the ids of queries are unique); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,10 +52,14 @@ def segment_stats(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]
 
 
 class Best:
-    """The k best (score, id) of each query of a block, fed with blocks of candidates."""
+    """The k best (score, id) of each query of a block, fed with blocks of candidates.
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+    ``marks`` tell queries of one id apart.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, marks: np.ndarray | None = None) -> None:
         self.ids, self.x, self.k = ids, x, k
+        self.marks = np.zeros(len(ids), np.int64) if marks is None else marks
         self.stats = [segment_stats(x.astype(np.float64), s) for s in SEGMENTS] if x.shape[1] else []
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -101,10 +106,10 @@ class Best:
         out = [sum(int(a) * int(b) for a, b in zip(self.x[r], x[c], strict=True)) for r, c in zip(rows, columns, strict=True)]
         return np.array(out, np.int64)
 
-    def rows(self) -> Iterator[tuple[int, int, int]]:
-        for q, who, score, have in zip(self.ids, self.who, self.score, self.have, strict=True):
+    def rows(self) -> Iterator[tuple[int, int, int, int]]:
+        for q, mark, who, score, have in zip(self.ids, self.marks, self.who, self.score, self.have, strict=True):
             for v, s in zip(who[have], score[have], strict=True):
-                yield int(q), int(v), int(s)
+                yield int(q), int(mark), int(v), int(s)
 
 
 def _parts(rows: np.ndarray, columns: np.ndarray, n: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -126,29 +131,30 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     x = F.col(vector_col).cast("array<double>")
     fit = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), x.alias("x"), F.coalesce(fit, F.lit(False)).alias("fit")).where("fit").select("id", "x", F.size("x").alias("dim"))
+    # equal query rows are one query; the mark tells different vectors of one id apart
+    asked = rows.where(is_query).distinct().withColumn("mark", F.xxhash64("x"))
     # query blocks: numbered by hash, so that no window has to order all queries
-    asked = rows.where(is_query)
     n_queries = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     blocks = F.create_map(*[F.lit(v) for d, n in n_queries.items() for v in (d, -(-n // query_block))])
-    block = F.pmod(F.xxhash64("id"), blocks[F.col("dim")]).cast("int")
-    queries = asked.withColumn("block", block).select("dim", "block", F.lit(-1).alias("chunk"), "id", "x")
+    block = F.pmod(F.xxhash64("id", "mark"), blocks[F.col("dim")]).cast("int")
+    queries = asked.withColumn("block", block).select("dim", "block", F.lit(-1).alias("chunk"), "id", "x", "mark")
     spread = F.explode(F.sequence(F.lit(0), blocks[F.col("dim")] - 1))
     n_parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(1, -(-n_parts // sum(-(-n // query_block) for n in n_queries.values())))
     chunk = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks)).cast("int")
-    candidates = rows.where(F.col("dim").isin(list(n_queries))).select("dim", spread.alias("block"), chunk.alias("chunk"), "id", "x")
+    candidates = rows.where(F.col("dim").isin(list(n_queries))).select("dim", spread.alias("block"), chunk.alias("chunk"), "id", "x", F.lit(0).cast("bigint").alias("mark"))
     # the queries of a block go to each of its chunks, before the candidates
     asked_everywhere = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("asks", F.lit(True))
     dealt = asked_everywhere.unionByName(candidates.withColumn("asks", F.lit(False))).repartition(n_parts, "dim", "block", "chunk").sortWithinPartitions("dim", "block", "chunk", F.desc("asks"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, asked_ids, asked_x = None, None, [], []
+        now, best, asked_ids, asked_x, asked_marks = None, None, [], [], []
 
         def out() -> Iterator[pa.RecordBatch]:
             if best is not None and (found := list(best.rows())):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "mark", "vec_id", "score"])
 
         for batch in batches:
             key = np.stack([batch.column(i).to_numpy() for i in range(3)], 1).astype(np.int64)
@@ -158,22 +164,23 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(code)], strict=True):
                 if now != tuple(key[a]):
                     yield from out()
-                    now, best, asked_ids, asked_x = tuple(key[a]), None, [], []
+                    now, best, asked_ids, asked_x, asked_marks = tuple(key[a]), None, [], [], []
                 part = batch.slice(a, b - a)
                 ids, x = part.column(3).to_numpy(), _matrix(part.column(4), scale)
                 if asks[a]:
                     asked_ids.append(ids)
                     asked_x.append(x)
+                    asked_marks.append(part.column(6).to_numpy())
                     continue
                 if best is None and asked_ids:
                     wide = any(m.dtype == object for m in asked_x)
-                    best = Best(np.concatenate(asked_ids), np.concatenate([m.astype(object) if wide else m for m in asked_x]), k)
+                    best = Best(np.concatenate(asked_ids), np.concatenate([m.astype(object) if wide else m for m in asked_x]), k, np.concatenate(asked_marks))
                 for i in range(0, len(ids) if best is not None else 0, CANDIDATE_BLOCK):
                     best.feed(ids[i : i + CANDIDATE_BLOCK], x[i : i + CANDIDATE_BLOCK])
         yield from out()
 
-    partial = dealt.select("dim", "block", "chunk", "id", "x", "asks").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    partial = dealt.select("dim", "block", "chunk", "id", "x", "asks", "mark").mapInArrow(run, "query_id bigint, mark bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
