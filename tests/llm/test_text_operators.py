@@ -177,6 +177,25 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(len(v) > 1 for k, v in spread.items() if k.startswith("pair")) <= 2
 
 
+def test_sharding_links_whole_texts(spark):
+    """Near copies with another opening meet in a shard; texts that share only an opening have no link."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    texts = []
+    for _ in range(150):
+        body = words(300)
+        texts += [words(8) + " " + body, words(8) + " " + body]
+    texts += [words(60) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sharding.shard(docs, 12).collect()
+    check_shards(rows, list(enumerate(texts)), 12)
+    at = {r["doc_id"]: r["shard"] for r in rows}
+    assert sum(at[i] != at[i + 1] for i in range(0, 300, 2)) <= 8
+    opening = words(40)
+    alike = spark.createDataFrame([(i, opening + " " + words(400)) for i in range(2)], "doc_id bigint, text string")
+    assert sharding._edges(sharding.slim(alike)).isEmpty()
+
+
 def test_quotas_keep_sizes():
     rng = np.random.default_rng(2)
     wanted, free = rng.integers(0, 9, (6, 6)), rng.integers(0, 9, 6)

@@ -1,15 +1,19 @@
 """Sharding by balanced label propagation: linked documents move together while shard sizes stay even.
 
-Vertices are documents, links are equal keys (here: equal texts, and equal heads of texts). Links are kept
-as a bipartite graph of documents and keys, never as pairs, so a group of n copies has n edges.
-
-1. First labels. Groups of equal texts are put in one linear order, near copies side by side (by a hash of
-   the text's head, then of the text), and cut into ``n_shards`` even ranges. Only groups on a border are split.
-2. Rounds of label propagation. For every key the shards' shares are counted; the shard that holds most of
-   the members (ties: the lowest) is where the others want to go, the stronger link first. The driver gets
-   counts by (from, to), n_shards squared rows, and sets quotas: what leaves a shard for another is matched by
-   what comes back, wanted moves first, then documents without links. So every round keeps all sizes.
-   Rounds end when no quota is left or after ``rounds``.
+Vertices are documents, links are equal keys: equal texts, and equal sketch keys. A text has ``BANDS`` sketch keys,
+each made of two minimum hashes over all word shingles of the whole text, so near copies share a key wherever
+they differ: at a Jaccard similarity J of the shingle sets the chance that none is shared is (1 - J^2)^BANDS (0.0003
+at 0.8). Links are kept as a bipartite table of texts and keys, never as pairs, so n near copies have BANDS * n edges.
+Keys that only one text has link nothing and are left out.
+
+1. First labels. Groups of equal texts are put in one linear order, near copies side by side (by a minimum hash
+   of the text's shingles, then of the text), and cut into ``n_shards`` even ranges. Only groups on a border are split.
+2. Rounds of label propagation. For every key the shards' shares are counted. Copies of a text go where most of
+   them are (ties: the lowest shard); each sketch key of a text without copies votes for the shard that holds most
+   of the key's documents, and the text goes where most keys point. The driver gets counts by (from, to),
+   n_shards squared rows, and sets quotas: what leaves a shard for another is matched by what comes back, wanted
+   moves first, then documents without links. So every round keeps all sizes.
+   Rounds end when no quota is left, when as many documents want to move as before, or after ``rounds``, if given.
 3. Slots number each shard's documents from 0.
 
 Law ``rows``: the shards' counts differ by one at most, exactly, after every round.
@@ -18,26 +22,32 @@ All numbering is done in two steps over hashed buckets (see ``_starts`` and ``sa
 third of all rows is dealt over many tasks. Tables that a round reads more than once are written to the
 shared folder. The driver sees only counts by shard pairs and by a fixed number of buckets.
 
-Edge cases: a null text counts as empty (size 16, checksum 0); empty texts form one group of equal texts
-without a head link; null ids are allowed (they sort first); repeated rows are rows of their own; an empty
+Edge cases: a null text counts as empty (size 16, checksum 0); texts without words have no sketch
+keys; a text with fewer words than a shingle is one shingle; null ids are allowed (they sort first); repeated rows are rows of their own; an empty
 table gives an empty result; with fewer documents than shards some shards are empty; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.llm.common import read, salted_rank, stash
+from tidewatch.llm.common import read, salted_rank, stash, text_slices
+from tidewatch.llm.ngram_join import _mix, shingle_sets
 
 N_SHARDS = 40
-ROUNDS = 3
-#: Characters that make a text's head; equal heads are the weaker link.
-HEAD_CHARS = 200
-#: Buckets of the linear order: bits of the head's hash and of the text's hash.
-HEAD_BITS, TEXT_BITS = 10, 6
+#: Words in a shingle, and sketch keys of a text.
+WIDTH, BANDS = 5, 8
+#: Buckets of the linear order: bits of the order key and of the text's hash.
+ORDER_BITS, TEXT_BITS = 10, 6
 SALTS = 64
+_U = np.uint64
+_FACTORS = np.random.default_rng(21).integers(1, 2**63, 2 * BANDS, _U) * _U(2) + _U(1)  # fixed: the same in every task
 
 
 def _bits(col: str, n: int) -> Column:
@@ -45,24 +55,53 @@ def _bits(col: str, n: int) -> Column:
     return F.shiftrightunsigned(F.col(col), 64 - n).cast("int")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Order key and sketch keys of a set of shingle hashes; 0 alone for an empty set."""
+    if not len(shingles):
+        return np.zeros(1, np.int64)
+    least = np.full(2 * BANDS, np.iinfo(_U).max, _U)
+    for i in range(0, len(shingles), 65_536):
+        np.minimum(least, (shingles[i : i + 65_536] * _FACTORS[:, None]).min(1), out=least)
+    bands = _mix(_mix(least[::2]) + least[1::2] + np.arange(BANDS, dtype=_U))
+    return np.r_[_mix(least[:1]), bands].view(np.int64)
+
+
 def slim(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, and the hashes of text and head by which documents are linked."""
+    """doc_id, size, text_crc32, text_key, and order_key and sketch keys (links) of the whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         "doc_id",
+        text.alias("text"),
         (F.octet_length(text) + 16).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_key"),
-        F.xxhash64(F.substring(text, 1, HEAD_CHARS)).alias("head_key"),
-        (F.octet_length(text) == 0).alias("blank"),
     )
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("size", "text_crc32", "text_key", "order_key")), T.StructField("links", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in text_slices(batch):
+                part = batch.slice(i, j - i)
+                keys = [sketch(x) for x in shingle_sets([x.encode() for x in part.column(1).to_pylist()], WIDTH)]
+                ends = np.cumsum([0, *(len(x) - 1 for x in keys)])
+                links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[1:] for x in keys])))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(k) for k in (2, 3, 4)), pa.array([x[0] for x in keys], pa.int64()), links], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """text_key and key of all texts that share a sketch key with another text."""
+    edges = stash(rows.select("text_key", F.explode("links").alias("key")).distinct(), "edges")
+    shared = edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
+    return stash(edges.join(shared, "key"), "shared")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
     """Adds ``place``: a gapless number from 0 that keeps equal texts together, near copies close."""
-    group = ["head_key", "text_key", "text_crc32"]
-    groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", _bits("head_key", HEAD_BITS) * 2**TEXT_BITS + _bits("text_key", TEXT_BITS))
-    # at most 2^(HEAD_BITS + TEXT_BITS) rows, whatever the input
+    group = ["order_key", "text_key", "text_crc32"]
+    groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", _bits("order_key", ORDER_BITS) * 2**TEXT_BITS + _bits("text_key", TEXT_BITS))
+    # at most 2^(ORDER_BITS + TEXT_BITS) rows, whatever the input
     sums = groups.groupBy("bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_from"))
@@ -72,20 +111,28 @@ def _starts(rows: DataFrame) -> DataFrame:
     return ranked.join(groups, group).withColumn("place", F.col("group_from") + F.col("k")).drop("group_from", "k")
 
 
-def _wishes(rows: DataFrame) -> DataFrame:
-    """Adds ``target`` (the shard a document wants, its own if none) and ``free`` (no link holds it)."""
-    for key in ("text_key", "head_key"):
-        linked = rows if key == "text_key" else rows.where(~F.col("blank"))
-        counts = linked.groupBy(key, "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy(key).agg(F.sum("n").alias(f"{key}_n"), F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias(f"{key}_by"))
-        rows = rows.join(best.select(key, f"{key}_n", f"{key}_by", (-F.col("b.s")).alias(f"{key}_to")), key, "left")
+def _most(counts: DataFrame, key: str) -> DataFrame:
+    """For each key: its documents (n), the shard that holds most of them (to), and their numbers by shard."""
+    best = counts.groupBy(key).agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("by"))
+    return best.select(key, "n", (-F.col("b.s")).alias("to"), "by")
 
-    def gains(key: str) -> Column:  # moving brings more members of the group together
-        return (F.col(f"{key}_n") > 1) & (F.coalesce(F.col(f"{key}_by")[F.col(f"{key}_to")], F.lit(0)) > F.col(f"{key}_by")[F.col("shard")] - 1) & (F.col(f"{key}_to") != F.col("shard"))
 
-    target = F.when(gains("text_key"), F.col("text_key_to")).when((F.col("text_key_n") == 1) & gains("head_key"), F.col("head_key_to")).otherwise(F.col("shard"))
-    free = (F.col("text_key_n") == 1) & (F.coalesce(F.col("head_key_n"), F.lit(1)) == 1)
-    return rows.withColumn("target", target).withColumn("free", free).drop(*(f"{k}_{x}" for k in ("text_key", "head_key") for x in ("n", "by", "to")))
+def _wishes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds ``target`` (the shard a document wants, its own if none) and ``free`` (no link holds it)."""
+    counts = stash(rows.groupBy("text_key", "shard").agg(F.count(F.lit(1)).alias("n")), "counts")
+    texts = _most(counts, "text_key")
+    shares = edges.join(counts, "text_key").groupBy("key", "shard").agg(F.sum("n").alias("n"))
+    # the votes of texts without copies: these have one shard
+    single = texts.where(F.col("n") == 1).select("text_key", F.col("to").alias("own"))
+    gain = F.col("by")[F.col("to")] - (F.col("by")[F.col("own")] - 1)  # moving brings more members together
+    votes = edges.join(single, "text_key").join(_most(shares, "key"), "key").select("text_key", "to", gain.alias("gain"))
+    votes = votes.groupBy("text_key", "to").agg(F.count(F.lit(1)).alias("keys"), F.sum("gain").alias("gain"))
+    voted = votes.groupBy("text_key").agg(F.max(F.struct("keys", "gain", (-F.col("to")).alias("s"))).alias("vote"))
+    rows = rows.join(texts, "text_key").join(voted, "text_key", "left")
+    together = (F.col("n") > 1) & (F.coalesce(F.col("by")[F.col("to")], F.lit(0)) > F.col("by")[F.col("shard")] - 1)
+    target = F.when(together, F.col("to")).when((F.col("n") == 1) & (F.col("vote.gain") > 0), -F.col("vote.s")).otherwise(F.col("shard"))
+    free = (F.col("n") == 1) & F.col("vote").isNull()
+    return rows.withColumn("target", target).withColumn("free", free).drop("n", "to", "by", "vote")
 
 
 def quotas(wanted: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +155,12 @@ def quotas(wanted: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return moves, fills
 
 
-def _round(rows: DataFrame, n_shards: int, r: int) -> DataFrame | None:
-    """One round of moves under quotas; None if nothing can move."""
-    rows = stash(_wishes(rows), f"wishes{r}")
+def _round(rows: DataFrame, edges: DataFrame, n_shards: int, r: int, before: int | None) -> tuple[DataFrame, int] | None:
+    """One round of moves under quotas, and how many documents wanted to move.
+
+    None if nothing can move, or if no fewer want to than ``before``.
+    """
+    rows = stash(_wishes(rows, edges), f"wishes{r}")
     counted = rows.groupBy("shard", "target", "free").agg(F.count(F.lit(1)).alias("n")).where((F.col("shard") != F.col("target")) | F.col("free")).collect()
     wanted, free = np.zeros((n_shards, n_shards), np.int64), np.zeros(n_shards, np.int64)
     for x in counted:
@@ -119,7 +169,8 @@ def _round(rows: DataFrame, n_shards: int, r: int) -> DataFrame | None:
         elif x["free"]:
             free[x["shard"]] += x["n"]
     moves, fills = quotas(wanted, free)
-    if not moves.any():
+    wishes = int(wanted.sum())
+    if not moves.any() or (before is not None and wishes >= before):
         return None
     # rank of each candidate among those of its (shard, target); free ones have their own shard as target
     candidates = rows.where((F.col("shard") != F.col("target")) | F.col("free"))
@@ -138,19 +189,21 @@ def _round(rows: DataFrame, n_shards: int, r: int) -> DataFrame | None:
     hit = F.filter("spans", lambda x: (x["a"] <= F.col("k")) & (F.col("k") < x["b"]))
     moved = ranked.join(F.broadcast(plan), ["shard", "target"], "left").withColumn("shard", F.coalesce(F.get(hit, F.lit(0))["new_shard"], F.col("shard"))).drop("k", "spans")
     stay = rows.where((F.col("shard") == F.col("target")) & ~F.col("free"))
-    return moved.unionByName(stay).drop("target", "free")
+    return moved.unionByName(stay).drop("target", "free"), wishes
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document."""
     rows = stash(slim(docs), "slim")
     total = rows.count()
-    rows = stash(_starts(rows), "places").withColumn("shard", F.floor(F.col("place") * n_shards / max(1, total)).cast("int")).drop("place")
-    for r in range(rounds):
-        moved = _round(rows, n_shards, r)
+    edges = _edges(rows)
+    rows = stash(_starts(rows.drop("links")), "places").withColumn("shard", F.floor(F.col("place") * n_shards / max(1, total)).cast("int")).drop("place", "order_key")
+    r, wishes = 0, None
+    while rounds is None or r < rounds:
+        moved = _round(rows, edges, n_shards, r, wishes)
         if moved is None:
             break
-        rows = stash(moved, f"round{r}")
+        rows, wishes, r = stash(moved[0], f"round{r}"), moved[1], r + 1
     return salted_rank(rows, ["shard"], "slot", ["doc_id", "text_key"], salts=4 * SALTS).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("bigint").alias("slot"))
 
 
