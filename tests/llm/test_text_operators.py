@@ -90,6 +90,20 @@ def test_packing(spark, odd_docs, odd_rows, no_docs, given):
     assert packing.pack_documents(no_docs, P.path("word_bpe_49k.json")).isEmpty()
 
 
+def test_packing_special_literals(spark):
+    """Literals of special tokens get the ids that the tokenizer's own call gives."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["end of a page <|endoftext|> next page", "<|startoftext|>Word<|endoftext|>\nÉté x<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof text|>"]
+    want = [[*own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert 49407 in want[0] and 49406 in want[1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pieces(docs, path).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def test_packing_plan():
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(1, 2049, 5000), np.full(7, 1500), np.r_[np.full(99, 1024), 5], np.array([2048, 1])):

@@ -41,7 +41,8 @@ CLASS_WIDTH = 32
 class Tokenizer:
     """Ids of texts as little-endian 32-bit numbers; chunks between spaces or line ends are remembered.
 
-    The tokenizer drops white space before it merges, so no token spans a space or a line end.
+    The tokenizer drops white space before it merges, so no token spans a space or a line end; the literals of its
+    special tokens hold neither. A text that has such a literal gets the special token's id, as by the tokenizer's default.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,7 +52,6 @@ class Tokenizer:
         from tokenizers import Tokenizer as Own
 
         self.own = Own.from_file(path)
-        self.own.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
