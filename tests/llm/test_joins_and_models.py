@@ -2,7 +2,7 @@
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import language_id, ngram_join, quality, topk_search, toxicity
+from tidewatch.llm import labelled, language_id, ngram_join, quality, topk_search, toxicity
 from tidewatch.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -224,6 +224,18 @@ def test_quality_held_out():
     assert ((p >= 0.7) == np.array([y > 0 for _, y in test])).mean() >= 0.97
 
 
+def test_sample_of_present_documents(spark):
+    """Labels without a document or text use up no quota, and stored lengths reach the quality machine."""
+    docs = spark.createDataFrame([(i, f"text {i}", 1000 * (i % 2) + 7) for i in range(40)] + [(i, None, 5) for i in range(40, 60)], "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id bigint, quality int")
+    rows, sizes = labelled.sample(docs, labels, "quality", F.lit(True), 10)
+    assert Counter(y for _, y in rows) == {0: 10, 1: 10}
+    assert sizes == [1000 * y + 7 for _, y in rows]
+    assert labelled.sample(docs.drop("n_chars"), labels, "quality", F.lit(True), 10) == (rows, [None] * 20)
+    edges = quality.train(docs, labels, 10).edges[-1]  # of the stored length
+    assert edges[0] == 7 and edges[-1] == 1007
+
+
 def test_quality_sum_of_squares():
     """The linear-time form equals the sum over pairs."""
     rng = np.random.default_rng(3)

@@ -158,7 +158,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
-    """The rows whose score reaches the threshold, as they are."""
+    """The rows whose score reaches the threshold, as they are.
+
+    Without a model (no training rows of both labels) nothing is known to be poor, and all rows stay; ``score``
+    gives 0 to all of them then.
+    """
     if model is None:
         return docs
     told = docs.sparkSession.sparkContext.broadcast(model)
@@ -176,8 +180,8 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """Fits on labels of ids whose crc32 mod 4 is not 2. A training text's stored length is its length."""
-    return fit(sample(docs, labels, "quality", id_crc() % 4 != 2, per_class))
+    """Fits on labels of ids whose crc32 mod 4 is not 2, with the texts' stored lengths."""
+    return fit(*sample(docs, labels, "quality", id_crc() % 4 != 2, per_class))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is below the threshold, as they are."""
+    """The rows whose score is below the threshold, as they are; all of them without a model."""
     if model is None:
         return docs
     told = docs.sparkSession.sparkContext.broadcast(model)
@@ -371,7 +371,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) ->
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """Fits on labels of ids whose crc32 mod 5 is not 0."""
-    return fit(sample(docs, labels, "toxic", id_crc() % 5 != 0, per_class))
+    return fit(sample(docs, labels, "toxic", id_crc() % 5 != 0, per_class)[0])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
