@@ -85,17 +85,33 @@ def test_ngram_join_given(spark):
     assert order(ngram_join.op2_ngram_jaccard_join(spark, SF).collect()) == order(brute(rows, 3, 90, 100))
 
 
-def test_blocks_agree_within_the_limit():
-    """Any two sets within the threshold share a key."""
-    limits, rng = ngram_join.Limits(90, 100), np.random.default_rng(6)
-    for n in (10, 12, 19, 40, 250, 999):
-        for _ in range(30):
-            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
-            gone = int(rng.integers(0, int(len(a) * 10 / 190 * 2) + 1))
-            new = rng.integers(0, 2**64, int(rng.integers(0, gone + 1)), np.uint64)
-            b = np.unique(np.r_[a[gone:], new])
-            if limits.linked(len(np.intersect1d(a, b)), len(a) + len(b)) and not np.array_equal(a, b):
-                assert len(np.intersect1d(limits.keys(a), limits.keys(b)))
+def test_linked_sets_share_a_cell():
+    """Any two sets within the threshold share a cell in which pairs with as many lonely shingles are looked for."""
+    rng, tried = np.random.default_rng(6), 0
+    for num in (90, 80, 60):
+        limits = ngram_join.Limits(num, 100)
+        for n in (4, 10, 12, 19, 40, 250, 999):
+            for _ in range(40):
+                both = rng.integers(0, 2**64, n, np.uint64)
+                most = int(n * (100 - num) / num * 0.5) + 2
+                # shingles of one side alone that other sets have, and lonely ones
+                (a, ua), (b, ub) = ((np.unique(np.r_[both, rng.integers(0, 2**64, int(rng.integers(0, most)), np.uint64)]), int(rng.integers(0, most))) for _ in range(2))
+                if limits.linked(len(np.intersect1d(a, b)), len(a) + ua + len(b) + ub) and not (np.array_equal(a, b) and ua + ub == 0):
+                    tried += 1
+                    x, y = limits.cells(a, len(a) + ua), limits.cells(b, len(b) + ub)
+                    _, i, j = np.intersect1d(x[0], y[0], return_indices=True)
+                    assert (x[1][i] == y[1][j]).all() and (x[2][i] == y[2][j]).all()
+                    assert ((x[1][i] <= ua + ub) & (ua + ub <= x[2][i])).any()
+    assert tried > 200
+
+
+def test_lonely_shingles_rule_out_no_partner():
+    """A set without any partner loses at least ``spare`` shingles to each; a set with one loses fewer."""
+    for num in (50, 75, 80, 90, 99, 100):
+        limits = ngram_join.Limits(num, 100)
+        for n in range(1, 120):
+            fewest = min(k for k in range(n + 2) if k == n + 1 or not limits.linked(n - k, n + n - k))
+            assert limits.spare(n) == fewest
 
 
 def test_components(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,43 +23,71 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own; on a cluster such a folder would be
+    another one on each machine, so a missing setting is an error there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of the queries run inside as soon as each has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    with short_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a reread, not the work before.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, f"{shared_dir(df.sparkSession)}/stash-{tag}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """The tables that one call writes for itself: a folder in the shared folder, deleted once at the end.
+
+    What the call returns must not read them: ``stash`` the result inside the ``with`` block.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/scratch-{tag}-{uuid.uuid4().hex}"
 
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """As ``stash``, in this folder."""
+        return _written(df, f"{self.path}/{tag}-{uuid.uuid4().hex}")
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files that no plan refers to any more, as those behind written tables."""
-    import gc
+    def __enter__(self) -> Scratch:
+        return self
 
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    def __exit__(self, *_: object) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def unstash(*tables: DataFrame) -> None:
-    """Deletes tables that ``stash`` wrote; nothing may read them later."""
-    for df in tables:
-        for path in df.inputFiles()[:1]:
-            folder = path.rsplit("/", 1)[0]
-            if "/stash-" in folder:
-                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def id_crc(col: str | Column = "doc_id") -> Column:

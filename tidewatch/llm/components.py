@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +24,18 @@ def _small(edges: DataFrame) -> DataFrame:
     return joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, keep: Callable[[DataFrame, str], DataFrame] = stash) -> DataFrame:
     """node, root (the smallest node reachable) of every node that isn't its own root.
 
-    Each round costs two shuffles of the edges and is written to the shared folder; the number of rounds grows
+    Each round costs two shuffles of the edges and is written by ``keep`` to the shared folder; the number of rounds grows
     with the logarithm of the longest path. Only a count and a checksum reach the driver.
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = stash(now, "edges")
+    now = keep(now, "edges")
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(mark)
-        now = stash(_small(_large(now).distinct()).distinct(), "edges")
+        now = keep(_small(_large(now).distinct()).distinct(), "edges")

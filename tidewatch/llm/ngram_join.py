@@ -1,27 +1,28 @@
-"""N-gram Jaccard join over an index of count vectors.
+"""N-gram Jaccard join over a tree of count vectors.
 
 A document is the set of its distinct word shingles. Shingles are hashed into groups; the counts of a document's
 shingles in the groups are its point. For sets of sizes a and b the overlap is at most the sum over groups of
 the smaller count, and Jaccard >= t holds exactly if the overlap reaches t / (1 + t) * (a + b), that is, if the
-points' L1 distance can be at most (a + b) * (1 - t) / (1 + t).
-
-The index is a tree of points:
-
-* Root: size class, then blocks of neighbouring groups. A class with distance limit E has E + 1 blocks; two
-  points within the limit must agree in all counts of at least one block (differences of at most E can touch at
-  most E blocks). So a node files under (class, block, counts of the block), and a cell of the root holds all
-  its possible partners. A size class and the next are met in the classes that a partner can be in.
-* Leaves: the points of a cell are packed by their first coordinates, with the box (least and greatest
-  coordinates) of each leaf. The sum of minima of a point and a box bounds the overlap with all in the leaf.
-* Points: the sum of coordinate minima of two points bounds their overlap, first over few groups, then over 65,536
-  (written as the sorted group numbers of the shingles). Survivors are verified on their sets.
+sets differ in at most (a + b) * (1 - t) / (1 + t) shingles.
+
+1. Lonely shingles. A shingle that no other set has can't be in an overlap, and a partner of a set of n shares at
+   least t * n of them. So a set with more lonely shingles than (1 - t) * n has no partner. They are counted over all sets in
+   two steps: among a share of the shingles (by hash), then, for the sets that are left, among all of them.
+   What is left is reduced by its lonely shingles, which takes them off the overlap and off the limit of the distance.
+2. The tree. A set of size class c (with limit E) and u lonely shingles may differ from partners in E - u more. For
+   d = 0, 1, 2..3, 4..7, ... up to that, the groups are cut into d + 1 blocks, half as wide at each level: two points that differ in at most
+   d agree in all counts of at least one block. So a node files under (class, level, block, counts of the block), and a
+   pair is looked for at one level alone, that of E less the lonely shingles of both.
+3. Cells. The points of a cell are packed into leaves by their numbers of lonely shingles, with the greatest coordinates of each leaf.
+   The sum of minima of a point and a leaf's box bounds the overlap with all in the leaf, the sum of minima of two
+   points that of the pair. Survivors are verified on their sets.
 
 Groups of copies are not expanded into pairs: equal sets are one node from the start. A first pass compares each
 node with the smallest node of its cells, a second one with the smallest node of each of its cells that is still in
 another component. The nodes that are then in different components of a cell are searched through leaves and points,
 all pairs that the bounds let through and that were not tried yet, so no link between components is lost.
 
-Shingles are compared by 64-bit hashes.
+Shingles and sets are compared by 64-bit hashes. All joins are left to Spark's size estimates.
 
 Edge cases: a null text, or one without words, has an empty set and links with nothing (component_id is its own
 doc_id); a text with fewer words than a shingle is one shingle of all its words; repeated rows and equal texts
@@ -39,17 +40,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import read, release, stash, text_slices, unstash
+from tidewatch.llm.common import Scratch, fresh, read, stash, text_slices
 from tidewatch.llm.components import components
 
 #: Coordinates of the points that bounds are computed on.
 GROUPS = 64
-#: Up to this many nodes (16 bytes each) are sent to every task to pick texts; more are joined by a shuffle.
-FEW = 500_000
-#: Groups in each block of the root.
-BLOCK_GROUPS = 64
-#: Coordinates that leaves are packed by, and the width of their cells.
-LEAF_COORDINATES, LEAF_WIDTH = 4, 8
+#: Groups in each block of the tree.
+BLOCK_GROUPS = 1024
+#: Share of a set's shingles that the first search for lonely ones looks at, as a multiple of 1 - t.
+SHARE = 1.75
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20)  # fixed: nodes and keys must be the same in every task
@@ -118,24 +117,37 @@ class Limits:
             self.begin.append(max(self.begin[-1] + 1, self.begin[-1] * 11 * self.den // (10 * self.num)))
         return int(np.searchsorted(self.begin, n, side="right")) - 1
 
-    def blocks(self, c: int) -> int:
-        """One more than the largest distance of two linked points whose larger size is in class c."""
-        return 2 * (self.begin[c + 1] - 1) * (self.den - self.num) // (self.den + self.num) + 1
-
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """The root cells of a set."""
-        out = []
-        for c in range(self.class_of(len(h)), self.class_of(len(h) * self.den // self.num) + 1):
-            m = self.blocks(c)
-            if m == 1:  # linked sets of this class are equal
-                continue
-            group = (h >> _U(32)) * _U(m * BLOCK_GROUPS) >> _U(32)
-            total = np.zeros(len(h) + 1, _U)
-            np.cumsum(_mix(group + _U(1)), out=total[1:])
-            cut = np.searchsorted(group, np.arange(m + 1, dtype=_U) * _U(BLOCK_GROUPS))
-            counts = total[cut[1:]] - total[cut[:-1]]  # the same for equal counts in all groups of a block
-            out.append(_mix(counts ^ _mix(np.arange(m, dtype=_U) + _U(c << 32))))
-        return np.concatenate(out) if out else np.empty(0, _U)
+    def distance(self, c: int) -> int:
+        """The largest distance of two linked sets whose larger size is in class c."""
+        return 2 * (self.begin[c + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+
+    def spare(self, n: int) -> int:
+        """So many shingles that no partner has rule all partners of a set of n out."""
+        return n - -(-n * self.num // self.den) + 1
+
+    def spare_of(self, n: str) -> Column:
+        return F.expr(f"{n} - ({n} * {self.num} + {self.den - 1}) div {self.den} + 1")
+
+    def cells(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cells of a set of n shingles, h of which are not lonely: their keys, and for each the least and the
+        greatest number of lonely shingles that the two sets of a pair looked for in it have together."""
+        out, lonely = [], n - len(h)
+        for c in range(self.class_of(n), self.class_of(n * self.den // self.num) + 1):
+            limit, low, high = self.distance(c), 0, 0
+            while low <= limit - lonely:
+                most = min(high, limit)
+                m = most + 1
+                group = (h >> _U(32)) * _U(m * BLOCK_GROUPS) >> _U(32)
+                total = np.zeros(len(h) + 1, _U)
+                np.cumsum(_mix(group + _U(1)), out=total[1:])
+                cut = np.searchsorted(group, np.arange(m + 1, dtype=_U) * _U(BLOCK_GROUPS))
+                counts = total[cut[1:]] - total[cut[:-1]]  # the same for equal counts in all groups of a block
+                key = _mix(counts ^ _mix(np.arange(m, dtype=_U) + _U((c << 48) + (m << 24))))
+                out.append((key, np.full(m, limit - most), np.full(m, limit - low)))
+                low, high = high + 1, 2 * high + 1
+        if not out:
+            return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def needed(self, total: Column) -> Column:
         """The least overlap of linked sets whose sizes add up to ``total``."""
@@ -160,145 +172,170 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def signatures(docs: DataFrame, width: int, limits: Limits) -> DataFrame:
-    """doc_id, text_key, n, node, point and keys of every document."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("text_key", "n", "node")), T.StructField("point", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+def _row() -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64("doc_id", F.xxhash64(_text()))
+
+
+def signatures(docs: DataFrame, width: int, share: float) -> DataFrame:
+    """doc_id, row, n, node and some (that share of the shingles, by hash) of every document."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("row", "n", "node")), T.StructField("some", T.ArrayType(T.LongType()))])
+    most = _U(min(2**64 - 1, int(share * 2**64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in text_slices(batch, 2):
                 part = batch.slice(i, j - i)
                 sets = shingle_sets(part.column(2).to_pylist(), width)
-                points = [np.bincount((h & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32) for h in sets]
-                keys = [limits.keys(h).view(np.int64) if len(h) else np.empty(0, np.int64) for h in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array([_node(h) for h in sets], pa.int64()), _lists(points, pa.int32()), _lists(keys, pa.int64())], schema.names)
+                some = [h[h * _U(_P) <= most].view(np.int64) for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array([_node(h) for h in sets], pa.int64()), _lists(some, pa.int64())], schema.names)
 
-    return docs.select("doc_id", F.xxhash64(_text()).alias("text_key"), _text().cast("binary").alias("text")).mapInArrow(run, schema)
-
-
-def _overlap_bound(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return docs.select("doc_id", _row().alias("row"), _text().cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def _common(x: np.ndarray, y: np.ndarray, distinct: bool) -> int:
-    """Size of the intersection of sorted values; of repeated values the smaller count."""
-    if distinct:
-        return len(np.intersect1d(x, y, assume_unique=True))
-    (u, n), (v, m) = (np.unique(z, return_counts=True) for z in (x, y))
-    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
+def _lonely(sets: DataFrame, shingles: str) -> DataFrame:
+    """node and shingle: those that a single node has. Counted in each task first, so a frequent shingle costs a row a task."""
+    filed = sets.select("node", F.explode(shingles).alias("shingle"))
+    return filed.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where(F.col("node") == F.col("last")).select("node", "shingle")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, limits: Limits) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked: bounds over few and over many groups, then the sets."""
-    own = nodes.select("node", "n", "point")
-    near = pairs.join(own.toDF("a", "na", "pa"), "a").join(own.toDF("b", "nb", "pb"), "b")
-    near = stash(near.where(_overlap_bound("pa", "pb") >= limits.needed(F.col("na") + F.col("nb"))).select("a", "b"), "near")
-    asked = stash(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "text_key"), "node").select("node", "text_key"), "asked")
-    texts = docs.select(F.xxhash64(_text()).alias("text_key"), _text().cast("binary").alias("text"))
-    sets = texts.join(F.broadcast(asked) if asked.count() <= FEW else asked, "text_key")
+def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+    """node and shingles of the chosen rows (node, row)."""
+    texts = docs.select(_row().alias("row"), _text().cast("binary").alias("text")).join(chosen.select("node", "row"), "row").dropDuplicates(["row"])
 
-    def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in text_slices(batch, 1):
                 part = batch.slice(i, j - i)
                 own = shingle_sets(part.column(1).to_pylist(), width)
-                fine = [(h >> _U(48)).astype(np.uint16).tobytes() for h in own]  # sorted, as the sets are
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fine, pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())], ["node", "fine", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([h.view(np.int64) for h in own], pa.int64())], ["node", "shingles"])
 
-    sets = stash(sets.select("node", "text").mapInArrow(read_sets, "node bigint, fine binary, shingles binary"), "sets")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
-    def compare(kind: type, distinct: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
-                    keep.append(limits.linked(_common(x, y, distinct), len(x) + len(y)))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return run
+def _filed(sets: DataFrame, limits: Limits) -> DataFrame:
+    """node, n, lonely, point, shingles (those not lonely) and cells of the sets (node, shingles, alone) that may have partners."""
+    schema = "node bigint, n bigint, lonely bigint, point array<int>, shingles binary, keys array<bigint>, least array<int>, most array<int>"
+    names = ["node", "n", "lonely", "point", "shingles", "keys", "least", "most"]
 
-    for column, kind, distinct in (("fine", np.uint16, False), ("shingles", _U, True)):
-        own = sets.select("node", column).dropDuplicates(["node"])
-        joined = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        before, near = near, stash(joined.mapInArrow(compare(kind, distinct), "a bigint, b bigint"), f"near-{column}")
-        unstash(before)
-    unstash(sets, asked)
-    release(docs.sparkSession)
-    return near
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                at, n, held, cells = [], [], [], []
+                for k in range(part.num_rows):
+                    h, alone = (np.asarray(part.column(c)[k].values).astype(np.int64).view(_U) if part.column(c)[k].is_valid else np.empty(0, _U) for c in (1, 2))
+                    if len(alone) < limits.spare(len(h)):
+                        own = h[~np.isin(h, alone)]
+                        at.append(k)
+                        n.append(len(h))
+                        held.append(own)
+                        cells.append(limits.cells(own, len(h)))
+                points = [np.bincount((h & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32) for h in held]
+                lonely = [a - len(h) for a, h in zip(n, held, strict=True)]
+                columns = [part.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(lonely, pa.int64()), _lists(points, pa.int32()), pa.array([h.tobytes() for h in held], pa.binary())]
+                columns += [_lists([x[0].view(np.int64) for x in cells], pa.int64()), *(_lists([x[k].astype(np.int32) for x in cells], pa.int32()) for k in (1, 2))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return sets.select("node", "shingles", "alone").mapInArrow(run, schema)
 
 
-def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, tried: DataFrame, limits: Limits) -> DataFrame:
+def _overlap_bound(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, limits: Limits, own: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked: the bound by points, then the sets."""
+    points = nodes.select("node", "n", "lonely", "point")
+    near = pairs.join(points.toDF("a", "na", "ua", "pa"), "a").join(points.toDF("b", "nb", "ub", "pb"), "b")
+    total = F.col("na") + F.col("nb")
+    near = near.where((F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")) >= limits.needed(total)) & (_overlap_bound("pa", "pb") >= limits.needed(total)))
+    near = own.keep(near.select("a", "b", total.alias("total")), "near")
+    sets = nodes.select("node", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, total in zip(batch.column(3), batch.column(4), batch.column(2).to_pylist(), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
+                keep.append(limits.linked(len(np.intersect1d(x, y, assume_unique=True)), total))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "total", "x", "y")
+    return own.keep(joined.mapInArrow(run, "a bigint, b bigint"), "linked")
+
+
+def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, tried: DataFrame, limits: Limits, own: Scratch) -> DataFrame:
     """Untried pairs of nodes of one cell but different components, as far as leaf boxes and points let them through."""
-    now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # in a cell of two nodes the only pair was tried in the first passes
     split = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select("key")
-    now = stash(now.join(split, "key").select("key", "node", "root"), "split")
+    now = own.keep(now.join(split, "key").select("key", "node", "root", "least", "most"), "split")
     # the component with most nodes in a cell is only searched, the others search
     sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    points = now.join(main, "key").join(nodes.select("node", "n", "point"), "node")
-    points = points.withColumn("leaf", F.xxhash64(*[F.floor(F.col("point")[i] / LEAF_WIDTH) for i in range(LEAF_COORDINATES)]))
-    points = stash(points, "points")
-    boxes = points.groupBy("key", "leaf").agg(F.max("n").alias("n_max"), *(F.max(F.col("point")[i]).alias(f"p{i}") for i in range(GROUPS)))
-    boxes = boxes.select("key", "leaf", "n_max", F.array(*(f"p{i}" for i in range(GROUPS))).alias("box"))
-    asks = points.where(F.col("root") != F.col("main")).select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    # a partner is no smaller than num / den of the asking node, so this is the least overlap it can need
-    least = F.ceil(F.col("na") * F.lit(limits.num) / F.lit(limits.den) - F.lit(1e-9))
-    visits = asks.join(boxes, "key").where((_overlap_bound("pa", "box") >= least) & (F.col("n_max") >= least)).drop("box", "n_max")
-    found = points.select("key", "leaf", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    points = own.keep(now.join(main, "key").join(nodes.select("node", "n", "lonely", "point"), "node"), "points")
+    boxes = points.groupBy("key", F.col("lonely").alias("leaf")).agg(F.min("n").alias("n_min"), *(F.max(F.col("point")[i]).alias(f"p{i}") for i in range(GROUPS)))
+    boxes = boxes.select("key", "leaf", "n_min", F.array(*(f"p{i}" for i in range(GROUPS))).alias("box"))
+    asks = points.where(F.col("root") != F.col("main")).select("key", "least", "most", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("lonely").alias("ua"), F.col("point").alias("pa"))
+    least = limits.needed(F.col("na") + F.col("n_min"))
+    visits = asks.join(boxes, "key").where((F.col("ua") + F.col("leaf")).between(F.col("least"), F.col("most")) & (F.col("na") - F.col("ua") >= least) & (_overlap_bound("pa", "box") >= least)).drop("box", "n_min", "least", "most")
+    found = points.select("key", F.col("lonely").alias("leaf"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    needed = limits.needed(F.col("na") + F.col("nb"))
     # two asking nodes meet twice; the smaller one keeps the pair
-    meet = visits.join(found, ["key", "leaf"]).where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b"))) & (_overlap_bound("pa", "pb") >= limits.needed(F.col("na") + F.col("nb"))))
+    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b")))
+    meet = visits.join(found, ["key", "leaf"]).where(apart & (F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("leaf")) >= needed) & (_overlap_bound("pa", "pb") >= needed))
     pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stash(pairs.join(tried, ["a", "b"], "left_anti"), "more")
-    unstash(now, points)
-    release(members.sparkSession)
-    return more
+    return own.keep(pairs.join(tried, ["a", "b"], "left_anti"), "more")
+
+
+def _roots(docs: DataFrame, signed: DataFrame, width: int, limits: Limits, own: Scratch) -> DataFrame:
+    """node and root (the smallest node of its component) of every node that isn't its own root."""
+    nodes = signed.where(F.col("n") > 0).groupBy("node").agg(F.min("n").alias("n"), F.min("row").alias("row"))
+    known = _lonely(signed, "some").groupBy("node").agg(F.count(F.lit(1)).alias("known"))
+    alive = nodes.join(known, "node", "left").where(F.coalesce("known", F.lit(0)) < limits.spare_of("n"))
+    sets = own.keep(_sets(docs, own.keep(alive.select("node", "row"), "alive"), width), "sets")
+    alone = _lonely(sets, "shingles").groupBy("node").agg(F.collect_list("shingle").alias("alone"))  # no more than the set has
+    nodes = own.keep(_filed(sets.join(alone, "node", "left"), limits), "nodes")
+    filed = nodes.select("node", F.explode(F.arrays_zip("keys", "least", "most")).alias("c")).select("node", F.col("c.keys").alias("key"), "c.least", "c.most")
+    shared = filed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
+    members = own.keep(filed.join(shared, "key").select("key", "node", "first", "least", "most"), "members")
+    others = members.where(F.col("node") != F.col("first"))
+    tried = own.keep(others.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "tried")
+    links = _verified(tried, nodes, limits, own)
+    roots = components(links, "a", "b", own.keep)
+    # the smallest nodes of other cells, as far as they are still apart
+    apart = others.join(roots, "node", "left").join(roots.toDF("first", "first_root"), "first", "left").where(F.coalesce("root", "node") != F.coalesce("first_root", "first"))
+    stars = own.keep(apart.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "stars")
+    links = links.union(_verified(stars, nodes, limits, own))
+    roots = components(links, "a", "b", own.keep)
+    more = _across(members.select("key", "node", "least", "most"), roots, nodes, tried.union(stars), limits, own)
+    return components(links.union(_verified(more, nodes, limits, own)), "a", "b", own.keep)
 
 
 def join_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, linked at Jaccard >= num / den."""
+    """doc_id, n_shingles, component_id, root and row of every document, linked at Jaccard >= num / den."""
     limits = Limits(num, den)
-    signed = stash(signatures(docs, width, limits), "signed")
-    full = signed.where(F.col("n") > 0)
-    nodes = stash(full.groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("point").alias("point")), "nodes")
-    filed = full.select("node", F.explode("keys").alias("key"))
-    shared = filed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last"))
-    members = stash(filed.join(shared.select("key", "first"), "key").distinct(), "members")
-    slim = stash(signed.select("doc_id", "text_key", "n", "node"), "slim")
-    unstash(signed)
-    release(docs.sparkSession)
-    others = members.where(F.col("node") != F.col("first"))
-    tried = stash(others.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "tried")
-    links = _verified(tried, docs, nodes, width, limits)
-    roots = components(links, "a", "b")
-    # the smallest nodes of other cells, as far as they are still apart
-    apart = others.join(roots, "node", "left").join(roots.toDF("first", "first_root"), "first", "left").where(F.coalesce("root", "node") != F.coalesce("first_root", "first"))
-    stars = stash(apart.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "stars")
-    links = links.union(_verified(stars, docs, nodes, width, limits))
-    roots = components(links, "a", "b")
-    more = _across(members.select("key", "node"), roots, nodes, tried.union(stars), limits)
-    unstash(members)
-    links = links.union(_verified(more, docs, nodes, width, limits))
-    roots = components(links, "a", "b")
-    placed = stash(slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    unstash(slim, nodes, tried, stars, more)
-    release(docs.sparkSession)
-    least = placed.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "root", "text_key")
+    with Scratch(docs.sparkSession, "ngram-join") as own:
+        signed = own.keep(signatures(docs, width, SHARE * (den - num) / den), "signed")
+        roots = _roots(docs, signed, width, limits, own)
+        placed = signed.select("doc_id", "row", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = own.keep(placed, "placed")
+        least = placed.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        id_of = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        return stash(placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), id_of.alias("component_id"), "root", "row"), "components")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without near copies: of each component the one of the smallest doc_id (nulls last), ties by
-    a hash of the text; documents without words all stay. Rows equal in id and text stay or go together."""
-    found = stash(join_components(docs, width, num, den), "components")
-    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")
-    first = found.where(F.col("n_shingles") > 0).groupBy("root").agg(F.min(order).alias("s")).select("s.doc_id", "s.text_key")
-    kept = first.unionByName(found.where(F.col("n_shingles") == 0).select("doc_id", "text_key"))
-    keys = kept.select(F.xxhash64("doc_id", "text_key").alias("__row")).distinct().hint("merge")
-    return docs.withColumn("__row", F.xxhash64("doc_id", F.xxhash64(_text()))).join(keys, "__row", "left_semi").drop("__row")
+    a hash of id and text; documents without words all stay. Rows equal in id and text stay or go together; all
+    columns of ``docs`` come back as they are."""
+    found = join_components(docs, width, num, den)
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")
+    first = found.where(F.col("n_shingles") > 0).groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.row").alias("first"))
+    gone = found.where(F.col("n_shingles") > 0).join(first, "root").where(F.col("row") != F.col("first"))
+    row = fresh("row", docs)
+    return docs.withColumn(row, _row()).join(gone.select(F.col("row").alias(row)).distinct(), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
