@@ -22,7 +22,7 @@ node with the smallest node of its cells, a second one with the smallest node of
 another component. The nodes that are then in different components of a cell are searched through leaves and points,
 all pairs that the bounds let through and that were not tried yet, so no link between components is lost.
 
-Shingles and sets are compared by 64-bit hashes. All joins are left to Spark's size estimates.
+Shingles and sets are compared by 64-bit hashes. Joins with whole texts are merge joins at every size, the others are left to Spark's size estimates.
 
 Edge cases: a null text, or one without words, has an empty set and links with nothing (component_id is its own
 doc_id); a text with fewer words than a shingle is one shingle of all its words; repeated rows and equal texts
@@ -200,8 +200,8 @@ def _lonely(sets: DataFrame, shingles: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """node and shingles of the chosen rows (node, row)."""
-    texts = docs.select(_row().alias("row"), _text().cast("binary").alias("text")).join(chosen.select("node", "row"), "row").dropDuplicates(["row"])
+    """node and shingles of the chosen rows (node, row). These grow with the corpus, so the join is a merge at every size."""
+    texts = docs.select(_row().alias("row"), _text().cast("binary").alias("text")).join(chosen.select("node", "row").hint("merge"), "row").dropDuplicates(["row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +335,7 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     first = found.where(F.col("n_shingles") > 0).groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.row").alias("first"))
     gone = found.where(F.col("n_shingles") > 0).join(first, "root").where(F.col("row") != F.col("first"))
     row = fresh("row", docs)
-    return docs.withColumn(row, _row()).join(gone.select(F.col("row").alias(row)).distinct(), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return docs.withColumn(row, _row()).join(gone.select(F.col("row").alias(row)).distinct().hint("merge"), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
