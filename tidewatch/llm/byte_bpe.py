@@ -1,8 +1,7 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside Spark tasks.
 
-Spark deals the texts out. In each task the texts are cut into chunks at spaces (a cut that no match of
-the tokenizer's pattern can cross), the distinct new chunks into matches, and the distinct new matches go
-to an in-process DuckDB: token-position rows (word, position, token) join the merge table, every word
+Spark deals the texts out. In each task the texts are cut into the matches of the tokenizer's pattern, and the
+distinct new matches go to an in-process DuckDB: token-position rows (word, position, token) join the merge table, every word
 contracts its leftmost pair of minimum rank, and the query recurs until no word has a pair left.
 Equal pairs of one word contract in one round where that gives the same result as one at a time (see
 ``_merges``), so a word of many repeats doesn't need a round each. Ordered aggregation turns the rows
@@ -19,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +28,13 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.common import read, text_slices
 
-#: Chunks and words that a worker remembers at most, but for those of one slice; beyond it the memo starts anew.
+#: Matches that a worker remembers at most, but for those of one slice; beyond it the memo starts anew.
 MEMO = 1_200_000
 #: Bytes of a word that the query for short words takes.
 SHORT = 64
 #: Words given to one DuckDB query.
 WORDS = 15_000
 
-_SPLIT = re.compile(r"(?<=\S) ")
-_ODD = re.compile(r"\s |^ ")
-
 #: One round: the token-position rows of every word (made from its list of tokens) join the merge table,
 #: and the word contracts its leftmost pair of minimum rank. A key holds the merged token and the place of
 #: the pair, so the smallest key is that pair. Words without a pair left drop out; a word's last list is
@@ -97,7 +92,7 @@ encoded AS (SELECT w, list(tok ORDER BY pos) AS ids FROM last GROUP BY w)
 
 #: Ends both: ids as text, and the bytes that they decode to, both by ordered aggregation.
 _DECODE = """
-SELECT count(*) AS n, string_agg(v.id::VARCHAR, ' ' ORDER BY p.pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY p.pos)) AS bytes
+SELECT string_agg(v.id::VARCHAR, ' ' ORDER BY p.pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY p.pos)) AS bytes
 FROM (SELECT w, unnest(ids) AS tok, unnest(range(len(ids))) AS pos FROM encoded) p
 JOIN vocabulary v ON v.id = p.tok GROUP BY p.w ORDER BY p.w
 """
@@ -120,7 +115,7 @@ def _merges(ranks: dict[bytes, int]) -> list[tuple[int, int, int, bool]]:
 
 
 class Codec:
-    """Encodes and decodes distinct words in DuckDB, and remembers chunks of text."""
+    """Encodes and decodes distinct words in DuckDB, and remembers them."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
@@ -139,18 +134,14 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.memo: dict[str, tuple[str, bytes]] = {}
 
-    def words(self, words: list[bytes]) -> list[tuple[int, str, bytes]]:
-        """Number of ids of each word, the ids, and the bytes that they decode to."""
+    def words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        """The ids of each word, and the bytes that they decode to."""
         out: list = [None] * len(words)
         short, long = [], []
         for i, x in enumerate(words):
-            whole = self.ranks.get(x)  # a word that is a token needs no merge
-            if whole is not None:
-                out[i] = (1, str(whole), x)
-            else:
-                (short if len(x) <= SHORT else long).append(i)
+            (short if len(x) <= SHORT else long).append(i)
         for which, query, size in ((short, _SHORT_WORDS, WORDS), (long, _LONG_WORDS, 50)):
             for k in range(0, len(which), size):
                 part = which[k : k + size]
@@ -158,7 +149,7 @@ class Codec:
                     out[i] = found
         return out
 
-    def _contract(self, words: list[bytes], query: str) -> Iterator[tuple[int, str, bytes]]:
+    def _contract(self, words: list[bytes], query: str) -> Iterator[tuple[str, bytes]]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         tok = self.single[np.frombuffer(b"".join(words), np.uint8)]
         if (tok < 0).any():
@@ -168,42 +159,21 @@ class Codec:
         self.db.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
         found = self.db.sql(query + _DECODE).to_arrow_table()
         self.db.unregister("start")
-        return zip(*(found.column(c).to_pylist() for c in ("n", "ids", "bytes")), strict=True)
-
-    def learn(self, new: set[str]) -> None:
-        """Adds chunks, and the matches that they are made of, to the memo."""
-        memo, find = self.memo, self.find
-        # letters after one space are a single match; the pattern finds the others
-        single = {c for c in new if c[0] == " " and c[1:].isalpha() and c.isascii()}
-        found = {c: find(c) for c in new.difference(single)}
-        words = list(single.union(*found.values()).difference(memo))
-        memo.update(zip(words, self.words([x.encode() for x in words]), strict=True))
-        for c, ms in found.items():
-            if len(ms) > 1:
-                n, ids, back = zip(*[memo[m] for m in ms], strict=True)
-                memo[c] = sum(n), " ".join(ids), b"".join(back)
+        return zip(*(found.column(c).to_pylist() for c in ("ids", "bytes")), strict=True)
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Number of ids, the ids joined by spaces, and the decoded bytes of each text."""
-        cut = [chunks(x) for x in texts]
-        new = set().union(*cut).difference(self.memo)
+        matches = list(map(self.find, texts))
+        new = set().union(*matches).difference(self.memo)
         if len(self.memo) + len(new) > MEMO and self.memo:
             self.memo.clear()
-            new = set().union(*cut)
-        if new:
-            self.learn(new)
-        known = self.memo.__getitem__
-        for c in cut:
-            rows = list(map(known, c))
-            yield sum([x[0] for x in rows]), " ".join([x[1] for x in rows]), b"".join([x[2] for x in rows])
-
-
-def chunks(text: str) -> list[str]:
-    """Cuts before a space that follows a non-space: no match of the pattern spans such a cut."""
-    if not text:
-        return []
-    cut = _SPLIT.split(text) if _ODD.search(text) else text.split(" ")
-    return [cut[0], *[" " + x for x in cut[1:]]]
+            new = set().union(*matches)
+        new = list(new)
+        self.memo.update(zip(new, self.words([x.encode() for x in new]), strict=True))
+        for own in matches:
+            found = [*map(self.memo.__getitem__, own)]
+            ids = " ".join([x[0] for x in found])
+            yield ids.count(" ") + 1 if found else 0, ids, b"".join([x[1] for x in found])
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -227,7 +197,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, schema: T.StructType, form
         if codec is None:
             codec = _CODECS[path, pattern] = Codec(path, pattern)
         for batch in batches:
-            for i, j in text_slices(batch, limit=8_000_000):
+            for i, j in text_slices(batch, limit=4_000_000):
                 part = batch.slice(i, j - i)
                 columns = zip(*(form(*x) for x in codec.texts(part.column(1).to_pylist())), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], schema.names)
