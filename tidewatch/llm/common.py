@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +110,13 @@ def text_slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES
         yield begin, len(lengths)
 
 
+def cut_at_spaces(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of texts between spaces, the pieces of all texts in turn (by number), and where each text ends."""
+    cut = pc.split_pattern(texts, " ")
+    coded = cut.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
 def salted_rank(df: DataFrame, keys: list[str], out: str, salt_on: list[str], order: list[str] | None = None, salts: int = 64) -> DataFrame:
     """Adds ``out``: a gapless rank from 0 among the rows of equal ``keys``.
 

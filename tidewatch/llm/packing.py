@@ -24,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import read, salted_rank, stash, text_slices
+from tidewatch.llm.common import cut_at_spaces, read, salted_rank, stash, text_slices
 
 CAPACITY = 2048
 END_ID = 0
 #: Chunks of text that a worker remembers at most, but for those of one slice.
-MEMO = 600_000
+MEMO = 1_000_000
+#: Marks that are units of their own after a word of letters.
+_MARKS = ".,;:!?"
 #: Width of the length classes that patterns are made of.
 CLASS_WIDTH = 32
 
@@ -43,6 +46,8 @@ class Tokenizer:
 
     The tokenizer drops white space before it merges, so no token spans a space or a line end; the literals of its
     special tokens hold neither. A text that has such a literal gets the special token's id, as by the tokenizer's default.
+    A word of letters is one unit for it, with its case folded, and a mark after it another; so such words are
+    learnt many at a time, and each ends at a token that ends a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,19 +58,58 @@ class Tokenizer:
 
         self.own = Own.from_file(path)
         self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*cut).difference(self.memo)
+        vocabulary = self.own.get_vocab()
+        suffix = getattr(self.own.model, "end_of_word_suffix", None) or ""
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+        self.marks = dict(zip(_MARKS, self._one_by_one(list(_MARKS)), strict=True))
+
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, by one call for 500."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # a tokenizer that doesn't mark the ends of words
+                out += self._one_by_one(part)
+                continue
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        words: dict[str, tuple[str, str]] = {}
+        for c in new:
+            core, mark = (c[:-1], c[-1]) if c[-1:] in self.marks else (c, "")
+            if core.isascii() and core.isalpha():
+                words[c] = core.lower(), mark
+        cores = list({w for w, _ in words.values()})
+        known = dict(zip(cores, self._words(cores), strict=True))
+        marks = self.marks | {"": b""}
+        self.memo.update((c, known[w] + marks[mark]) for c, (w, mark) in words.items())
+        rest = [c for c in new if c not in words]
+        for i in range(0, len(rest), 20_000):
+            self.memo.update(zip(rest[i : i + 20_000], self._one_by_one(rest[i : i + 20_000]), strict=True))
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text ends."""
+        pieces, number, end = cut_at_spaces(pc.replace_substring(texts, "\n", " "))
+        new = set(pieces).difference(self.memo)
         if len(self.memo) + len(new) > MEMO and self.memo:
             self.memo.clear()
-            new = set().union(*cut)
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for chunk, e in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[chunk] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, c)) for c in cut]
+            new = set(pieces)
+        self.learn(new)
+        known = list(map(self.memo.__getitem__, pieces))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        data, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        sizes = size[number]
+        done = np.cumsum(sizes)
+        ids = data[np.repeat(begin[number] - (done - sizes), sizes) + np.arange(int(done[-1]) if len(done) else 0)]
+        return ids, np.r_[0, done][end]
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -81,11 +125,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         if own is None:
             own = _TOKENIZERS[tokenizer_path] = Tokenizer(tokenizer_path)
         for batch in batches:
-            for i, j in text_slices(batch, limit=8_000_000):
+            for i, j in text_slices(batch, limit=4_000_000):
                 part = batch.slice(i, j - i)
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(own.encode(part.column(1).to_pylist())):
-                    ids += end
+                all_ids, ends = own.encode(part.column(1))
+                for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                    ids = all_ids[a:b].tobytes() + end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own_ids = ids[at : at + 4 * capacity]
                         row.append(k)
