@@ -136,9 +136,12 @@ def test_components(spark):
 def test_keep_one(spark):
     rows = mutated(9)
     want = {c for _, n, c in brute(rows, 5, 80, 100) if n}
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("root", F.lit(1))
+    names = ("root", "row", "Row_", "__row", "node", "n")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
     kept = ngram_join.keep_one(docs)
-    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {r["doc_id"] for r in got} == want and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
 
 
 def search(rows, k=5):

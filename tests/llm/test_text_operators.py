@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import byte_bpe, line_dedup, packing, sharding, telephony
 
@@ -50,7 +51,7 @@ def test_byte_bpe_long_matches():
 
     c = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
-    texts = ["a" * 5000, "abcab" * 900, "!?" * 700 + "!!!" * 301, " \n" * 40 + "x", "idea\t\tx  y \n z ", "\u0085x \x1cq"]
+    texts = [*(" " + ("qzjx" * 20)[:n] for n in range(60, 68)), *(("é" * 40)[:n] for n in range(30, 34)), "a" * 5000, "abcab" * 900, "!?" * 700 + "!!!" * 301, " \n" * 40 + "x", "idea\t\tx  y \n z ", "\u0085x \x1cq"]
     for t, (n, ids, back) in zip(texts, c.texts(texts), strict=True):
         assert (ids, n, back) == (" ".join(map(str, enc.encode_ordinary(t))), len(enc.encode_ordinary(t)), t.encode())
 
@@ -254,6 +255,17 @@ def test_line_dedup_edges(spark, odd_docs, no_docs):
     assert by[4]["text"] is None and by[4]["n_lines"] == 0 and by[5]["text"] == ""
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"same line here\nown {i}", f"s{i}") for i in range(12)], "doc_id bigint, text string, source string")
+    names = ("row", "__row", "gone", "__gone", "line", "pos", "n_lines", "n_removed", "Row")[:-1]
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    got = line_dedup.drop_lines(wide)
+    assert got.columns == [*wide.columns, "n_lines_", "n_removed_"]
+    for r in got.collect():
+        assert all(r[c] == f"{c}{r['doc_id']}" for c in names)
+        assert (r["text"], r["n_lines_"], r["n_removed_"]) == ((f"own {r['doc_id']}", 2, 1) if r["doc_id"] else ("same line here\nown 0", 2, 0))
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup.op9_line_dedup(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

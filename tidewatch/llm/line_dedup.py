@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import read, stash
+from tidewatch.llm.common import fresh, read, stash
 
 MIN_SITES = 10
 #: Relative distance from the threshold within which an estimate is not trusted; at least two sites.
@@ -56,22 +56,26 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND)
 
 
 def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
-    """The documents without boilerplate; text is replaced, n_lines and n_removed are added."""
+    """The documents without boilerplate; text is replaced, n_lines and n_removed are added.
+
+    If docs has columns of these names they pass through, and the added ones get other names (``n_lines_``).
+    """
+    n_lines, n_removed = fresh("n_lines", docs), fresh("n_removed", docs)
     found, places = boilerplate(docs, min_sites, band)
     hits = stash(places.join(found.select("line"), "line"), "hits")
     first = hits.groupBy("line").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"))
     gone = hits.join(first, "line").where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("first")))
-    marked = gone.groupBy("row").agg(F.collect_set("pos").alias("__gone"))
+    row, away = fresh("row", docs), fresh("gone", docs)
+    marked = gone.groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(away))
     cut = F.split("text", "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
+    kept = F.when(F.col(away).isNull(), F.col("text")).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains(away, i)), "\n"))
     # a merge join at any size: marked positions grow with the corpus, so they are never sent whole to each task
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(marked.withColumnRenamed("row", "__row").hint("merge"), "__row", "left")
-    n_lines = F.size(F.filter(cut, lambda x: F.btrim(x, F.lit(_STRIP)) != ""))
-    return rows.select(
-        *(F.col(f"`{c}`") if c != "text" else kept.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("bigint").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("bigint").alias("n_removed"),
-    )
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(marked.hint("merge"), row, "left")
+    counts = {
+        n_lines: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(cut, lambda x: F.btrim(x, F.lit(_STRIP)) != ""))),
+        n_removed: F.when(F.col(away).isNull(), F.lit(0)).otherwise(F.size(away)),
+    }
+    return rows.select(*(F.col(f"`{c}`") if c != "text" else kept.alias("text") for c in docs.columns), *(x.cast("bigint").alias(c) for c, x in counts.items()))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
