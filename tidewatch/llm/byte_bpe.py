@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import read, text_slices
+from tidewatch.llm.common import read, text_slices, worker_memo
 
 #: Matches that a worker remembers at most, but for those of one slice; beyond it the memo starts anew.
 MEMO = 1_200_000
@@ -134,7 +134,7 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.path = path
 
     def words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
         """The ids of each word, and the bytes that they decode to."""
@@ -161,17 +161,22 @@ class Codec:
         self.db.unregister("start")
         return zip(*(found.column(c).to_pylist() for c in ("ids", "bytes")), strict=True)
 
+    @property
+    def memo(self) -> dict[str, tuple[str, bytes]]:
+        return worker_memo(("byte_bpe", self.path))
+
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Number of ids, the ids joined by spaces, and the decoded bytes of each text."""
         matches = list(map(self.find, texts))
-        new = set().union(*matches).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO and self.memo:
-            self.memo.clear()
+        memo = self.memo
+        new = set().union(*matches).difference(memo)
+        if len(memo) + len(new) > MEMO and memo:
+            memo.clear()
             new = set().union(*matches)
         new = list(new)
-        self.memo.update(zip(new, self.words([x.encode() for x in new]), strict=True))
+        memo.update(zip(new, self.words([x.encode() for x in new]), strict=True))
         for own in matches:
-            found = [*map(self.memo.__getitem__, own)]
+            found = [*map(memo.__getitem__, own)]
             ids = " ".join([x[0] for x in found])
             yield ids.count(" ") + 1 if found else 0, ids, b"".join([x[1] for x in found])
 

@@ -17,6 +17,18 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2_000_000
 
 
+_MEMO: dict[object, dict] = {}
+
+
+def worker_memo(owner: object) -> dict:
+    """What this Python worker remembers for ``owner``. Spark reuses workers, so only one operator's memo is kept:
+    when another one asks, the memory is given back."""
+    if owner not in _MEMO:
+        _MEMO.clear()
+        _MEMO[owner] = {}
+    return _MEMO[owner]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import cut_at_spaces, read, salted_rank, stash, text_slices
+from tidewatch.llm.common import cut_at_spaces, read, salted_rank, stash, text_slices, worker_memo
 
 CAPACITY = 2048
 END_ID = 0
@@ -57,13 +57,17 @@ class Tokenizer:
         from tokenizers import Tokenizer as Own
 
         self.own = Own.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.path = path
         vocabulary = self.own.get_vocab()
         suffix = getattr(self.own.model, "end_of_word_suffix", None) or ""
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
         self.marks = dict(zip(_MARKS, self._one_by_one(list(_MARKS)), strict=True))
 
+    @property
+    def memo(self) -> dict[str, bytes]:
+        return worker_memo(("packing", self.path))
+
     def _one_by_one(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -90,20 +94,22 @@ class Tokenizer:
         cores = list({w for w, _ in words.values()})
         known = dict(zip(cores, self._words(cores), strict=True))
         marks = self.marks | {"": b""}
-        self.memo.update((c, known[w] + marks[mark]) for c, (w, mark) in words.items())
+        memo = self.memo
+        memo.update((c, known[w] + marks[mark]) for c, (w, mark) in words.items())
         rest = [c for c in new if c not in words]
         for i in range(0, len(rest), 20_000):
-            self.memo.update(zip(rest[i : i + 20_000], self._one_by_one(rest[i : i + 20_000]), strict=True))
+            memo.update(zip(rest[i : i + 20_000], self._one_by_one(rest[i : i + 20_000]), strict=True))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and where each text ends."""
         pieces, number, end = cut_at_spaces(pc.replace_substring(texts, "\n", " "))
-        new = set(pieces).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO and self.memo:
-            self.memo.clear()
+        memo = self.memo
+        new = set(pieces).difference(memo)
+        if len(memo) + len(new) > MEMO and memo:
+            memo.clear()
             new = set(pieces)
         self.learn(new)
-        known = list(map(self.memo.__getitem__, pieces))
+        known = list(map(memo.__getitem__, pieces))
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         data, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
         sizes = size[number]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import id_crc, read, text_slices
+from tidewatch.llm.common import id_crc, read, text_slices, worker_memo
 from tidewatch.llm.labelled import logistic, sample
 
 PER_CLASS = 2500
@@ -125,18 +125,16 @@ def fit(rows: list[tuple[str, int]], n_chars: list[int | None] | None = None, ep
     return m
 
 
-_MEMO: dict[str, int] = {}
-
-
 def _raw(m: Model, texts: list[str], n_chars: list[int | None]) -> np.ndarray:
     """The machine's output for each text; learns new words into this worker's memo."""
     stats, words = structure(texts, n_chars)
-    new = set().union(*words).difference(_MEMO)
-    if _MEMO and len(_MEMO) + len(new) > MEMO:
-        _MEMO.clear()
+    memo: dict[str, int] = worker_memo("quality")
+    new = set().union(*words).difference(memo)
+    if memo and len(memo) + len(new) > MEMO:
+        memo.clear()
         new = set().union(*words)
-    _MEMO.update((w, word_number(w)) for w in new)
-    return m.raw(*m.encode(stats, [np.fromiter(map(_MEMO.__getitem__, w), np.int64, len(w)) for w in words])).astype(np.float64)
+    memo.update((w, word_number(w)) for w in new)
+    return m.raw(*m.encode(stats, [np.fromiter(map(memo.__getitem__, w), np.int64, len(w)) for w in words])).astype(np.float64)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

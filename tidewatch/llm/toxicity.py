@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import id_crc, read, text_slices
+from tidewatch.llm.common import id_crc, read, text_slices, worker_memo
 from tidewatch.llm.labelled import logistic, sample
 
 PER_CLASS = 2000
@@ -311,16 +311,9 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     return Model(*model, max(slope, 1e-3), level)
 
 
-_MEMO: dict[tuple, dict[str, float]] = {}
-
-
 def _raw(m: Model, texts: list[str]) -> np.ndarray:
     """The highest word's score of each text; learns new words into this worker's memo."""
-    mark = (float(m.weight.sum()), float(np.abs(m.weight).sum()), m.offset)
-    if mark not in _MEMO:
-        _MEMO.clear()
-        _MEMO[mark] = {}
-    memo = _MEMO[mark]
+    memo: dict[str, float] = worker_memo(("toxicity", float(m.weight.sum()), float(np.abs(m.weight).sum()), m.offset))
     cut = [split_words(x) for x in texts]
     new = set().union(*cut).difference(memo)
     if memo and len(memo) + len(new) > MEMO:
