@@ -34,7 +34,7 @@ from tidewatch.llm.common import cut_at_spaces, read, salted_rank, stash, text_s
 CAPACITY = 2048
 END_ID = 0
 #: Chunks of text that a worker remembers at most, but for those of one slice.
-MEMO = 1_000_000
+MEMO = 700_000
 #: Marks that are units of their own after a word of letters.
 _MARKS = ".,;:!?"
 #: Width of the length classes that patterns are made of.
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         if own is None:
             own = _TOKENIZERS[tokenizer_path] = Tokenizer(tokenizer_path)
         for batch in batches:
-            for i, j in text_slices(batch, limit=4_000_000):
+            for i, j in text_slices(batch, limit=3_000_000):
                 part = batch.slice(i, j - i)
                 row, piece, start, length, crc = [], [], [], [], []
                 all_ids, ends = own.encode(part.column(1))

@@ -35,7 +35,7 @@ WORDS = 2**15
 BINS = 10
 FACTORS = 6
 #: Words that a worker remembers at most, but for those of one slice.
-MEMO = 1_200_000
+MEMO = 400_000
 
 _KINDS = 6
 _KIND = np.full(256, 5, np.uint8)  # other signs

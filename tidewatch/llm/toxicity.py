@@ -45,7 +45,7 @@ SPAN, DECAY = 6, 0.6
 #: Longer words are scored in windows of this many signs, half overlapping.
 WINDOW = 24
 #: Words that a worker remembers at most, but for those of one slice.
-MEMO = 1_200_000
+MEMO = 400_000
 LOWEST = -4.0
 RUNS = 2**20
 
@@ -337,7 +337,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in text_slices(batch, limit=8_000_000):
+            for i, j in text_slices(batch, limit=3_000_000):
                 part = batch.slice(i, j - i)
                 raw = _raw(told.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw), pa.array(told.value.probability(raw))], schema.names)
@@ -354,7 +354,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in text_slices(batch, at, limit=8_000_000):
+            for i, j in text_slices(batch, at, limit=3_000_000):
                 part = batch.slice(i, j - i)
                 raw = _raw(told.value, [x or "" for x in part.column(at).to_pylist()])
                 yield part.filter(pa.array(told.value.probability(raw) < threshold))
