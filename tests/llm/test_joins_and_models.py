@@ -229,9 +229,9 @@ def test_word_features_are_the_kernel():
     """Scores by feature weights equal kernels with the words that the weights are made of."""
     words = [b"idiot", b"idxiot", b"thing", b"the", b"worthless"]
     phi = toxicity._dense(words)
-    own = toxicity.score_words(words, phi[0].astype(float), 0.0)
-    assert np.allclose(own, phi @ phi[0], atol=1e-5)
-    assert np.allclose(toxicity._kernel(words, np.ascontiguousarray(phi.T)), phi @ phi.T, atol=1e-5)
+    own = toxicity.score_words(words, phi[:, 0].astype(float), 0.0)
+    assert np.allclose(own, phi.T @ phi[:, 0], atol=1e-5)
+    assert np.allclose(toxicity._kernel(words, phi), phi.T @ phi, atol=1e-5)
     assert own[1] > 0.4 > own[2]
 
 

@@ -112,6 +112,12 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[bytes
             yield int(n), own, [words[k] for k in own]
 
 
+def windows(word: bytes) -> list[bytes]:
+    """A folded word, or the half-overlapping windows of a long one."""
+    n = len(word)
+    return [word] if n <= WINDOW else [word[i : i + WINDOW] for i in range(0, max(1, n - WINDOW // 2), WINDOW // 2)]
+
+
 def score_words(words: list[bytes], weight: np.ndarray, offset: float) -> np.ndarray:
     """Scores of folded words by feature weights; words of under 3 letters, which no kernel tells apart, are lowest."""
     out = np.full(len(words), LOWEST)
@@ -120,7 +126,7 @@ def score_words(words: list[bytes], weight: np.ndarray, offset: float) -> np.nda
             continue
         if n > WINDOW:
             for k, w in zip(at, own, strict=True):
-                out[k] = score_words([w[i : i + WINDOW] for i in range(0, max(1, n - WINDOW // 2), WINDOW // 2)], weight, offset).max()
+                out[k] = score_words(windows(w), weight, offset).max()
             continue
         total = np.zeros(len(own))
         for f, x in _features(_coded(own, n)):
@@ -130,12 +136,11 @@ def score_words(words: list[bytes], weight: np.ndarray, offset: float) -> np.nda
 
 
 def _dense(words: list[bytes]) -> np.ndarray:
-    """Normalised features (n, BASE ** 3) of a few words of at most WINDOW letters."""
-    out = np.zeros((len(words), _BASE**3), np.float32)
+    """Normalised features (BASE ** 3, n) of a few words of at most WINDOW letters."""
+    out = np.zeros((_BASE**3, len(words)), np.float32)
     for n, at, own in _by_length(words):
         for f, x in _features(_coded(own, n)):
-            np.add.at(out, (at[:, None], x), f)
-        out[at] /= _weights(n + 2)
+            np.add.at(out, (x, at[:, None]), f / _weights(n + 2))
     return out
 
 
@@ -252,10 +257,11 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     held: list[list[bytes]] = []
     seen: set[tuple[int, int]] = set()
     df = (Counter(), Counter())
+    one: dict[bytes, bytes] = {}  # equal words are one object
     for text, y in rows:
         own: set[bytes] = set()
         for s in _SENTENCE.split(text):
-            words = {f[:WINDOW] for w in split_words(s) for f in forms(w) if len(f) >= 3}
+            words = {one.setdefault(v, v) for w in split_words(s) for f in forms(w) if len(f) >= 3 for v in windows(f)}
             own |= words
             if words and (y, hash(s)) not in seen:
                 seen.add((y, hash(s)))
@@ -281,7 +287,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
         strong = [w for w, _ in chosen.most_common(landmarks // 2)]
         points = list(dict.fromkeys(strong + hard[: landmarks // 4] + usual))[:landmarks]
         phi = _dense(points)
-        k = (phi @ phi.T).astype(np.float64)
+        k = (phi.T @ phi).astype(np.float64)
         values, vectors = np.linalg.eigh(k)
         keep = values > 1e-6 * values[-1]
         root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float64)
@@ -289,12 +295,12 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
         padded = [_padded(w, i) for i, w in enumerate(good)]
         bad = list(dict.fromkeys(usual + hard))
         words = good + padded + bad
-        x = _kernel(words, np.ascontiguousarray(phi.T)).astype(np.float64) @ root
+        x = _kernel(words, phi).astype(np.float64) @ root
         y = np.r_[np.ones(2 * len(good)), -np.ones(len(bad))]
         times = np.array([min(chosen[w], 20) for w in good], float)
         cost = 20 * np.r_[times / times.sum(), 0.5 * times / times.sum(), np.full(len(bad), 4.0 / len(bad))] * len(words) / 20
         w = _svm(x, y, cost)
-        model = (phi.astype(np.float64).T @ (root @ w[:-1]), float(w[-1]))
+        model = ((phi @ (root @ w[:-1]).astype(np.float32)).astype(np.float64), float(w[-1]))
         scores = score_words(clean, *model)
         hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-scores)[:2000]]))
         vocabulary = {v: s for v, s in zip(df[1], score_words(list(df[1]), *model), strict=True)}
