@@ -60,9 +60,9 @@ def test_orphans(spark):
 
 
 def history_of(spark, points, current):
-    schema = "table_name string, column_name string, metric_name string, segment_value string, value double, captured_at timestamp_ntz"
-    h = spark.createDataFrame([("t", "c", "sum", seg, v, at) for seg, v, at in points], schema)
-    c = spark.createDataFrame([("t", "c", "sum", seg, v) for seg, v in current], schema.rsplit(",", 1)[0])
+    schema = "pipeline string, table_name string, column_name string, metric_name string, segment_value string, value double, captured_at timestamp_ntz"
+    h = spark.createDataFrame([("p", "t", "c", "sum", seg, v, at) for seg, v, at in points], schema)
+    c = spark.createDataFrame([("p", "t", "c", "sum", seg, v) for seg, v in current], schema.rsplit(",", 1)[0])
     return c, h
 
 
@@ -87,6 +87,55 @@ def test_drift_segments_windows_and_overrides(spark):
     assert got == {("x", "day"): "warning", ("y", "day"): "error", ("x", "week"): "error", ("x", "month"): "error"}
 
 
+def test_drift_keeps_pipelines_apart_and_windows_of_a_metric(spark):
+    c, h = history_of(spark, [("x", 10.0, YESTERDAY), ("x", 10.0, YESTERDAY), ("x", 5.0, D(2025, 2, 25)), ("x", 5.0, D(2025, 2, 26))], [("x", 10.2)])
+    other = h.withColumns({"pipeline": F.lit("q"), "value": F.lit(1000.0)})
+    prior = {(r["pipeline"], r["window"]): r["prior_value"] for r in monitor.prior_average(h.unionByName(other), AT).collect()}
+    assert prior["p", "day"] == 10.0 and prior["q", "day"] == 1000.0
+    config = spark.createDataFrame([("t", "c", "sum", 0.01, 0.5, ["day"])], "table_name string, column_name string, metric_name string, warning double, error double, windows array<string>")
+    flags = monitor.drift_flags(c, h.unionByName(other), AT, config)
+    assert [(r["pipeline"], r["window"], r["severity"]) for r in flags.collect()] == [("p", "day", "warning")]
+    e = monitor.flags_as_errors(flags, AT).first()
+    assert (e["check_name"], e["message"]) == ("distribution_t_c_sum", "warning t.c sum changed 2.0% over day") and '"window":"day"' in e["details_json"]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("HTTP 429", "rate_limit"), ("Exceeded rate limits", "rate_limit"), ("RESOURCE_EXHAUSTED", "quota"), ("quotaExceeded 500", "quota"), ("UNAVAILABLE", "network"), ("dial tcp", "network"),
+    ("EOF", "network"), ("typeof thereof", "none"), ("HTTP 504", "timeout"), ("Gateway Timeout", "timeout"), ("timeout", "none"), ("Bad Gateway", "server"), ("internalError", "server"),
+    ("INTERNAL", "server"), ("internal error", "none"), ("", "none"), (None, "none"),
+])
+def test_error_classes(spark, text, want):
+    df = spark.createDataFrame([(text,)], "e string")
+    assert df.select(runlog.error_class(F.col("e")).alias("c")).first()["c"] == want
+
+
+def test_rollup_of_a_run(spark):
+    rows = [("run_started", "", "{}"), ("asset_succeeded", "a", '{"metadata":{"estimated_cost_usd":"0.5"}}'), ("asset_failed", "b", '{"error_message":"broken"}'), ("asset_failed", "c", "{}"), ("run_failed", "", '{"duration_seconds":12.4}')]
+    ev = spark.createDataFrame([(i, 7, "p", a, t, 0, d) for i, (t, a, d) in enumerate(rows)], "event_id int, run_id int, pipeline string, asset string, event_type string, duration_ms bigint, details string")
+    r = runlog.run_rollup(ev).first()
+    assert (r["status"], r["failed_assets"], r["errors"], r["total_cost"]) == ("completed_with_failures", "b,c", "b: broken", 0.5)
+    assert r["summary"] == "p: 1 succeeded, 2 failed, 0 skipped (12s)"
+
+
+def test_check_errors_need_three_parts(spark):
+    rows = [("check:a", "failed", "x"), ("check:a:b:c", "failed", ""), ("check:a:d", "skipped", "why"), ("a", "failed", "x"), ("check:a:e", "success", "")]
+    got = outcomes.check_errors(spark.createDataFrame(rows, "node string, status string, message string"), "p", AT).collect()
+    assert sorted((r["asset"], r["check_name"], r["severity"], r["message"], r["details_json"]) for r in got) == [
+        ("a", "b:c", "error", "check:a:b:c failed", '{"status":"failed"}'), ("a", "d", "warning", "why", '{"error":"why","status":"skipped"}')]
+
+
+@pytest.mark.parametrize("unit", ["hour", "day", "week", "month"])
+def test_emptied_slices_go(spark, tmp_path, unit):
+    rows = spark.createDataFrame([(i, D(2025, 1, 6, 3) + dt.timedelta(days=k)) for i, k in enumerate((0, 0, 1, 8, 31))], "id int, ts timestamp_ntz")
+    slots = intervals.assign_interval(rows, "ts", unit, D(2025, 1, 6)).select("interval_start").distinct()
+    path = str(tmp_path / "t")
+    first = intervals.incremental_overwrite(rows, "ts", slots, path, unit)
+    assert sorted(r["id"] for r in first.collect()) == [0, 1, 2, 3, 4] and first.select("slice").distinct().count() == slots.count()
+    last = slots.orderBy(F.desc("interval_start")).limit(1)
+    assert sorted(r["id"] for r in intervals.incremental_overwrite(rows.where("id <> 4"), "ts", last, path, unit).collect()) == [0, 1, 2, 3]
+    assert sorted(r["id"] for r in intervals.incremental_overwrite(rows.limit(0), "ts", slots.limit(0), path, unit).collect()) == [0, 1, 2, 3]
+
+
 def test_completeness_follows_not_in(spark):
     def keys(*values):
         return spark.createDataFrame([(v,) for v in values], "k int")
@@ -182,6 +231,14 @@ def test_merge_and_overwrite(spark, tmp_path):
         batch.ingest_files(spark, str(tmp_path / "one"), "*.json", "json", "k int, v string", "upsert", str(tmp_path / "t"))
 
 
+def test_merge_repeated_and_null_keys(spark, tmp_path):
+    spark.createDataFrame([(1, "x", 1), (None, "n", 1)], "k int, v string, at int").write.json(str(tmp_path / "one"))
+    spark.createDataFrame([(1, "a", 3), (1, "z", 2), (None, "m", 2), (2, "b", 1), (2, "c", 1)], "k int, v string, at int").write.json(str(tmp_path / "two"))
+    for name in ("one", "two", "two"):
+        out = batch.ingest_files(spark, str(tmp_path / name), "*.json", "json", "k int, v string, at int", "merge", str(tmp_path / "t"), ["k"], "at")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", 3), (None, "m", 2), (2, "c", 1)], key=str)
+
+
 def test_clean_events_counts(spark):
     df, seen = models.clean_events(spark.createDataFrame([(1, D(2025, 1, 1)), (2, None)], "id int, ts timestamp_ntz"), "ts", "seen")
     assert df.count() == 1 and seen.get == {"rows": 2, "dropped": 1}

@@ -61,18 +61,18 @@ def source_completeness(src: DataFrame, src_pk: str, stg: DataFrame, grain: str,
 
 
 def _two_counts(df: DataFrame, upstream: DataFrame) -> DataFrame:
-    return one_row(df, F.count(F.lit(1)).alias("row_count")).crossJoin(one_row(upstream, F.count(F.lit(1)).alias("upstream_count")))
+    return one_row(df, F.count(F.lit(1)).alias("table_row_count")).crossJoin(one_row(upstream, F.count(F.lit(1)).alias("upstream_row_count")))
 
 
 def fan_out(df: DataFrame, upstream: DataFrame) -> DataFrame:
     """One row if the table has more rows than its upstream."""
-    return _two_counts(df, upstream).where("row_count > upstream_count").withColumn("issue_type", F.lit("FAN_OUT"))
+    return _two_counts(df, upstream).where("table_row_count > upstream_row_count").withColumn("issue_type", F.lit("FAN_OUT_DETECTED"))
 
 
 def row_retention(df: DataFrame, upstream: DataFrame, min_ratio: float = 0.5) -> DataFrame:
     """One row if too few rows are left of the upstream; an empty upstream passes."""
-    both = _two_counts(df, upstream).withColumn("retention", ratio(F.col("row_count"), F.col("upstream_count")))
-    return both.where(F.col("retention") < min_ratio).withColumn("issue_type", F.lit("LOW_RETENTION"))
+    both = _two_counts(df, upstream).withColumn("retention_ratio", ratio(F.col("table_row_count"), F.col("upstream_row_count")))
+    return both.where(F.col("retention_ratio") < min_ratio).withColumn("issue_type", F.lit("SUSPICIOUS_ROW_LOSS"))
 
 
 def contract_pk(df: DataFrame, pk: list[str], limit: int | None = 10) -> DataFrame:
@@ -122,8 +122,8 @@ def completeness(entity: DataFrame, grain: str, source: DataFrame, pk: str, excl
 
     counts = one_row(expected, F.count(F.lit(1)).alias("expected_count")).crossJoin(one_row(actual, F.count(F.lit(1)).alias("entity_count")))
     counts = counts.crossJoin(not_in(expected, actual, "missing_count")).crossJoin(not_in(actual, expected, "unexpected_count"))
-    drift = counts.withColumn("drift", ratio(F.col("missing_count") + F.col("unexpected_count"), F.col("expected_count")))
-    return drift.where(F.col("drift") > tolerance)
+    drift = counts.withColumn("drift_ratio", ratio(F.col("missing_count") + F.col("unexpected_count"), F.col("expected_count")))
+    return drift.where(F.col("drift_ratio") > tolerance).withColumn("issue_type", F.lit("COMPLETENESS_IMBALANCE"))
 
 
 def _standard(df: DataFrame, grain: list[str], column: str, bad: Column, issue: str, limit: int | None) -> DataFrame:
@@ -133,11 +133,11 @@ def _standard(df: DataFrame, grain: list[str], column: str, bad: Column, issue:
 
 def standard_email(df: DataFrame, column: str, grain: list[str], limit: int | None = 10) -> DataFrame:
     """Not lower case, or with spaces around."""
-    return _standard(df, grain, column, F.col(column) != F.lower(F.trim(column)), "EMAIL_NOT_STANDARD", limit)
+    return _standard(df, grain, column, F.col(column) != F.lower(F.trim(column)), "EMAIL_NOT_NORMALIZED", limit)
 
 
 def standard_phone(df: DataFrame, column: str, grain: list[str], limit: int | None = 10) -> DataFrame:
-    return _standard(df, grain, column, ~F.col(column).rlike(r"^1-[0-9]{3}-[0-9]{3}-[0-9]{4}\z"), "PHONE_NOT_STANDARD", limit)
+    return _standard(df, grain, column, ~F.col(column).rlike(r"^1-[0-9]{3}-[0-9]{3}-[0-9]{4}\z"), "PHONE_FORMAT_INVALID", limit)
 
 
 def standard_currency(df: DataFrame, column: str, grain: list[str], limit: int | None = 10) -> DataFrame:
@@ -173,7 +173,7 @@ def source_pk_unique(df: DataFrame, pk: str, limit: int | None = 10) -> DataFram
 
 def expected_columns(expectations: DataFrame, catalog: DataFrame) -> DataFrame:
     """Expected (table_name, column_name) that the catalogue lacks; names are case-sensitive."""
-    return expectations.join(catalog.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_anti").withColumn("issue_type", F.lit("MISSING_COLUMN"))
+    return expectations.join(catalog.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_anti").withColumn("issue_type", F.lit("COLUMN_MISSING"))
 
 
 def partition_layout(spec: DataFrame, layout: DataFrame) -> DataFrame:

@@ -12,7 +12,12 @@ def source_hash(c: str):
 
 
 def model_versions(activations: DataFrame) -> DataFrame:
-    """asset, version, source_hash, activated_at, replaced_at, change: a new version whenever the hash changes."""
+    """asset, version, source_hash, activated_at, replaced_at, change: a new version whenever the hash of the source changes.
+
+    The hash is taken of ``source``, unless the log brings its own source_hash.
+    """
+    if "source_hash" not in activations.columns:
+        activations = activations.withColumn("source_hash", source_hash("source"))
     order = Window.partitionBy("asset").orderBy("activated_at", "seq")
     new = F.col("source_hash").eqNullSafe(F.lag("source_hash").over(order))
     rows = activations.withColumn("__first", F.lag("seq").over(order).isNull()).withColumn("__new", F.col("__first") | ~new).where("__new")

@@ -94,15 +94,35 @@ def assign_interval(df: DataFrame, column: str, unit: str, start=None) -> DataFr
     return df.withColumn("interval_start", value.cast("timestamp_ntz"))
 
 
-def incremental_overwrite(df: DataFrame, column: str, pending: DataFrame, path: str) -> DataFrame:
-    """Rewrites the pending day slices of a table partitioned by ``slice`` in one job; running it again changes nothing.
+def incremental_overwrite(df: DataFrame, column: str, pending: DataFrame, path: str, unit: str = "day") -> DataFrame:
+    """Rewrites the pending slices of a table partitioned by ``slice`` in one job; running it again changes nothing.
 
-    ``pending``: interval_start. Other slices stay as they are (dynamic partition overwrite). Returns the table.
+    ``pending``: interval_start; ``unit``: hour, day, week (counted from the first pending start) or month. Other slices stay as they are
+    (dynamic partition overwrite); a pending slice without rows is emptied. The scan is limited to the time that
+    the pending slices span. ``slice`` is the interval's start, a date or for hours a text. Returns the table.
     """
-    days = pending.select(F.to_date("interval_start").alias("slice")).distinct()
-    rows = df.withColumn("slice", F.to_date(column)).join(days, "slice")
+    spark = df.sparkSession
+    length = {"hour": "1 hour", "week": "168 hour", "month": "1 month"}.get(unit, "24 hour")
+    span = pending.agg(F.min("interval_start").alias("a"), F.max("interval_start").alias("b")).select("a", (F.col("b") + F.expr(f"interval {length}")).alias("b")).first()
+    if span["a"] is None:
+        return spark.read.parquet(path)
+    kind = df.schema[column].dataType
+    rows = df.where((F.col(column) >= F.lit(span["a"]).cast(kind)) & (F.col(column) < F.lit(span["b"]).cast("timestamp_ntz")))
+
+    def named(c: str) -> Column:
+        return F.date_format(c, "yyyy-MM-dd-HH") if unit == "hour" else F.to_date(c)
+
+    slices = pending.select(named("interval_start").alias("slice")).distinct()
+    rows = assign_interval(rows, column, unit, span["a"]).withColumn("slice", named("interval_start")).drop("interval_start").join(slices, "slice")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = spark.read.parquet(path)
+    # as few rows as slices are pending
+    gone = slices.select(F.col("slice").cast("string")).join(rows.select(F.col("slice").cast("string")).distinct(), "slice", "left_anti").collect()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for x in gone:
+        folder = jvm.Path(f"{path}/slice={x['slice']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.parquet(path) if gone else table
 
 
 def interval_state_upsert(log: DataFrame) -> DataFrame:

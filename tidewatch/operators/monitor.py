@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.expressions import moment, one_row, ratio
 
 KEY = ["table_name", "column_name", "metric_name", "segment_value"]
+#: Snapshots of different pipelines are never compared.
+SERIES = ["pipeline", *KEY]
 
 
 def _long(wide: DataFrame, table: str, cells: list[tuple[str, str, str]]) -> DataFrame:
@@ -75,37 +77,42 @@ def windows(as_of) -> dict[str, tuple[Column, Column]]:
 
 
 def prior_average(history: DataFrame, as_of) -> DataFrame:
-    """KEY, window, prior_value, n: averages of every metric in every window, in one pass over the history."""
+    """SERIES, window, prior_value, n: averages of every metric in every window, in one pass over the history."""
     aggregates, cells = [], []
     for name, (a, b) in windows(as_of).items():
         inside = (F.col("captured_at") >= a) & (F.col("captured_at") < b)
         aggregates += [F.avg(F.when(inside, F.col("value"))).alias(f"{name}_v"), F.count_if(inside).alias(f"{name}_n")]
         cells.append(F.struct(F.lit(name).alias("window"), F.col(f"{name}_v").alias("prior_value"), F.col(f"{name}_n").alias("n")))
-    wide = history.groupBy(*KEY).agg(*aggregates)
-    return wide.select(*KEY, F.explode(F.array(*cells)).alias("w")).select(*KEY, "w.*").where("n > 0")
+    wide = history.groupBy(*SERIES).agg(*aggregates)
+    return wide.select(*SERIES, F.explode(F.array(*cells)).alias("w")).select(*SERIES, "w.*").where("n > 0")
 
 
 def drift_flags(current: DataFrame, history: DataFrame, as_of, config: DataFrame | None = None, warning: float = 0.10, error: float = 0.25) -> DataFrame:
     """Metrics that moved by ``warning`` or more against a window with two points at least.
 
-    ``config``: table_name, column_name, metric_name, warning, error overrides (segments share them); it is as
-    small as the monitoring configuration.
+    ``config``: table_name, column_name, metric_name, warning, error overrides (segments share them) and, if it has
+    such a column, windows (array: those that the metric is compared in; null: all); it is as small as the monitoring configuration.
     """
-    both = current.select(*KEY, F.col("value").alias("current_value")).join(prior_average(history, as_of), KEY)
+    both = current.select(*SERIES, F.col("value").alias("current_value")).join(prior_average(history, as_of), SERIES)
     both = both.where((F.col("n") >= 2) & (F.col("prior_value") != 0))
     if config is not None:
-        both = both.join(config.select("table_name", "column_name", "metric_name", F.col("warning").alias("w"), F.col("error").alias("e")), KEY[:3], "left")
+        own = F.col("windows") if "windows" in config.columns else F.lit(None).cast("array<string>")
+        both = both.join(config.select("table_name", "column_name", "metric_name", F.col("warning").alias("w"), F.col("error").alias("e"), own.alias("own")), KEY[:3], "left")
+        both = both.where(F.col("own").isNull() | F.array_contains("own", F.col("window"))).drop("own")
     else:
         both = both.withColumn("w", F.lit(None).cast("double")).withColumn("e", F.lit(None).cast("double"))
     change = (F.col("current_value") - F.col("prior_value")) / F.col("prior_value")
     both = both.withColumn("pct_change", change)
     severity = F.when(F.abs("pct_change") >= F.coalesce("e", F.lit(error)), "error").when(F.abs("pct_change") >= F.coalesce("w", F.lit(warning)), "warning")
-    return both.select(*KEY, "window", "current_value", "prior_value", "pct_change", severity.alias("severity")).where("severity IS NOT NULL")
+    return both.select(*SERIES, "window", "current_value", "prior_value", "pct_change", severity.alias("severity")).where("severity IS NOT NULL")
 
 
-def flags_as_errors(flags: DataFrame, pipeline: str) -> DataFrame:
-    message = F.format_string("%s.%s %s changed by %.1f%% against %s", F.col("table_name"), F.col("column_name"), F.col("metric_name"), F.col("pct_change") * 100, F.col("window"))
-    return flags.select(F.lit(pipeline).alias("pipeline"), F.col("table_name").alias("asset"), F.concat_ws(":", F.lit("drift"), "metric_name", "window").alias("check_name"), "severity", message.alias("message"))
+def flags_as_errors(flags: DataFrame, run_at) -> DataFrame:
+    """Flags as rows of the current errors: pipeline, asset, check_name, severity, message, details_json, run_at."""
+    names = F.concat_ws("_", F.lit("distribution"), "table_name", "column_name", "metric_name")
+    message = F.format_string("%s %s.%s %s changed %.1f%% over %s", F.col("severity"), F.col("table_name"), F.col("column_name"), F.col("metric_name"), F.col("pct_change") * 100, F.col("window"))
+    details = F.to_json(F.struct("window", "current_value", "prior_value", "pct_change"))
+    return flags.select("pipeline", F.col("table_name").alias("asset"), names.alias("check_name"), "severity", message.alias("message"), details.alias("details_json"), moment(run_at).alias("run_at"))
 
 
 def table_profile(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.expressions import moment
 from tidewatch.operators.lineage import descendants
 
 
@@ -33,17 +34,20 @@ def blocked_assets(edges: DataFrame, failed: DataFrame) -> DataFrame:
     return best.select(F.col("node").alias("asset"), F.col("m.tag").alias("reason"))
 
 
-def check_errors(results: DataFrame, pipeline: str) -> DataFrame:
+def check_errors(results: DataFrame, pipeline: str, run_at) -> DataFrame:
     """Current errors from check results (node, status, message): failed are errors, skipped are warnings.
 
-    Names are ``check:<asset>:<rest>``; the rest may hold colons.
+    Names are ``check:<asset>:<rest>``; the rest may hold colons, and nodes without it are no checks. The details hold
+    status and error. These rows replace those of the run before (write them with ``overwrite``).
     """
     parts = F.split("node", ":", 3)
-    rows = results.where(F.col("node").startswith("check:") & F.col("status").isin("failed", "skipped"))
+    rows = results.where(F.col("node").startswith("check:") & (F.size(parts) == 3) & F.col("status").isin("failed", "skipped"))
     return rows.select(
         F.lit(pipeline).alias("pipeline"),
         F.get(parts, F.lit(1)).alias("asset"),
         F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("check_name"),
         F.when(F.col("status") == "failed", "error").otherwise("warning").alias("severity"),
-        F.coalesce(F.nullif("message", F.lit("")), F.concat(F.lit("check "), F.col("status"))).alias("message"),
+        F.coalesce(F.nullif("message", F.lit("")), F.concat_ws(" ", "node", "status")).alias("message"),
+        F.to_json(F.struct(F.nullif("message", F.lit("")).alias("error"), "status")).alias("details_json"),
+        moment(run_at).alias("run_at"),
     )

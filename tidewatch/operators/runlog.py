@@ -20,8 +20,13 @@ def _detail(path: str) -> Column:
     return F.get_json_object("details", f"$.{path}")
 
 
+def _error() -> Column:
+    """The error text of a failed node."""
+    return _detail("error_message")
+
+
 def event_filter(events: DataFrame, run_id=None, pipeline=None, asset=None, event_types: str | None = None, min_severity: str | None = None, since=None, until=None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Events by any of the conditions, oldest first (ties: event_id)."""
+    """Events by any of the conditions, oldest first (ties: event_id). An unknown severity is no condition."""
     out = events
     for c, v in (("run_id", run_id), ("pipeline", pipeline), ("asset", asset)):
         if v is not None:
@@ -29,7 +34,7 @@ def event_filter(events: DataFrame, run_id=None, pipeline=None, asset=None, even
     if event_types:
         out = out.where(F.col("event_type").isin([x.strip() for x in event_types.split(",")]))
     if min_severity:
-        out = out.where(F.col("severity").isin([s for s, n in LEVELS.items() if n >= LEVELS[min_severity]]))
+        out = out.where(F.col("severity").isin([s for s, n in LEVELS.items() if n >= LEVELS[min_severity]]) if min_severity in LEVELS else F.lit(True))
     if since is not None:
         out = out.where(F.col("timestamp") >= moment(since))
     if until is not None:
@@ -49,7 +54,7 @@ def run_summary(events: DataFrame) -> DataFrame:
     ended = F.col("event_type").isNotNull()
     status = F.when(~ended, "running").when(F.col("event_type") == "run_failed", "failed").otherwise(F.coalesce(_detail("status"), F.lit("completed")))
     counts = [F.when(ended, F.coalesce(_detail(c).cast("int"), F.lit(0))).alias(c) for c in ("succeeded", "failed", "skipped", "total_nodes")]
-    return rows.select("run_id", "pipeline", "started_at", F.col("timestamp").alias("completed_at"), status.alias("status"), (F.col("duration_ms") / 1000).alias("duration_s"), *counts)
+    return rows.select("run_id", "pipeline", "started_at", F.col("timestamp").alias("completed_at"), status.alias("status"), F.coalesce(_detail("duration_seconds").cast("double"), F.col("duration_ms") / 1000).alias("duration_s"), *counts)
 
 
 def list_runs(events: DataFrame, n: int = 20) -> DataFrame:
@@ -76,13 +81,15 @@ def failed_nodes(events: DataFrame, run_id=None) -> DataFrame:
 def node_results(events: DataFrame) -> DataFrame:
     """Status, duration, error and metadata (map) of every node event."""
     status = F.when(F.col("event_type").isin(*SUCCEEDED), "success").when(F.col("event_type").isin(*FAILED), "failed").when(F.col("event_type").isin(*SKIPPED), "skipped")
-    return events.select("event_id", "run_id", "asset", status.alias("status"), "duration_ms", _detail("error").alias("error"), F.from_json(_detail("metadata"), "map<string,string>").alias("metadata")).where("status IS NOT NULL")
+    return events.select("event_id", "run_id", "asset", status.alias("status"), "duration_ms", _error().alias("error"), F.from_json(_detail("metadata"), "map<string,string>").alias("metadata")).where("status IS NOT NULL")
 
 
 def check_results(events: DataFrame, asset: str | None = None) -> DataFrame:
-    """Results of check nodes, which are named check:<asset>:<check>."""
-    out = node_results(events.where(F.col("asset").startswith("check:")))
-    return out if asset is None else out.where(F.col("asset").startswith(f"check:{asset}:"))
+    """The events of checks that passed or failed, for all assets or one (its own name, or that of its nodes check:<asset>:<check>)."""
+    out = events.where(F.col("event_type").isin("check_passed", "check_failed"))
+    if asset is not None:
+        out = out.where((F.col("asset") == asset) | F.col("asset").startswith(f"check:{asset}:"))
+    return out.withColumn("status", F.regexp_replace("event_type", "^check_", ""))
 
 
 def last_success(events: DataFrame) -> DataFrame:
@@ -90,9 +97,10 @@ def last_success(events: DataFrame) -> DataFrame:
 
 
 def run_cost(events: DataFrame) -> DataFrame:
-    """Bytes, cost, queried nodes, cached nodes and hit rate (0 without nodes) of each run; texts that don't parse don't count."""
+    """Bytes, cost, queried nodes, cached nodes and hit rate (0 without nodes) of each run. Only nodes whose bytes
+    parse count, for the cost as well; a cost that doesn't parse is 0."""
     rows = events.where(F.col("event_type").isin(*SUCCEEDED)).select("run_id", F.expr("try_cast(get_json_object(details, '$.metadata.total_bytes_processed') AS bigint)").alias("b"), F.expr("try_cast(get_json_object(details, '$.metadata.estimated_cost_usd') AS decimal(18,6))").alias("c"), (_detail("metadata.cache_hit") == "true").alias("hit"))
-    out = rows.groupBy("run_id").agg(F.coalesce(F.sum("b"), F.lit(0)).cast("bigint").alias("total_bytes"), F.coalesce(F.sum("c"), F.lit(0)).cast("double").alias("total_cost"), F.count("b").alias("query_nodes"), F.count_if(F.col("b").isNotNull() & F.col("hit")).alias("cached_nodes"))
+    out = rows.groupBy("run_id").agg(F.coalesce(F.sum("b"), F.lit(0)).cast("bigint").alias("total_bytes"), F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("c"))), F.lit(0)).cast("double").alias("total_cost"), F.count("b").alias("query_nodes"), F.count_if(F.col("b").isNotNull() & F.col("hit")).alias("cached_nodes"))
     return out.withColumn("hit_rate", F.coalesce(ratio(F.col("cached_nodes"), F.col("query_nodes")), F.lit(0.0)))
 
 
@@ -108,45 +116,54 @@ def top_errors(events: DataFrame, n: int = 3) -> DataFrame:
     """The n most frequent error texts of each node (ties: the text)."""
     from pyspark.sql import Window
 
-    counts = events.where(F.col("event_type").isin(*FAILED)).groupBy("asset", F.coalesce(_detail("error"), F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    counts = events.where(F.col("event_type").isin(*FAILED)).groupBy("asset", F.coalesce(_error(), F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("n"), "error"))).where(F.col("rank") <= n)
 
 
 def failure_report(runs: DataFrame, events: DataFrame) -> DataFrame:
     """Failed or crashed runs with their failed node events, one row an event (runs without any keep one row)."""
     bad = runs.where(F.col("status").isin("failed", "crashed", "completed_with_failures")).select("run_id", "pipeline", "status")
-    nodes = events.where(F.col("event_type").isin(*FAILED)).select("run_id", "event_id", "asset", _detail("error").alias("error"))
+    nodes = events.where(F.col("event_type").isin(*FAILED)).select("run_id", "event_id", "asset", _error().alias("error"))
     return bad.join(nodes, "run_id", "left")
 
 
 def run_rollup(events: DataFrame) -> DataFrame:
-    """Counts of outcomes, failed assets and a summary text of each run; the texts hold a run's failed nodes only."""
-    rows = node_results(events).where("status IS NOT NULL")
-    item = F.struct("asset", "event_id", F.concat(F.col("asset"), F.lit(": "), F.substring(F.coalesce("error", F.lit("")), 1, 200)).alias("text"))
+    """Counts of outcomes, cost, failed assets, their errors and a summary text of each run with node events.
+
+    The texts hold a run's failed nodes only; nodes without an error text are not among the errors.
+    """
+    ended = F.col("event_type").isin("run_completed", "run_failed")
+    status = F.when(F.col("event_type").isin(*SUCCEEDED), "success").when(F.col("event_type").isin(*FAILED), "failed").when(F.col("event_type").isin(*SKIPPED), "skipped")
+    cost = F.expr("try_cast(get_json_object(details, '$.metadata.estimated_cost_usd') AS decimal(18,6))")
+    seconds = F.when(ended, F.coalesce(_detail("duration_seconds").cast("double"), F.col("duration_ms") / 1000))
+    rows = events.select("run_id", "event_id", "pipeline", "asset", status.alias("status"), F.nullif(_error(), F.lit("")).alias("error"), cost.alias("cost"), seconds.alias("seconds")).where("status IS NOT NULL OR seconds IS NOT NULL")
+    item = F.struct("asset", "event_id", F.concat(F.col("asset"), F.lit(": "), F.substring("error", 1, 200)).alias("text"))
     out = rows.groupBy("run_id").agg(
-        F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"),
+        F.min("pipeline").alias("pipeline"), *(F.count_if(F.col("status") == x).alias(y) for x, y in (("success", "succeeded"), ("failed", "failed"), ("skipped", "skipped"))),
+        F.coalesce(F.sum(F.when(F.col("status").isNotNull(), F.col("cost"))), F.lit(0)).cast("double").alias("total_cost"), F.coalesce(F.max("seconds"), F.lit(0.0)).alias("duration_s"),
         F.sort_array(F.collect_list(F.when(F.col("status") == "failed", item))).alias("items"),
     )
-    return out.select(
-        "run_id", "succeeded", "failed", "skipped",
-        F.when(F.col("failed") > 0, "completed_with_failures").otherwise("completed").alias("status"),
+    return out.where(F.col("succeeded") + F.col("failed") + F.col("skipped") > 0).select(
+        "run_id", "succeeded", "failed", "skipped", "total_cost",
+        F.when(F.col("failed") > 0, "completed_with_failures").otherwise("success").alias("status"),
         F.array_join(F.transform("items", lambda x: x["asset"]), ",").alias("failed_assets"),
         F.array_join(F.transform("items", lambda x: x["text"]), "; ").alias("errors"),
+        F.format_string("%s: %d succeeded, %d failed, %d skipped (%.0fs)", "pipeline", "succeeded", "failed", "skipped", "duration_s").alias("summary"),
     )
 
 
-#: Error classes by substrings of the lower-cased text, first match wins. Fixed values.
+#: Error classes and the texts that tell them, case as written; the first class that matches counts. Fixed values.
 ERROR_CLASSES = (
-    ("rate_limit", ("ratelimitexceeded", "rate limit", "too many requests", "429")),
-    ("quota", ("quotaexceeded", "quota exceeded")),
-    ("network", ("connection reset", "connection refused", "no such host", "broken pipe", "eof")),
-    ("timeout", ("deadline exceeded", "timeout", "timed out")),
-    ("server", ("internal error", "internal server error", "backenderror", "500", "502", "503")),
+    ("rate_limit", ("429", "rate limit", "rateLimitExceeded", "Exceeded rate limits", "Too Many Requests")),
+    ("quota", ("quotaExceeded", "quota exceeded", "RESOURCE_EXHAUSTED", "Quota exceeded")),
+    ("network", ("connection reset", "connection refused", "no such host", "DNS", "dial tcp", "UNAVAILABLE", "transport is closing", "EOF", "broken pipe")),
+    ("timeout", ("context deadline exceeded", "deadline exceeded", "408", "504", "Request Timeout", "Gateway Timeout")),
+    ("server", ("500", "502", "503", "INTERNAL", "Internal Server Error", "Bad Gateway", "Service Unavailable", "backendError", "internalError")),
 )
 
 
 def error_class(error: Column) -> Column:
-    out, text = F.when(F.lit(False), ""), F.lower(F.coalesce(error, F.lit("")))
+    out, text = F.when(F.lit(False), ""), F.coalesce(error, F.lit(""))
     for name, parts in ERROR_CLASSES:
         hit = F.lit(False)
         for p in parts:
@@ -155,8 +172,10 @@ def error_class(error: Column) -> Column:
     return out.otherwise("none")
 
 
-def error_breakdown(events: DataFrame, retryable: tuple[str, ...] = ("rate_limit", "network", "timeout", "server")) -> DataFrame:
-    rows = events.where(F.col("event_type").isin(*FAILED)).select(error_class(_detail("error")).alias("error_class"))
+def error_breakdown(events: DataFrame, retryable: tuple[str, ...] = ()) -> DataFrame:
+    """Failed nodes by class, and whether a policy retries it; an empty policy retries every class but ``none``."""
+    retryable = retryable or tuple(name for name, _ in ERROR_CLASSES)
+    rows = events.where(F.col("event_type").isin(*FAILED)).select(error_class(_error()).alias("error_class"))
     return rows.groupBy("error_class").agg(F.count(F.lit(1)).alias("n")).withColumn("retryable", F.col("error_class").isin(*retryable))
 
 

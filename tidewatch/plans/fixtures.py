@@ -34,15 +34,18 @@ SQL = {
         SELECT event_id, {_RUN} AS run_id, 'p' || CAST({_RUN} % 3 AS VARCHAR(20)) AS pipeline,
                CASE WHEN event_id % 10 = 9 THEN 'check:a' || CAST(event_id % 4 AS VARCHAR(20)) || ':unique:grain' ELSE 'a' || CAST(event_id % 10 AS VARCHAR(20)) END AS asset,
                CASE WHEN event_id % 20 = 0 THEN 'run_started' WHEN event_id % 20 = 19 THEN 'run_completed'
+                    WHEN event_id % 20 = 9 THEN CASE event_type WHEN 'error' THEN 'check_failed' ELSE 'check_passed' END
                     WHEN event_type = 'error' THEN 'asset_failed' WHEN event_type = 'view' THEN 'asset_skipped' ELSE 'asset_succeeded' END AS event_type,
                CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'view' THEN 'warning' WHEN user_id % 50 = 0 THEN 'critical' ELSE 'info' END AS severity,
                ts AS "timestamp", CAST(round(value * 100) AS BIGINT) AS duration_ms,
                CASE WHEN event_id % 20 = 19 THEN '{{{{"status":"' || CASE WHEN event_id % 3 = 0 THEN 'completed' ELSE 'completed_with_failures' END || '","succeeded":' || CAST(event_id % 7 AS VARCHAR(20))
-                         || ',"failed":' || CAST(event_id % 3 AS VARCHAR(20)) || ',"skipped":' || CAST(event_id % 2 AS VARCHAR(20)) || ',"total_nodes":' || CAST(event_id % 7 + event_id % 3 + event_id % 2 AS VARCHAR(20)) || '}}}}'
-                    WHEN event_type = 'error' THEN '{{{{"error":"' || CASE user_id % 6 WHEN 0 THEN 'rateLimitExceeded: slow down' WHEN 1 THEN 'Quota exceeded for project' WHEN 2 THEN 'connection reset by peer'
-                         WHEN 3 THEN 'context deadline exceeded' WHEN 4 THEN 'Internal error' ELSE 'column not found' END || '"}}}}'
+                         || ',"failed":' || CAST(event_id % 3 AS VARCHAR(20)) || ',"skipped":' || CAST(event_id % 2 AS VARCHAR(20)) || ',"total_nodes":' || CAST(event_id % 7 + event_id % 3 + event_id % 2 AS VARCHAR(20)) || ',"duration_seconds":' || CAST(event_id % 50 AS VARCHAR(20)) || '}}}}'
+                    WHEN event_type = 'error' THEN '{{{{"error_message":"' || CASE user_id % 20 WHEN 0 THEN 'rateLimitExceeded: slow down' WHEN 1 THEN 'HTTP 429' WHEN 2 THEN 'Too Many Requests'
+                         WHEN 3 THEN 'Quota exceeded for project' WHEN 4 THEN 'RESOURCE_EXHAUSTED' WHEN 5 THEN 'connection reset by peer' WHEN 6 THEN 'dial tcp: lookup' WHEN 7 THEN 'UNAVAILABLE' WHEN 8 THEN 'unexpected EOF'
+                         WHEN 9 THEN 'DNS failure' WHEN 10 THEN 'context deadline exceeded' WHEN 11 THEN 'HTTP 408' WHEN 12 THEN 'HTTP 504' WHEN 13 THEN 'Bad Gateway' WHEN 14 THEN 'Service Unavailable' WHEN 15 THEN 'internalError'
+                         WHEN 16 THEN 'typeof thereof' WHEN 17 THEN 'Internal error' WHEN 18 THEN '' ELSE 'column not found' END || '"}}}}'
                     WHEN event_type = 'signup' THEN '{{{{}}}}'
-                    ELSE '{{{{"metadata":{{{{"total_bytes_processed":"' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR(20)) || '","estimated_cost_usd":"' || CAST(CAST(event_id % 97 AS DECIMAL(18,6)) AS VARCHAR(30))
+                    ELSE '{{{{"metadata":{{{{"total_bytes_processed":"' || CASE WHEN user_id % 9 = 0 THEN 'n/a' ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR(20)) END || '","estimated_cost_usd":"' || CAST(CAST(event_id % 97 AS DECIMAL(18,6)) AS VARCHAR(30))
                          || '","cache_hit":"' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || '"}}}}}}}}' END AS details
         FROM {{events}}""",
     "specs": """
@@ -62,11 +65,11 @@ SQL = {
                'r' || CAST(event_id % 13 AS VARCHAR(20)) AS run_id, ts AS "at", event_id AS seq
         FROM {events}""",
     "history": """
-        SELECT 'events' AS table_name, 'value' AS column_name, 'sum' AS metric_name, 'event_type=' || event_type AS segment_value,
+        SELECT 'p' || CAST(user_id % 2 AS VARCHAR(20)) AS pipeline, 'events' AS table_name, 'value' AS column_name, 'sum' AS metric_name, 'event_type=' || event_type AS segment_value,
                CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value, date_trunc('hour', ts) AS captured_at
-        FROM {events} GROUP BY event_type, date_trunc('hour', ts)""",
+        FROM {events} GROUP BY user_id % 2, event_type, date_trunc('hour', ts)""",
     "activations": """
-        SELECT user_id % 200 AS asset, event_type || chr(10) || CAST(user_id % 3 AS VARCHAR(20)) AS source, event_type AS source_hash, ts AS activated_at, event_id AS seq, CAST(floor(event_id / 20) AS BIGINT) AS run_id
+        SELECT user_id % 200 AS asset, event_type || chr(10) || CAST(user_id % 3 AS VARCHAR(20)) AS source, ts AS activated_at, event_id AS seq, CAST(floor(event_id / 20) AS BIGINT) AS run_id
         FROM {events}""",
     "edges": """
         SELECT DISTINCT parent, child FROM (
@@ -77,7 +80,7 @@ SQL = {
                CASE p_partkey % 5 WHEN 0 THEN 'source' WHEN 1 THEN 'staging' WHEN 2 THEN 'intermediate' WHEN 3 THEN 'entity' ELSE 'report' END AS layer, p_partkey AS k
         FROM {part}""",
     "results": """
-        SELECT 'check:a' || CAST(c_custkey % 4 AS VARCHAR(20)) || ':rule:' || CAST(c_custkey AS VARCHAR(20)) AS node,
+        SELECT 'check:a' || CAST(c_custkey % 4 AS VARCHAR(20)) || CASE WHEN c_custkey % 13 = 0 THEN '_' ELSE ':rule:' END || CAST(c_custkey AS VARCHAR(20)) AS node,
                CASE c_custkey % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'success' END AS status,
                CASE WHEN c_custkey % 2 = 0 THEN 'rows violate' ELSE '' END AS message,
                CASE c_custkey % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity,

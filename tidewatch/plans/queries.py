@@ -49,9 +49,9 @@ register("source_completeness", lambda s, d: checks.source_completeness(table(s,
          """WITH a AS (SELECT DISTINCT o_orderkey AS pk FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderdate < DATE '2001-01-01'), b AS (SELECT DISTINCT o_orderkey AS pk FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderdate < DATE '2001-01-01')
          SELECT pk, 'MISSING_FROM_STAGING' AS issue_type FROM (FROM a EXCEPT FROM b) UNION ALL SELECT pk, 'MISSING_FROM_SOURCE' FROM (FROM b EXCEPT FROM a)""")
 register("fan_out", lambda s, d: checks.fan_out(table(s, d, "lineitem"), table(s, d, "orders")),
-         "SELECT *, 'FAN_OUT' AS issue_type FROM (SELECT (SELECT count(*) FROM lineitem) AS row_count, (SELECT count(*) FROM orders) AS upstream_count) WHERE row_count > upstream_count")
+         "SELECT *, 'FAN_OUT_DETECTED' AS issue_type FROM (SELECT (SELECT count(*) FROM lineitem) AS table_row_count, (SELECT count(*) FROM orders) AS upstream_row_count) WHERE table_row_count > upstream_row_count")
 register("row_retention", lambda s, d: checks.row_retention(table(s, d, "orders").where("o_orderstatus = 'P'"), table(s, d, "orders")),
-         "SELECT *, row_count / nullif(upstream_count, 0) AS retention, 'LOW_RETENTION' AS issue_type FROM (SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS row_count, count(*) AS upstream_count FROM orders) WHERE row_count / nullif(upstream_count, 0) < 0.5")
+         "SELECT *, table_row_count / nullif(upstream_row_count, 0) AS retention_ratio, 'SUSPICIOUS_ROW_LOSS' AS issue_type FROM (SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS table_row_count, count(*) AS upstream_row_count FROM orders) WHERE table_row_count / nullif(upstream_row_count, 0) < 0.5")
 register("contract_pk", lambda s, d: checks.contract_pk(table(s, d, "lineitem"), ["l_orderkey", "l_partkey"], None),
          "SELECT l_orderkey, l_partkey, count(*) AS duplicate_count, 'PK_NOT_UNIQUE' AS issue_type FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 register("contract_not_null", lambda s, d: checks.contract_not_null(frame(s, d, "staged"), "priority", ["o_orderkey"], None),
@@ -65,11 +65,11 @@ register("fk_integrity", lambda s, d: checks.fk_integrity(table(s, d, "orders"),
 register("completeness", lambda s, d: checks.completeness(table(s, d, "orders"), "o_custkey", table(s, d, "customer"), "c_custkey", [(table(s, d, "customer").where("c_mktsegment = 'BUILDING'"), "c_custkey")], [(table(s, d, "supplier"), "s_suppkey")]),
          """WITH e AS ((SELECT c_custkey AS k FROM customer EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION SELECT s_suppkey FROM supplier), a AS (SELECT DISTINCT o_custkey AS k FROM orders),
          n AS (SELECT (SELECT count(*) FROM e) AS expected_count, (SELECT count(*) FROM a) AS entity_count, (SELECT count(*) FROM e WHERE k NOT IN (FROM a)) AS missing_count, (SELECT count(*) FROM a WHERE k NOT IN (FROM e)) AS unexpected_count)
-         SELECT *, (missing_count + unexpected_count) / nullif(expected_count, 0) AS drift FROM n WHERE (missing_count + unexpected_count) / nullif(expected_count, 0) > 0.01""")
+         SELECT *, (missing_count + unexpected_count) / nullif(expected_count, 0) AS drift_ratio, 'COMPLETENESS_IMBALANCE' AS issue_type FROM n WHERE (missing_count + unexpected_count) / nullif(expected_count, 0) > 0.01""")
 register("standard_email", lambda s, d: checks.standard_email(frame(s, d, "contacts"), "email", ["c_custkey"], None),
-         "SELECT c_custkey, email AS value, 'EMAIL_NOT_STANDARD' AS issue_type FROM contacts WHERE email <> lower(trim(email))", "contacts")
+         "SELECT c_custkey, email AS value, 'EMAIL_NOT_NORMALIZED' AS issue_type FROM contacts WHERE email <> lower(trim(email))", "contacts")
 register("standard_phone", lambda s, d: checks.standard_phone(frame(s, d, "contacts"), "phone", ["c_custkey"], None),
-         r"SELECT c_custkey, phone AS value, 'PHONE_NOT_STANDARD' AS issue_type FROM contacts WHERE NOT regexp_full_match(phone, '1-\d{3}-\d{3}-\d{4}')", "contacts")
+         r"SELECT c_custkey, phone AS value, 'PHONE_FORMAT_INVALID' AS issue_type FROM contacts WHERE NOT regexp_full_match(phone, '1-\d{3}-\d{3}-\d{4}')", "contacts")
 register("standard_currency", lambda s, d: checks.standard_currency(frame(s, d, "priced"), "amount", ["l_orderkey", "l_linenumber", "l_partkey"], None).withColumn("value", F.col("value").cast("double")),
          "SELECT l_orderkey, l_linenumber, l_partkey, amount::DOUBLE AS value, 'CURRENCY_NOT_ROUNDED' AS issue_type FROM priced WHERE amount <> round(amount, 2)", "priced")
 register("source_not_empty", lambda s, d: checks.source_not_empty(table(s, d, "supplier").where("s_suppkey < 0")),
@@ -89,7 +89,7 @@ def _catalog(s: SparkSession, d: str, run: int = 1) -> DataFrame:
 _COLUMNS = "catalog AS (SELECT table_name, column_name FROM duckdb_columns() WHERE table_name IN ('orders', 'customer', 'events'))"
 register("expected_columns", lambda s, d: checks.expected_columns(table(s, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "orders").otherwise("customer").alias("table_name"), F.when(F.col("n_nationkey") < 5, "c_name").when(F.col("n_nationkey") < 10, "O_ORDERKEY").otherwise(F.col("n_name")).alias("column_name")).distinct(), _catalog(s, d)),
          f"""WITH {_COLUMNS}, e AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'orders' ELSE 'customer' END AS table_name, CASE WHEN n_nationkey < 5 THEN 'c_name' WHEN n_nationkey < 10 THEN 'O_ORDERKEY' ELSE n_name END AS column_name FROM nation)
-         SELECT *, 'MISSING_COLUMN' AS issue_type FROM e WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.table_name = e.table_name AND c.column_name = e.column_name)""")
+         SELECT *, 'COLUMN_MISSING' AS issue_type FROM e WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.table_name = e.table_name AND c.column_name = e.column_name)""")
 
 _LAYOUT = "n_name AS table_name, 'c' || CAST(n_nationkey % {a} AS VARCHAR(20)) AS partition_column, CASE WHEN n_nationkey % 3 = 0 THEN 'DAY' ELSE '{b}' END AS partition_type, CASE WHEN n_nationkey % 4 <> {c} THEN 'x,y' END AS clustering"
 _SPEC, _ACTUAL = _LAYOUT.format(a=4, b="month", c=0), _LAYOUT.format(a=5, b="MONTH", c=1)
@@ -164,9 +164,10 @@ register("check_summary", check_summary, _SUITE_SQL.replace("SELECT check_name,
 register("check_signal", lambda s, d: outcomes.check_signal(frame(s, d, "results").where("node LIKE 'check:%'").selectExpr("node AS check_name", "status"), frame(s, d, "results").selectExpr("node AS check_name", "severity", "blocking")),
          """SELECT node AS check_name, severity, CASE WHEN status <> 'failed' THEN status WHEN severity IN ('info', 'warning') THEN 'success' ELSE 'failed' END AS signal,
          status = 'failed' AND (blocking OR severity = 'critical') AND severity IN ('error', 'critical') AS blocks, status = 'failed' AND severity = 'critical' AS halts_run FROM results WHERE node LIKE 'check:%'""", "results")
-register("check_errors", lambda s, d: outcomes.check_errors(frame(s, d, "results"), "p1"),
+register("check_errors", lambda s, d: outcomes.check_errors(frame(s, d, "results"), "p1", "2024-01-30 12:00:00"),
          """SELECT 'p1' AS pipeline, string_split(node, ':')[2] AS asset, array_to_string(string_split(node, ':')[3:], ':') AS check_name, CASE WHEN status = 'failed' THEN 'error' ELSE 'warning' END AS severity,
-         CASE WHEN message = '' THEN 'check ' || status ELSE message END AS message FROM results WHERE node LIKE 'check:%' AND status IN ('failed', 'skipped')""", "results")
+         CASE WHEN message = '' THEN node || ' ' || status ELSE message END AS message,
+         CASE WHEN message = '' THEN '{"status":"' || status || '"}' ELSE '{"error":"' || message || '","status":"' || status || '"}' END AS details_json, TIMESTAMP '2024-01-30 12:00:00' AS run_at FROM results WHERE node LIKE 'check:%:%' AND status IN ('failed', 'skipped')""", "results")
 
 
 def _failed_parts(s: SparkSession, d: str) -> DataFrame:
@@ -250,15 +251,16 @@ register("assign_interval", lambda s, d: intervals.assign_interval(table(s, d, "
 
 
 def incremental_query(s: SparkSession, d: str) -> DataFrame:
-    """Loads all slices, then reloads two thirds of them: nothing may double or vanish."""
+    """Loads all slices, then reloads two thirds of them, one of which has lost its rows: nothing may double, stay or vanish."""
     events, path = table(s, d, "events"), _path(s, "slices")
     days = events.select(F.date_trunc("day", "ts").alias("interval_start")).distinct()
     intervals.incremental_overwrite(events, "ts", days, path)
-    again = intervals.incremental_overwrite(events, "ts", days.where(F.dayofmonth("interval_start") % 3 != 0), path)
+    left = events.where(F.dayofmonth("ts") != 7)
+    again = intervals.incremental_overwrite(left, "ts", days.where(F.dayofmonth("interval_start") % 3 != 0), path)
     return again.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
-register("incremental_overwrite", incremental_query, "SELECT ts::DATE AS slice, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ts::DATE")
+register("incremental_overwrite", incremental_query, "SELECT ts::DATE AS slice, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events WHERE day(ts) <> 7 GROUP BY ts::DATE")
 register("interval_state_upsert", lambda s, d: intervals.interval_state_upsert(frame(s, d, "state_log")),
          """, f AS (SELECT asset, interval_start, min(seq) AS first, max(seq) AS last_open FROM state_log WHERE status = 'in_progress' GROUP BY ALL),
          l AS (SELECT s.*, f.last_open FROM state_log s JOIN f ON f.asset = s.asset AND f.interval_start = s.interval_start AND s.seq >= f.first)

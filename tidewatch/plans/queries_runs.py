@@ -33,7 +33,7 @@ register("metric_segment", lambda s, d: monitor.metric_segment(frame(s, d, "stag
 register("metric_snapshot", lambda s, d: monitor.metric_snapshot([monitor.metric_row_count(table(s, d, "orders"), "orders"), monitor.metric_segment(frame(s, d, "staged"), "staged", "priority")], "p1", AS_OF),
          f"SELECT 'p1' AS pipeline, *, TIMESTAMP '{AS_OF}' AS captured_at FROM ({_metric('orders', '', 'row_count', 'count(*)::DOUBLE', 'orders')} UNION ALL {_SEGMENT})", "staged")
 _WINDOWS = ", w(\"window\", a, b) AS (VALUES ('day', TIMESTAMP '2024-01-29', TIMESTAMP '2024-01-30'), ('week', TIMESTAMP '2024-01-16', TIMESTAMP '2024-01-23'), ('month', TIMESTAMP '2023-12-01', TIMESTAMP '2024-01-01'), ('year', TIMESTAMP '2023-01-30', TIMESTAMP '2023-01-31'))"
-_PRIOR = "SELECT table_name, column_name, metric_name, segment_value, \"window\", avg(value) AS prior_value, count(*) AS n FROM history JOIN w ON captured_at >= a AND captured_at < b GROUP BY ALL"
+_PRIOR = "SELECT pipeline, table_name, column_name, metric_name, segment_value, \"window\", avg(value) AS prior_value, count(*) AS n FROM history JOIN w ON captured_at >= a AND captured_at < b GROUP BY ALL"
 register("prior_average", lambda s, d: monitor.prior_average(frame(s, d, "history"), AS_OF).withColumn("prior_value", F.round("prior_value", 6)),
          f"{_WINDOWS} SELECT * REPLACE (round(prior_value, 6) AS prior_value) FROM ({_PRIOR})", "history")
 
@@ -47,7 +47,7 @@ def _config(s: SparkSession) -> DataFrame:
 
 
 _FLAGS = f"""{_WINDOWS}, prior AS ({_PRIOR}),
-flags AS (SELECT h.table_name, h.column_name, h.metric_name, h.segment_value, p."window", h.value AS current_value, p.prior_value, (h.value - p.prior_value) / p.prior_value AS pct_change FROM history h JOIN prior p ON h.segment_value = p.segment_value WHERE h.captured_at = TIMESTAMP '2024-01-29 12:00:00' AND p.n >= 2 AND p.prior_value <> 0),
+flags AS (SELECT h.pipeline, h.table_name, h.column_name, h.metric_name, h.segment_value, p."window", h.value AS current_value, p.prior_value, (h.value - p.prior_value) / p.prior_value AS pct_change FROM history h JOIN prior p ON h.segment_value = p.segment_value AND h.pipeline = p.pipeline WHERE h.captured_at = TIMESTAMP '2024-01-29 12:00:00' AND p.n >= 2 AND p.prior_value <> 0),
 graded AS (SELECT * REPLACE (round(prior_value, 6) AS prior_value, round(pct_change, 6) AS pct_change), CASE WHEN abs(pct_change) >= 0.5 THEN 'error' WHEN abs(pct_change) >= 0.05 THEN 'warning' END AS severity FROM flags)"""
 
 
@@ -56,8 +56,8 @@ def _flags(s: SparkSession, d: str) -> DataFrame:
 
 
 register("drift_flags", _flags, f"{_FLAGS} SELECT * FROM graded WHERE severity IS NOT NULL", "history")
-register("flags_as_errors", lambda s, d: monitor.flags_as_errors(_flags(s, d), "p1"),
-         f"{_FLAGS} SELECT 'p1' AS pipeline, table_name AS asset, 'drift:' || metric_name || ':' || \"window\" AS check_name, severity, format('{{}}.{{}} {{}} changed by {{:.1f}}% against {{}}', table_name, column_name, metric_name, pct_change * 100, \"window\") AS message FROM graded WHERE severity IS NOT NULL", "history")
+register("flags_as_errors", lambda s, d: monitor.flags_as_errors(_flags(s, d), AS_OF).withColumns({c: F.get_json_object("details_json", f"$.{c}").cast("double") for c in ("current_value", "prior_value", "pct_change")}).withColumn("w", F.get_json_object("details_json", "$.window")).drop("details_json"),
+         f"{_FLAGS} SELECT pipeline, table_name AS asset, 'distribution_' || table_name || '_' || column_name || '_' || metric_name AS check_name, severity, format('{{}} {{}}.{{}} {{}} changed {{:.1f}}% over {{}}', severity, table_name, column_name, metric_name, pct_change * 100, \"window\") AS message, TIMESTAMP '{AS_OF}' AS run_at, current_value, prior_value, pct_change, \"window\" AS w FROM graded WHERE severity IS NOT NULL", "history")
 _PROFILE = [("c_custkey", "bigint"), ("email", "string"), ("phone", "string"), ("nation_key", "int")]
 register("table_profile", lambda s, d: monitor.table_profile(frame(s, d, "contacts"), "contacts"),
          "".join([" UNION ALL " * (i > 0) + f"SELECT 'contacts' AS table_name, '{c}' AS column_name, '{t}' AS data_type, {i + 1} AS ordinal, count(*) AS row_count, count(*) - count({c}) AS null_count FROM contacts" for i, (c, t) in enumerate(_PROFILE)]), "contacts")
@@ -76,7 +76,7 @@ def _runs(s: SparkSession, d: str) -> DataFrame:
 
 
 _RUNS = """, runs AS (SELECT run_id, any_value(pipeline) AS pipeline, min("timestamp") FILTER (WHERE event_type = 'run_started') AS started_at, max("timestamp") FILTER (WHERE event_type = 'run_completed') AS completed_at,
-coalesce(max(json_extract_string(details, '$.status')) FILTER (WHERE event_type = 'run_completed'), 'running') AS status, max(duration_ms) FILTER (WHERE event_type = 'run_completed') / 1000 AS duration_s,
+coalesce(max(json_extract_string(details, '$.status')) FILTER (WHERE event_type = 'run_completed'), 'running') AS status, max(json_extract_string(details, '$.duration_seconds')::DOUBLE) FILTER (WHERE event_type = 'run_completed') AS duration_s,
 max(json_extract_string(details, '$.succeeded')::INTEGER) FILTER (WHERE event_type = 'run_completed') AS succeeded, max(json_extract_string(details, '$.failed')::INTEGER) FILTER (WHERE event_type = 'run_completed') AS failed,
 max(json_extract_string(details, '$.skipped')::INTEGER) FILTER (WHERE event_type = 'run_completed') AS skipped, max(json_extract_string(details, '$.total_nodes')::INTEGER) FILTER (WHERE event_type = 'run_completed') AS total_nodes
 FROM run_events WHERE event_type IN ('run_started', 'run_completed') GROUP BY run_id)
@@ -92,28 +92,30 @@ register("active_runs", lambda s, d: runlog.active_runs(runlog.run_summary(_even
          _RUNS + "SELECT run_id, 'running' AS status FROM runs WHERE (run_id * 20 + 19) % 3 = 0 ORDER BY started_at DESC, run_id LIMIT 50", "run_events")
 register("failed_nodes", lambda s, d: runlog.failed_nodes(_events(s, d)), f"SELECT DISTINCT run_id, asset FROM run_events WHERE {_BAD}", "run_events")
 register("node_results", lambda s, d: runlog.node_results(_events(s, d)).select("event_id", "run_id", "asset", "status", "duration_ms", "error", F.col("metadata")["cache_hit"].alias("cache_hit")),
-         "SELECT event_id, run_id, asset, replace(CASE WHEN event_type = 'asset_succeeded' THEN 'success' ELSE event_type END, 'asset_', '') AS status, duration_ms, json_extract_string(details, '$.error') AS error, json_extract_string(details, '$.metadata.cache_hit') AS cache_hit FROM run_events WHERE event_type LIKE 'asset%'", "run_events")
+         "SELECT event_id, run_id, asset, replace(CASE WHEN event_type = 'asset_succeeded' THEN 'success' ELSE event_type END, 'asset_', '') AS status, duration_ms, json_extract_string(details, '$.error_message') AS error, json_extract_string(details, '$.metadata.cache_hit') AS cache_hit FROM run_events WHERE event_type LIKE 'asset%'", "run_events")
 register("check_results", lambda s, d: runlog.check_results(_events(s, d), "a1").select("event_id", "asset", "status"),
-         "SELECT event_id, asset, replace(CASE WHEN event_type = 'asset_succeeded' THEN 'success' ELSE event_type END, 'asset_', '') AS status FROM run_events WHERE event_type LIKE 'asset%' AND asset LIKE 'check:a1:%'", "run_events")
+         "SELECT event_id, asset, event_type[7:] AS status FROM run_events WHERE event_type IN ('check_passed', 'check_failed') AND asset LIKE 'check:a1:%'", "run_events")
 register("last_success", lambda s, d: runlog.last_success(_events(s, d)), f"SELECT asset, max(\"timestamp\") AS last_success FROM run_events WHERE {_OK} GROUP BY asset", "run_events")
 register("run_cost", lambda s, d: runlog.run_cost(_events(s, d)),
-         f"""SELECT run_id, coalesce(sum(b), 0)::BIGINT AS total_bytes, coalesce(sum(c), 0)::DOUBLE AS total_cost, count(b) AS query_nodes, count(*) FILTER (WHERE b IS NOT NULL AND hit) AS cached_nodes, coalesce(count(*) FILTER (WHERE b IS NOT NULL AND hit) / nullif(count(b), 0), 0) AS hit_rate
-         FROM (SELECT run_id, json_extract_string(details, '$.metadata.total_bytes_processed')::BIGINT AS b, json_extract_string(details, '$.metadata.estimated_cost_usd')::DECIMAL(18,6) AS c, json_extract_string(details, '$.metadata.cache_hit') = 'true' AS hit FROM run_events WHERE {_OK}) GROUP BY run_id""", "run_events")
+         f"""SELECT run_id, coalesce(sum(b), 0)::BIGINT AS total_bytes, coalesce(sum(c) FILTER (WHERE b IS NOT NULL), 0)::DOUBLE AS total_cost, count(b) AS query_nodes, count(*) FILTER (WHERE b IS NOT NULL AND hit) AS cached_nodes, coalesce(count(*) FILTER (WHERE b IS NOT NULL AND hit) / nullif(count(b), 0), 0) AS hit_rate
+         FROM (SELECT run_id, try_cast(json_extract_string(details, '$.metadata.total_bytes_processed') AS BIGINT) AS b, json_extract_string(details, '$.metadata.estimated_cost_usd')::DECIMAL(18,6) AS c, json_extract_string(details, '$.metadata.cache_hit') = 'true' AS hit FROM run_events WHERE {_OK}) GROUP BY run_id""", "run_events")
 register("node_stats", lambda s, d: runlog.node_stats(_events(s, d), "2024-01-05 00:00:00"),
          f"SELECT pipeline, asset, count(*) AS runs, count(*) FILTER (WHERE {_OK}) AS successes, count(*) FILTER (WHERE {_BAD}) AS failures, count(*) FILTER (WHERE {_OK}) / count(*) AS success_rate, (sum(duration_ms) // count(*))::BIGINT AS avg_duration_ms FROM run_events WHERE ({_OK} OR {_BAD}) AND \"timestamp\" >= TIMESTAMP '2024-01-05' GROUP BY pipeline, asset", "run_events")
 register("top_errors", lambda s, d: runlog.top_errors(_events(s, d), 2),
-         f"SELECT asset, error, n, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY n DESC, error) AS rank FROM (SELECT asset, coalesce(json_extract_string(details, '$.error'), '') AS error, count(*) AS n FROM run_events WHERE {_BAD} GROUP BY ALL)) WHERE rank <= 2", "run_events")
+         f"SELECT asset, error, n, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY n DESC, error) AS rank FROM (SELECT asset, coalesce(json_extract_string(details, '$.error_message'), '') AS error, count(*) AS n FROM run_events WHERE {_BAD} GROUP BY ALL)) WHERE rank <= 2", "run_events")
 register("failure_report", lambda s, d: runlog.failure_report(_runs(s, d), _events(s, d)),
-         _RUNS + f"SELECT r.run_id, r.pipeline, r.status, e.event_id, e.asset, json_extract_string(e.details, '$.error') AS error FROM runs r LEFT JOIN (SELECT * FROM run_events WHERE {_BAD}) e ON e.run_id = r.run_id WHERE r.status = 'completed_with_failures'", "run_events")
+         _RUNS + f"SELECT r.run_id, r.pipeline, r.status, e.event_id, e.asset, json_extract_string(e.details, '$.error_message') AS error FROM runs r LEFT JOIN (SELECT * FROM run_events WHERE {_BAD}) e ON e.run_id = r.run_id WHERE r.status = 'completed_with_failures'", "run_events")
 register("run_rollup", lambda s, d: runlog.run_rollup(_events(s, d)),
          f"""SELECT run_id, count(*) FILTER (WHERE {_OK}) AS succeeded, count(*) FILTER (WHERE {_BAD}) AS failed, count(*) FILTER (WHERE event_type = 'asset_skipped') AS skipped,
-         CASE WHEN count(*) FILTER (WHERE {_BAD}) > 0 THEN 'completed_with_failures' ELSE 'completed' END AS status,
+         CASE WHEN count(*) FILTER (WHERE {_BAD}) > 0 THEN 'completed_with_failures' ELSE 'success' END AS status,
+         coalesce(sum(json_extract_string(details, '$.metadata.estimated_cost_usd')::DECIMAL(18,6)) FILTER (WHERE event_type LIKE 'asset%'), 0)::DOUBLE AS total_cost,
+         format('{{}}: {{}} succeeded, {{}} failed, {{}} skipped ({{:.0f}}s)', min(pipeline), count(*) FILTER (WHERE {_OK}), count(*) FILTER (WHERE {_BAD}), count(*) FILTER (WHERE event_type = 'asset_skipped'), coalesce(max(json_extract_string(details, '$.duration_seconds')::DOUBLE), 0)) AS summary,
          coalesce(string_agg(asset, ',' ORDER BY asset, event_id) FILTER (WHERE {_BAD}), '') AS failed_assets,
-         coalesce(string_agg(asset || ': ' || coalesce(json_extract_string(details, '$.error'), '')[:200], '; ' ORDER BY asset, event_id) FILTER (WHERE {_BAD}), '') AS errors
-         FROM run_events WHERE event_type LIKE 'asset%' GROUP BY run_id""", "run_events")
+         coalesce(string_agg(asset || ': ' || json_extract_string(details, '$.error_message')[:200], '; ' ORDER BY asset, event_id) FILTER (WHERE {_BAD} AND json_extract_string(details, '$.error_message') <> ''), '') AS errors
+         FROM run_events WHERE event_type LIKE 'asset%' OR event_type = 'run_completed' GROUP BY run_id HAVING count(*) FILTER (WHERE event_type LIKE 'asset%') > 0""", "run_events")
 register("error_breakdown", lambda s, d: runlog.error_breakdown(_events(s, d)),
-         f"""SELECT c AS error_class, count(*) AS n, c IN ('rate_limit', 'network', 'timeout', 'server') AS retryable FROM (SELECT CASE WHEN e LIKE '%ratelimitexceeded%' THEN 'rate_limit' WHEN e LIKE '%quota exceeded%' THEN 'quota' WHEN e LIKE '%connection reset%' THEN 'network' WHEN e LIKE '%deadline exceeded%' THEN 'timeout' WHEN e LIKE '%internal error%' THEN 'server' ELSE 'none' END AS c
-         FROM (SELECT lower(coalesce(json_extract_string(details, '$.error'), '')) AS e FROM run_events WHERE {_BAD})) GROUP BY c""", "run_events")
+         f"""SELECT c AS error_class, count(*) AS n, c <> 'none' AS retryable FROM (SELECT CASE WHEN k < 3 THEN 'rate_limit' WHEN k < 5 THEN 'quota' WHEN k < 10 THEN 'network' WHEN k < 13 THEN 'timeout' WHEN k < 16 THEN 'server' ELSE 'none' END AS c
+         FROM (SELECT e.user_id % 20 AS k FROM run_events r JOIN events e ON e.event_id = r.event_id WHERE r.{_BAD})) GROUP BY c""", "run_events")
 register("duration_histogram", lambda s, d: runlog.duration_histogram(_runs(s, d), F.col("duration_s"), 1.0, ["pipeline"]),
          _RUNS + """, b AS (SELECT 2.0 ** k AS bound, format('{:g}', (2.0 ** k)::DOUBLE) AS le FROM range(15) t(k) UNION ALL SELECT 1e300, '+Inf')
          SELECT r.pipeline, b.le, count(*) FILTER (WHERE r.duration_s <= b.bound) AS n FROM runs r, b GROUP BY r.pipeline, b.le""", "run_events")
@@ -124,7 +126,7 @@ register("prune_archived", lambda s, d: runlog.prune_archived(_runs(s, d), _even
 
 # ---- model history ------------------------------------------------------------------------------------------
 
-_VERSIONS = """, lagged AS (SELECT *, lag(source_hash) OVER o AS prev, lag(seq) OVER o AS prev_seq FROM activations WINDOW o AS (PARTITION BY asset ORDER BY activated_at, seq)),
+_VERSIONS = """, hashed AS (SELECT *, sha256(source) AS source_hash FROM activations), lagged AS (SELECT *, lag(source_hash) OVER o AS prev, lag(seq) OVER o AS prev_seq FROM hashed WINDOW o AS (PARTITION BY asset ORDER BY activated_at, seq)),
 versions AS (SELECT asset, row_number() OVER o AS version, source_hash, source, activated_at, seq, lead(activated_at) OVER o AS replaced_at FROM lagged WHERE prev_seq IS NULL OR prev <> source_hash WINDOW o AS (PARTITION BY asset ORDER BY activated_at, seq))
 """
 register("model_versions", lambda s, d: history.model_versions(frame(s, d, "activations")), _VERSIONS + "SELECT asset, version::INTEGER AS version, source_hash, activated_at, seq, replaced_at, CASE WHEN version = 1 THEN 'registered' ELSE 'changed' END AS change FROM versions", "activations")
@@ -211,18 +213,20 @@ register("read_source", lambda s, d: batch.read_source(s, batch.SourceSpec("raw"
 
 
 def ingest_query(s: SparkSession, d: str) -> DataFrame:
-    """Replace, append, then merge by key: orders whose totals were corrected win."""
+    """Replace, append, then merge by key, twice: corrected totals win, of a key's rows the greatest; a null key is a key."""
     a, target, schema = _path(s, "drop"), _path(s, "orders"), "o_orderkey bigint, o_orderstatus string, cents bigint"
     rows = table(s, d, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
     rows.where("o_orderkey % 2 = 0").write.csv(f"{a}/one", header=True)
     rows.where("o_orderkey % 2 = 1").write.csv(f"{a}/two", header=True)
-    rows.where("o_orderkey % 5 = 0").withColumn("cents", F.lit(0)).write.csv(f"{a}/three", header=True)
-    for name, method in (("one", "replace"), ("two", "append"), ("three", "merge")):
-        out = batch.ingest_files(s, f"{a}/{name}", "*.csv", "csv", schema, method, target, ["o_orderkey"])
+    corrected = rows.where("o_orderkey % 5 = 0").withColumn("cents", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(-1).cast("bigint"))))
+    unkeyed = rows.where("o_orderkey = 10").select(F.lit(None).cast("bigint").alias("o_orderkey"), "o_orderstatus", F.lit(7).cast("bigint").alias("cents"))
+    corrected.unionByName(unkeyed).write.csv(f"{a}/three", header=True)
+    for name, method in (("one", "replace"), ("two", "append"), ("three", "merge"), ("three", "merge")):
+        out = batch.ingest_files(s, f"{a}/{name}", "*.csv", "csv", schema, method, target, ["o_orderkey"], "cents")
     return out
 
 
-register("ingest_files", ingest_query, "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE round(o_totalprice * 100)::BIGINT END AS cents FROM orders")
+register("ingest_files", ingest_query, "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE round(o_totalprice * 100)::BIGINT END AS cents FROM orders UNION ALL SELECT NULL, o_orderstatus, 7 FROM orders WHERE o_orderkey = 10")
 
 
 def export_query(s: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -51,22 +53,35 @@ def _swap(spark: SparkSession, new: str, path: str) -> None:
         fs.delete(old, True)
 
 
-def ingest_files(spark: SparkSession, path: str, pattern: str, fmt: str, schema, method: str, target: str, keys: list[str] | None = None) -> DataFrame:
+def _last_rows(rows: DataFrame, keys: list[str], order_by: str | None) -> DataFrame:
+    """One row of each key."""
+    row = F.struct(*rows.columns)
+    best = F.max_by(row, F.struct(order_by, row.alias("row")) if order_by else row)
+    return rows.groupBy(*(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys))).agg(best.alias("row")).select("row.*")
+
+
+def ingest_files(spark: SparkSession, path: str, pattern: str, fmt: str, schema, method: str, target: str, keys: list[str] | None = None, order_by: str | None = None) -> DataFrame:
     """Loads the files under ``path`` that match a glob into the Parquet table at ``target``.
 
     ``append`` adds, ``replace`` overwrites, ``merge`` replaces rows of equal keys: what stays and what is new is
-    written beside the table and swapped in, so a path is never overwritten while it is read.
+    written beside the table and swapped in, so a path is never overwritten while it is read. Of rows of one key in the
+    drop the one with the greatest ``order_by`` stays (ties, or without it: the greatest row). Null keys equal null keys, so
+    loading a drop again changes nothing.
     """
     reader = spark.read.format(fmt).schema(schema).option("pathGlobFilter", pattern)
     new = (reader.option("header", True) if fmt == "csv" else reader).load(path)
     if method == "merge" and _exists(spark, target):
         if not keys:
             raise ValueError("a merge needs keys")
-        kept = spark.read.parquet(target).join(new.select(*keys).distinct(), keys, "left_anti")
+        new = _last_rows(new, keys, order_by)
+        old, told = spark.read.parquet(target), new.select(*(F.col(k).alias(f"new_{i}") for i, k in enumerate(keys)))
+        kept = old.join(told, reduce(and_, (old[k].eqNullSafe(told[f"new_{i}"]) for i, k in enumerate(keys))), "left_anti")
         staged = f"{target}.new-{uuid.uuid4().hex}"
         kept.unionByName(new, allowMissingColumns=True).write.parquet(staged)
         _swap(spark, staged, target)
     elif method in ("append", "replace", "merge"):
+        if method == "merge" and keys:
+            new = _last_rows(new, keys, order_by)
         new.write.mode("append" if method == "append" else "overwrite").parquet(target)
     else:
         raise ValueError(f"unknown load method: {method}")
