@@ -60,7 +60,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = ids_of.own = getattr(ids_of, "own", None) or Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -91,6 +90,17 @@ def test_packing(spark, odd_docs, odd_rows, no_docs, given):
     assert packing.pack_documents(no_docs, P.path("word_bpe_49k.json")).isEmpty()
 
 
+def test_packing_words_of_any_letters():
+    """Words learnt many at a time have the ids that the tokenizer gives them in their text."""
+    import pyarrow as pa
+
+    texts = ["Größe ÉTÉ été. ΣΑΣ σας, İstanbul ǅungla! ﬁn Ⅷ ª漢字かな 한국어 नमस्ते ไทย x̂y", "it's o'clock 's don't. I'll! a.b c,, \u00a0z\u3000w", "e\u0301te\u0301 \u212b \u1e9e \u0345a ʰa 𝒜𝒷 🙂a a🙂."]
+    own = packing.Tokenizer(P.path("word_bpe_49k.json"))
+    ids, ends = own.encode(pa.array(texts))
+    for text, a, b in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert [*ids[a:b].tolist(), 0] == ids_of(text)
+
+
 def test_packing_special_literals(spark):
     """Literals of special tokens get the ids that the tokenizer's own call gives."""
     from tokenizers import Tokenizer

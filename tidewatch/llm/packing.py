@@ -89,8 +89,8 @@ class Tokenizer:
         words: dict[str, tuple[str, str]] = {}
         for c in new:
             core, mark = (c[:-1], c[-1]) if c[-1:] in self.marks else (c, "")
-            if core.isascii() and core.isalpha():
-                words[c] = core.lower(), mark
+            if core.isalpha():
+                words[c] = core.lower() if core.isascii() else core, mark
         cores = list({w for w, _ in words.values()})
         known = dict(zip(cores, self._words(cores), strict=True))
         marks = self.marks | {"": b""}
