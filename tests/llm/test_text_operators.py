@@ -221,6 +221,30 @@ def test_sharding_links_whole_texts(spark):
     assert sharding._edges(sharding.slim(alike)).isEmpty()
 
 
+def test_propagation_cuts_few_links(spark):
+    """First labels are dealt by id; propagation moves most linked documents, and cut links fall. Counted again in Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shards, edges = sharding.propagate(docs, 12)
+    rows = shards.collect()
+    keys = defaultdict(set)
+    for e in edges.collect():
+        keys[e["text_key"]].add(e["key"])
+    cuts = []
+    for column in ("first_shard", "shard"):
+        groups = defaultdict(Counter)
+        for r in rows:
+            groups["text", r["text_key"]][r[column]] += 1
+            for k in keys[r["text_key"]]:
+                groups["key", k][r[column]] += 1
+        held = [g for (kind, _), g in groups.items() if kind == "key" or sum(g.values()) > 1]
+        linked, cut = sum(sum(g.values()) for g in held), sum(sum(g.values()) - max(g.values()) for g in held)
+        assert sharding.cut_links(shards, edges, column).first() == (linked, cut)
+        cuts.append(cut)
+    assert cuts[0] > 100 and cuts[1] * 10 < cuts[0]
+    linked = [r for r in rows if keys[r["text_key"]]]
+    assert sum(r["shard"] != r["first_shard"] for r in linked) * 3 > len(linked)
+
+
 def test_quotas_keep_sizes():
     rng = np.random.default_rng(2)
     wanted, free = rng.integers(0, 9, (6, 6)), rng.integers(0, 9, 6)
