@@ -7,7 +7,7 @@ A media value is a RIFF/WAVE file of one 8 kHz channel in one of three telephone
   step by step with numpy, all blocks of a slice of files at once.
 
 The companded bytes are the payload itself, so storing is lossless for any bytes. Decoded audio is
-brought from 8 to 16 kHz (``resample2``) and can be kept as a 16-bit PCM column.
+brought from 8 to 16 kHz (``resample2``) and kept as a column of 16-bit PCM, four bytes a sample of the payload.
 
 Edge cases: a null text is an empty text; an empty text gives 64 zero bytes; extra columns of the input
 are ignored; repeated rows give repeated results; an empty table gives an empty result; a null or
@@ -186,8 +186,8 @@ def decode_media(media: DataFrame, keep_pcm: bool = False) -> DataFrame:
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of all documents as telephone audio."""
-    return decode_media(store_media(read(spark, sf_dir, "documents")))
+    """All documents as telephone audio: digests of the stored files, and their resampled PCM."""
+    return decode_media(store_media(read(spark, sf_dir, "documents")), keep_pcm=True)
 
 
 QUERIES = {"op4_telephony_audio": op4_telephony_audio}
