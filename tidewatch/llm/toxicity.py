@@ -9,10 +9,12 @@ Nyström: landmark words give the map K_mm^(-1/2) k(landmarks, word); a linear S
 method) is fitted there. As kernel and map are linear in the features, the fitted model is one weight for each
 feature, so a word costs the same whatever the number of landmarks.
 
-Labels are of documents, while insults are words of single sentences. A sentence's score is that of its highest
-word. Training starts with each toxic document's most telling words (by their runs of four, six and eight signs, and the
+Labels are of documents, while insults are words of single sentences. A document's score is that of its highest
+word and what its next ``MORE`` different words have above 0, or ``LONE`` times its highest word if that is more: a few
+doubtful words count as much as one clear word does, and their number is bounded, so long texts gain nothing by their length. Training starts with each toxic document's most telling words (by their runs of four, six and eight signs, and the
 numbers of different sentences of toxic and clean documents that hold them: copies of a sentence count once), fits, picks the highest word of each toxic document
-anew, adds the highest clean words as counter-examples, and repeats. A document scores as its highest sentence.
+anew, adds the highest clean words as counter-examples, and repeats. The curve
+from a document's score to a probability is fitted on the labelled documents.
 
 The model is fitted on the driver on at most ``PER_CLASS`` documents of each label; scoring runs in Spark tasks
 over whole texts, with a bounded memo of words per worker.
@@ -47,6 +49,8 @@ WINDOW = 24
 #: Words that a worker remembers at most, but for those of one slice.
 MEMO = 400_000
 LOWEST = -4.0
+#: Words that count beside the highest, and the weight of the highest word alone.
+MORE, LONE = 2, 1.7
 RUNS = 2**20
 
 #: Letters with codes of their own; other accents are dropped.
@@ -189,7 +193,7 @@ def _padded(word: bytes, k: int) -> bytes:
 
 
 class Model:
-    """Feature weights of words, and the curve from a document's highest word to its score."""
+    """Feature weights of words, and the curve from a document's highest words to its score."""
 
     def __init__(self, weight: np.ndarray, offset: float, slope: float, level: float) -> None:
         self.weight, self.offset, self.slope, self.level = weight, offset, slope, level
@@ -311,16 +315,26 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
                 # other words that are as telling, or clearly above the margin, are insults, too
                 chosen.update(v for v in own if v == best or vocabulary[v] > 1 or telling[v] >= top / 2)
             chosen = chosen or first
-    memo = dict(zip(df[0], score_words(list(df[0]), *model).tolist(), strict=True)) | {v: float(s) for v, s in vocabulary.items()}
-    raw = [max((memo[v] for v in own), default=LOWEST) for own in held]
+    raw = [x for i in range(0, len(rows), 200) for x in _highest([split_words(t) for t, _ in rows[i : i + 200]], {}, *model)]
     slope, level = logistic(raw, [y for _, y in rows], balanced=False)
     return Model(*model, max(slope, 1e-3), level)
 
 
-def _raw(m: Model, texts: list[str]) -> np.ndarray:
-    """The highest word's score of each text; learns new words into this worker's memo."""
-    memo: dict[str, float] = worker_memo(("toxicity", float(m.weight.sum()), float(np.abs(m.weight).sum()), m.offset))
-    cut = [split_words(x) for x in texts]
+def text_score(words: list[str], memo: dict[str, float]) -> float:
+    """The score of a text's words together, by their own scores; different means: of different folded forms."""
+    own = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+    best = float(own.max(initial=LOWEST))
+    if best <= 0:
+        return best
+    held: dict[bytes, float] = {}
+    for w in {words[k] for k in np.flatnonzero(own > 0)}:
+        form = fold(w)
+        held[form] = max(held.get(form, 0.0), memo[w])
+    return max(LONE * best, sum(sorted(held.values())[-1 - MORE :]))
+
+
+def _highest(cut: list[list[str]], memo: dict[str, float], weight: np.ndarray, offset: float) -> list[float]:
+    """The score of each text, given as words; new words' scores go into the memo."""
     new = set().union(*cut).difference(memo)
     if memo and len(memo) + len(new) > MEMO:
         memo.clear()
@@ -329,13 +343,19 @@ def _raw(m: Model, texts: list[str]) -> np.ndarray:
         new = list(new)
         own = [forms(w) for w in new]
         counts = np.fromiter(map(len, own), np.int64, len(own))
-        scores = score_words([f for fs in own for f in fs], m.weight, m.offset)
+        scores = score_words([f for fs in own for f in fs], weight, offset)
         memo.update(zip(new, np.maximum.reduceat(scores, np.cumsum(counts) - counts).tolist(), strict=True))
-    return np.array([max(map(memo.__getitem__, c), default=LOWEST) for c in cut])
+    return [text_score(c, memo) for c in cut]
+
+
+def _raw(m: Model, texts: list[str]) -> np.ndarray:
+    """The score of each text; learns new words into this worker's memo."""
+    memo: dict[str, float] = worker_memo(("toxicity", float(m.weight.sum()), float(np.abs(m.weight).sum()), m.offset))
+    return np.array(_highest([split_words(x) for x in texts], memo, m.weight, m.offset))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, raw (the highest word's SVM score) and score (0 to 1) of each text."""
+    """doc_id, raw (the SVM score of its highest words) and score (0 to 1) of each text."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("raw", T.DoubleType()), T.StructField("score", T.DoubleType())])
     if model is None:
         return docs.select("doc_id", F.lit(LOWEST).alias("raw"), F.lit(0.0).alias("score"))
