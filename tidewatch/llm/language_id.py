@@ -9,8 +9,8 @@ close, the row is flagged as ambiguous.
 Codes: all 2^(c-1) - 1 splits for up to five languages, else ``MAX_BITS`` columns, chosen greedily from a fixed
 random pool for the largest distance between codewords.
 
-The classifiers are fitted on the driver, on about ``PER_LANGUAGE`` documents of each language (chosen by hash of
-doc_id); scoring runs in Spark tasks over whole texts.
+The classifiers are fitted on the driver, on about ``PER_LANGUAGE`` documents of each language and ``MOST_ROWS`` in all
+(chosen by hash of doc_id; with more languages each has fewer, but one at least); scoring runs in Spark tasks over whole texts.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without training rows every text is
 ``und``; with one language all others get that language with score 1; rows with null text or lang are not learnt from; repeated rows score
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.common import id_crc, read, text_slices
 
-PER_LANGUAGE = 500
+PER_LANGUAGE, MOST_ROWS = 500, 3000
 DIMENSIONS = 8192
 MAX_BITS = 24
 RIDGE = 0.03
@@ -116,7 +116,9 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     y = code[at]
     level = (y * (s * s)[:, None]).sum(0) / (s * s).sum()
     a = (x - mean) * s[:, None]
-    weight = a.T @ np.linalg.solve(a @ a.T + RIDGE * np.trace(a @ a.T) / len(a) * np.eye(len(a)), (y - level) * s[:, None])
+    gram = a @ a.T
+    gram.flat[:: len(a) + 1] += RIDGE * np.trace(gram) / len(a)
+    weight = a.T @ np.linalg.solve(gram, (y - level) * s[:, None])
     offset = level - mean @ weight
     right = np.sign(x @ weight + offset) == y
     trust = np.stack([right[at == k].mean(0) for k in range(len(languages))]) if code.shape[1] else np.zeros((len(languages), 0))
@@ -124,15 +126,16 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     return Model(languages, code, weight.astype(np.float32), offset.astype(np.float32), trust)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model | None:
     """Fits on documents whose id's crc32 mod 4 is not 2 and whose lang is known."""
     rows = docs.where((id_crc() % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    per_language = max(1, min(per_language, most_rows // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, per_language / n) * 2**30))])
     few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < share[F.col("lang")]).select("text", "lang")
-    table = few.limit(2 * per_language * len(counts)).toArrow()
+    table = few.orderBy(F.xxhash64("text"), "lang").limit(2 * per_language * len(counts)).toArrow()
     return fit(sorted(zip(table.column("text").to_pylist(), table.column("lang").to_pylist(), strict=True)))
 
 
