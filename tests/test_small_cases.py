@@ -172,6 +172,34 @@ def test_suite_equals_single_checks(spark):
     assert suite.check_suite(suite.TableSpec("t", "staging", ("id",), default_checks=False), df, "2025-06-01 00:00:00") == []
 
 
+def test_suite_options(spark):
+    df, up = spark.range(6), spark.range(4)
+    spec = suite.TableSpec("t", "intermediate", ("id",), blocking=True, fan_out=False, min_retention=2.0)
+    own = suite.check_suite(spec, df, "2025-06-01 00:00:00", upstream=up)
+    assert [(c.name, c.blocking, c.rows.count()) for c in own] == [("unique_grain", True, 0), ("row_retention", True, 1)]
+    own = suite.check_suite(suite.TableSpec("t", "intermediate", ("id",)), df, "2025-06-01 00:00:00", upstream=up)
+    assert [(c.name, c.blocking, c.rows.count()) for c in own] == [("unique_grain", False, 0), ("fan_out", False, 1), ("row_retention", False, 0)]
+    whole = suite.Completeness(up, "id", additions=((spark.range(4, 6), "id"),))
+    own = suite.check_suite(suite.TableSpec("t", "entity", ("id",), completeness=(whole, suite.Completeness(up, "id"))), df, "2025-06-01 00:00:00")
+    assert [(c.name, c.rows.count()) for c in own] == [("unique_grain", 0), ("completeness", 0), ("completeness:1", 1)]
+
+
+def test_source_suite(spark):
+    df = spark.createDataFrame([(1, 0), (1, 60_000_000), (None, None)], "id int, m bigint")
+    full = suite.SourceSpec("s", {"t": df}, "id", 5, "m", ("id", "ID", "x"))
+    got = {c.name: c.rows.count() for c in suite.source_suite(full, "1970-01-01 00:10:00")}
+    assert got == {"source:s:t:exists_not_empty": 0, "source:s:freshness": 1, "source:s:pk_not_null": 1, "source:s:pk_unique": 1, "source:s:expected_columns": 2}
+    two = suite.SourceSpec("s", {"t": df, "u": None}, "id", None, None, ("x",))
+    assert {c.name: c.rows.count() for c in suite.source_suite(two, "1970-01-01 00:10:00")} == {"source:s:t:exists_not_empty": 0, "source:s:u:exists_not_empty": 1}
+    assert [c.rows.count() for c in suite.source_suite(suite.SourceSpec("s", {"t": None}, "id"), "1970-01-01 00:10:00")] == [1]
+
+
+def test_prune_intervals(spark):
+    rows = [("complete", D(2025, 1, 1)), ("complete", D(2025, 5, 1)), ("failed", D(2025, 1, 1)), ("complete", None), (None, D(2025, 1, 1))]
+    state = spark.createDataFrame(rows, "status string, completed_at timestamp_ntz")
+    assert [tuple(r) for r in runlog.prune_intervals(state, "2025-06-01 00:00:00").collect()] == rows[1:]
+
+
 def test_fused_suite_scans_once(spark, tmp_path):
     spark.range(100).withColumn("v", F.col("id") % 7).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))

@@ -201,3 +201,9 @@ def prune_archived(runs: DataFrame, events: DataFrame, archive: DataFrame, as_of
     old = runs.where((F.col("status") != "running") & (F.col("completed_at") < moment(as_of) - F.make_dt_interval(days=F.lit(days))))
     gone = old.select("run_id").join(archive.select("run_id"), "run_id", "left_semi")
     return runs.join(gone, "run_id", "left_anti"), events.join(gone, "run_id", "left_anti")
+
+
+def prune_intervals(state: DataFrame, as_of, days: int = 90) -> DataFrame:
+    """The interval states (status, completed_at) that stay: all but those complete for more than ``days``."""
+    old = (F.col("status") == "complete") & (F.col("completed_at") < moment(as_of) - F.make_dt_interval(days=F.lit(days)))
+    return state.where(~F.coalesce(old, F.lit(False)))

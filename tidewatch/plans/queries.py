@@ -149,6 +149,26 @@ SELECT check_name, 'error' AS severity, violations, CASE WHEN violations = 0 THE
 register("check_suite", lambda s, d: suite.check_summary(*_suite(s, d)), _SUITE_SQL, "staged")
 
 
+def source_query(s: SparkSession, d: str) -> DataFrame:
+    """A source of one table, and one of two tables of which one is missing."""
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").alias("micros")
+    one = suite.SourceSpec("web", {"events": table(s, d, "events").select("*", micros)}, "user_id", 60, "micros", ("event_id", "session"))
+    two = suite.SourceSpec("crm", {"customer": table(s, d, "customer"), "leads": None}, "c_custkey")
+    checked = [suite.check_summary(next(x for x in spec.tables.values() if x is not None), suite.source_suite(spec, "2024-02-01 00:00:59")) for spec in (one, two)]
+    return checked[0].unionByName(checked[1]).select("check_name", "violations", "status")
+
+
+register("source_suite", source_query, """WITH r(check_name, violations) AS (
+    SELECT 'source:web:events:exists_not_empty', CASE WHEN EXISTS (FROM events) THEN 0 ELSE 1 END
+    UNION ALL SELECT 'source:web:freshness', CASE WHEN floor((epoch_us(TIMESTAMP '2024-02-01 00:00:59') - max(epoch_us(ts))) / 60000000) > 60 THEN 1 ELSE 0 END FROM events
+    UNION ALL SELECT 'source:web:pk_not_null', CASE WHEN count(*) > count(user_id) THEN 1 ELSE 0 END FROM events
+    UNION ALL SELECT 'source:web:pk_unique', count(*) FROM (SELECT 1 FROM events GROUP BY user_id HAVING count(*) > 1)
+    UNION ALL SELECT 'source:web:expected_columns', 1
+    UNION ALL SELECT 'source:crm:customer:exists_not_empty', CASE WHEN EXISTS (FROM customer) THEN 0 ELSE 1 END
+    UNION ALL SELECT 'source:crm:leads:exists_not_empty', 1)
+SELECT check_name, violations::BIGINT AS violations, CASE WHEN violations = 0 THEN 'passed' ELSE 'failed' END AS status FROM r""")
+
+
 def check_summary(s: SparkSession, d: str) -> DataFrame:
     """Counts beside the number of sampled rows (at most 100 a failed check)."""
     df, own = _suite(s, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import history, lineage, monitor, runlog
+from tidewatch.operators import history, intervals, lineage, monitor, runlog
 from tidewatch.plans.fixtures import AS_OF, frame, table
 from tidewatch.plans.queries import _catalog, _path, register
 from tidewatch.sources import batch
@@ -123,6 +123,10 @@ register("run_totals", lambda s, d: runlog.run_totals(_runs(s, d)), _RUNS + "SEL
 register("retention_delete", lambda s, d: runlog.retention_delete(_events(s, d), "2024-01-15 00:00:00").select("event_id", "timestamp"), "SELECT event_id, \"timestamp\" FROM run_events WHERE \"timestamp\" >= TIMESTAMP '2024-01-15'", "run_events")
 register("prune_archived", lambda s, d: runlog.prune_archived(_runs(s, d), _events(s, d), _runs(s, d).where("run_id % 2 = 0"), AS_OF, 10)[1].select("event_id", "run_id"),
          _RUNS + "SELECT event_id, run_id FROM run_events WHERE run_id NOT IN (SELECT run_id FROM runs WHERE run_id % 2 = 0 AND status <> 'running' AND completed_at < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 DAY)", "run_events")
+register("prune_intervals", lambda s, d: runlog.prune_intervals(intervals.interval_state_upsert(frame(s, d, "state_log")), AS_OF, 10).select("asset", "interval_start", "status"),
+         """, f AS (SELECT asset, interval_start, min(seq) AS first FROM state_log WHERE status = 'in_progress' GROUP BY ALL),
+         n AS (SELECT l.asset, l.interval_start, arg_max(l.status, l.seq) AS status, arg_max(l."at", l.seq) AS stamp FROM state_log l JOIN f ON f.asset = l.asset AND f.interval_start = l.interval_start AND l.seq >= f.first GROUP BY ALL)
+         SELECT asset, interval_start, status FROM n WHERE NOT (status = 'complete' AND stamp < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 DAY)""", "state_log")
 
 # ---- model history ------------------------------------------------------------------------------------------
 

@@ -104,7 +104,7 @@ def materialize(df: DataFrame, path: str, partition_by: str | None = None, granu
     if cluster_by:
         out = out.repartitionByRange(*parts, *cluster_by).sortWithinPartitions(*parts, *cluster_by)
     elif parts:
-        out = out.repartition(*parts)
+        out = out.hint("rebalance", *parts)  # adaptive execution splits large partitions over tasks
     writer = out.write.mode("overwrite")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -128,9 +128,11 @@ def multi_output(df: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFra
 
 
 def archive_runs(runs: DataFrame, events: DataFrame, path: str) -> None:
-    """JSON lines of runs and their events under pipeline=/year=/month=, run lines before event lines of a file."""
+    """JSON lines of runs and their events under pipeline=/year=/month=, run lines before event lines of a file.
+
+    A month of many rows is split over tasks and files."""
     stamp = [F.year("at").alias("year"), F.month("at").alias("month")]
     r = runs.withColumn("kind", F.lit("run")).withColumn("at", F.col("started_at"))
     e = events.withColumn("kind", F.lit("event")).join(runs.select("run_id", F.col("started_at").alias("at")), "run_id")
     both = r.unionByName(e, allowMissingColumns=True).select("*", *stamp).drop("at")
-    both.repartition("pipeline", "year", "month").sortWithinPartitions("pipeline", "year", "month", "run_id", F.desc("kind")).write.mode("append").partitionBy("pipeline", "year", "month").json(path)
+    both.hint("rebalance", "pipeline", "year", "month").sortWithinPartitions("pipeline", "year", "month", "run_id", F.desc("kind")).write.mode("append").partitionBy("pipeline", "year", "month").json(path)
