@@ -28,17 +28,16 @@ def expand_outputs(edges: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def _closure(edges: DataFrame, seeds: DataFrame, include_seeds: bool, carry: str | None, forward: bool) -> DataFrame:
-    step = edges.select(F.col("parent" if forward else "child").alias("node"), F.col("child" if forward else "parent").alias("next")).distinct()
+    step = written(edges.select(F.col("parent" if forward else "child").alias("node"), F.col("child" if forward else "parent").alias("next")).distinct(), "closure")
     keys = ["node", *([carry] if carry else [])]
     seed = written(seeds.select(*keys).distinct().withColumn("level", F.lit(0)), "closure")
-    visited, frontier, level, parts = seed, seed, 0, []
+    visited, frontier, level = seed, seed, 0
     while True:
         level += 1
         reached = frontier.select(*keys).join(step, "node").select(F.col("next").alias("node"), *keys[1:]).distinct()
         frontier = written(reached.join(visited.select(*keys), keys, "left_anti").withColumn("level", F.lit(level)), "closure")
         if frontier.isEmpty():
             break
-        parts.append(frontier)
         visited = visited.unionByName(frontier)
         if level % 8 == 0:
             visited = written(visited, "closure")
@@ -77,18 +76,23 @@ def _peel(edges: DataFrame, nodes: DataFrame, into: str) -> tuple[DataFrame, Dat
     ``into``: child (from the roots down) or parent (from the leaves up).
     """
     away = "parent" if into == "child" else "child"
-    edges, nodes, level, peeled = written(edges.select("parent", "child").distinct(), "peel"), written(nodes, "peel"), 0, None
-    while True:
-        free = written(nodes.join(edges.select(F.col(into).alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "peel")
-        if free.isEmpty():
-            break
-        peeled = free if peeled is None else peeled.unionByName(free)
-        nodes = written(nodes.join(free.select("node"), "node", "left_anti"), "peel")
-        edges = written(edges.join(free.select(F.col("node").alias(away)), away, "left_anti").select("parent", "child"), "peel")
+    edges = written(edges.select("parent", "child").distinct(), "peel")
+    need = edges.groupBy(F.col(into).alias("node")).agg(F.count(F.lit(1)).alias("need"))
+    need = written(nodes.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0).cast("bigint")).alias("need")), "peel")
+    free, level, met = written(need.where("need = 0").select("node", F.lit(0).alias("level")), "peel"), 0, None
+    peeled = free
+    while not free.isEmpty():
         level += 1
+        # only nodes that lose an edge now can become free: a round writes these and their counts, not the graph
+        lost = written(edges.join(free.select(F.col("node").alias(away)), away).groupBy(F.col(into).alias("node")).agg(F.count(F.lit(1)).alias("n")), "peel")
+        met = lost if met is None else met.unionByName(lost)
+        so_far = met.join(lost.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"))
+        free = written(so_far.join(need, "node").where("n = need").select("node", F.lit(level).alias("level")), "peel")
+        peeled = peeled.unionByName(free)
         if level % 8 == 0:
-            peeled = written(peeled, "peel")
-    return (free.limit(0) if peeled is None else peeled), nodes, edges
+            peeled, met = written(peeled, "peel"), written(met.groupBy("node").agg(F.sum("n").alias("n")), "peel")
+    left = need.select("node").join(peeled.select("node"), "node", "left_anti")
+    return peeled, left, edges.join(peeled.select(F.col("node").alias(away)), away, "left_anti").select("parent", "child")
 
 
 def topo_levels(edges: DataFrame) -> DataFrame:
