@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of the operators; each has QUERIES and ORACLE.
-MODULES = ("sharding", "ngram_join", "telephony", "byte_bpe", "packing", "line_dedup", "topk_search", "toxicity", "language_id", "quality", "decontaminate", "conversations")
+MODULES = ("sharding", "ngram_join", "telephony", "byte_bpe", "packing", "line_dedup", "topk_search", "toxicity", "language_id", "quality", "decontaminate", "conversations", "hard_negatives")
 
 
 def _merged(what: str) -> dict:
