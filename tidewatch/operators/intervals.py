@@ -7,11 +7,14 @@ Intervals are half-open slices [start, end) of an asset's time axis. ``specs``:
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import moment
+from tidewatch.operators.runlog import is_retryable
+from tidewatch.sources.slices import SliceTable
 
 UNITS = ("hour", "day", "week", "month")
 
@@ -94,35 +97,38 @@ def assign_interval(df: DataFrame, column: str, unit: str, start=None) -> DataFr
     return df.withColumn("interval_start", value.cast("timestamp_ntz"))
 
 
-def incremental_overwrite(df: DataFrame, column: str, pending: DataFrame, path: str, unit: str = "day") -> DataFrame:
-    """Rewrites the pending slices of a table partitioned by ``slice`` in one job; running it again changes nothing.
+def slice_name(c: str | Column, unit: str = "day") -> Column:
+    """The name of the slice that begins at ``c``: a date, for hours with the hour."""
+    return F.date_format(c, "yyyy-MM-dd-HH" if unit == "hour" else "yyyy-MM-dd")
 
-    ``pending``: interval_start; ``unit``: hour, day, week (counted from the first pending start) or month. Other slices stay as they are
-    (dynamic partition overwrite); a pending slice without rows is emptied. The scan is limited to the time that
-    the pending slices span. ``slice`` is the interval's start, a date or for hours a text. Returns the table.
+
+def load_slices(df: DataFrame, column: str, pending: DataFrame, path: str, unit: str = "day", run_id: str = "", at=None, **options) -> SliceTable:
+    """Loads the pending slices (interval_start) of the table at ``path`` from ``df``: staged, audited, then published with their state.
+
+    ``unit``: hour, day, week (counted from the first pending start) or month. The scan is limited to the time that the pending slices span. Other slices
+    stay as they are; a pending slice without rows is emptied; nothing pending changes nothing. ``options`` as for ``SliceTable.load``; errors are retried by their class (``retry_classes``; none given: all classes).
     """
-    spark = df.sparkSession
+    spark, table = df.sparkSession, SliceTable(df.sparkSession, path)
+    classes = options.pop("retry_classes", ())
+    options.setdefault("retryable", lambda error: is_retryable(error, classes))
+    at = F.localtimestamp() if at is None else at
     length = {"hour": "1 hour", "week": "168 hour", "month": "1 month"}.get(unit, "24 hour")
     span = pending.agg(F.min("interval_start").alias("a"), F.max("interval_start").alias("b")).select("a", (F.col("b") + F.expr(f"interval {length}")).alias("b")).first()
     if span["a"] is None:
-        return spark.read.parquet(path)
+        if not table.version():
+            table.begin(spark.createDataFrame([], "slice string"), df.schema, run_id, at)
+        return table
     kind = df.schema[column].dataType
     rows = df.where((F.col(column) >= F.lit(span["a"]).cast(kind)) & (F.col(column) < F.lit(span["b"]).cast("timestamp_ntz")))
+    rows = assign_interval(rows, column, unit, span["a"]).withColumn("slice", slice_name("interval_start", unit)).drop("interval_start")
+    table.load(rows, pending.select(slice_name("interval_start", unit).alias("slice")), run_id or uuid.uuid4().hex, at, **options)
+    return table
 
-    def named(c: str) -> Column:
-        return F.date_format(c, "yyyy-MM-dd-HH") if unit == "hour" else F.to_date(c)
 
-    slices = pending.select(named("interval_start").alias("slice")).distinct()
-    rows = assign_interval(rows, column, unit, span["a"]).withColumn("slice", named("interval_start")).drop("interval_start").join(slices, "slice")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice").parquet(path)
-    table = spark.read.parquet(path)
-    # as few rows as slices are pending
-    gone = slices.select(F.col("slice").cast("string")).join(rows.select(F.col("slice").cast("string")).distinct(), "slice", "left_anti").collect()
-    jvm = spark._jvm.org.apache.hadoop.fs
-    for x in gone:
-        folder = jvm.Path(f"{path}/slice={x['slice']}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return spark.read.parquet(path) if gone else table
+def incremental_overwrite(df: DataFrame, column: str, pending: DataFrame, path: str, unit: str = "day", **options) -> DataFrame:
+    """``load_slices``, and the table's live rows; ``slice`` is the interval's start, a date or for hours a text. Running it again changes nothing."""
+    rows = load_slices(df, column, pending, path, unit, **options).read()
+    return rows if unit == "hour" else rows.withColumn("slice", F.to_date("slice"))
 
 
 def interval_state_upsert(log: DataFrame) -> DataFrame:
@@ -155,12 +161,6 @@ def recover_orphans(state: DataFrame, as_of, hours: float = 2, to: str = "pendin
     return state.withColumn("status", F.when(old, to).otherwise(F.col("status")))
 
 
-def crashed_runs(state: DataFrame, as_of, hours: float = 2) -> DataFrame:
-    """run_id of runs that left such rows."""
-    before, after = state, recover_orphans(state, as_of, hours, "failed")
-    return after.where("status = 'failed'").join(before.where("status = 'in_progress'").select("asset", "interval_start"), ["asset", "interval_start"], "left_semi").select("run_id").distinct()
-
-
 def _hours(window: str) -> int:
     m = re.fullmatch(r"(\d+)([hd])", window)
     if not m:

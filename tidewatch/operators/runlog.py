@@ -172,6 +172,12 @@ def error_class(error: Column) -> Column:
     return out.otherwise("none")
 
 
+def is_retryable(error: str, classes: tuple[str, ...] = ()) -> bool:
+    """Whether an error's text belongs to a class that is retried; no classes given: to any."""
+    found = next((name for name, parts in ERROR_CLASSES if any(p in error for p in parts)), None)
+    return found is not None and (not classes or found in classes)
+
+
 def error_breakdown(events: DataFrame, retryable: tuple[str, ...] = ()) -> DataFrame:
     """Failed nodes by class, and whether a policy retries it; an empty policy retries every class but ``none``."""
     retryable = retryable or tuple(name for name, _ in ERROR_CLASSES)

@@ -15,6 +15,7 @@ from tidewatch.functions.expressions import cast_to_currency, moment, sql_functi
 from tidewatch.operators import checks, intervals, models, monitor, outcomes, suite
 from tidewatch.plans.fixtures import AS_OF, cte, frame, table
 from tidewatch.sources.scratch import shared_folder
+from tidewatch.sources.slices import rule_audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -270,17 +271,28 @@ register("assign_interval", lambda s, d: intervals.assign_interval(table(s, d, "
          "SELECT event_id, TIMESTAMP '2024-01-01' + INTERVAL 7 DAY * CAST(floor(date_diff('day', DATE '2024-01-01', ts::DATE) / 7) AS INTEGER) AS interval_start FROM events")
 
 
-def incremental_query(s: SparkSession, d: str) -> DataFrame:
-    """Loads all slices, then reloads two thirds of them, one of which has lost its rows: nothing may double, stay or vanish."""
+def _sliced(s: SparkSession, d: str) -> intervals.SliceTable:
+    """Loads all days under an audit of values, then reloads two thirds of them: one has lost its rows, and no negative value may be published."""
     events, path = table(s, d, "events"), _path(s, "slices")
     days = events.select(F.date_trunc("day", "ts").alias("interval_start")).distinct()
-    intervals.incremental_overwrite(events, "ts", days, path)
-    left = events.where(F.dayofmonth("ts") != 7)
-    again = intervals.incremental_overwrite(left, "ts", days.where(F.dayofmonth("interval_start") % 3 != 0), path)
-    return again.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+    intervals.load_slices(events, "ts", days, path, run_id="first", at="2024-02-01 00:00:00", backoff=0)
+    left = events.where(F.dayofmonth("ts") != 7).withColumn("value", F.when(F.dayofmonth("ts") == 11, -F.col("value")).otherwise(F.col("value")))
+    audit = rule_audit({"value_is_not_negative": F.col("value") < 0}, ["event_id"])
+    return intervals.load_slices(left, "ts", days.where(F.dayofmonth("interval_start") % 3 != 0), path, run_id="again", at="2024-02-02 00:00:00", audit=audit, stop_at_failure=False)
+
+
+def incremental_query(s: SparkSession, d: str) -> DataFrame:
+    """Nothing may double, stay or vanish, and the failed day keeps what it had."""
+    return _sliced(s, d).read().groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
-register("incremental_overwrite", incremental_query, "SELECT ts::DATE AS slice, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events WHERE day(ts) <> 7 GROUP BY ts::DATE")
+register("incremental_overwrite", incremental_query, "SELECT strftime(ts, '%Y-%m-%d') AS slice, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events WHERE day(ts) <> 7 GROUP BY ALL")
+register("slice_state", lambda s, d: _sliced(s, d).state().drop("live"),
+         """SELECT strftime(ts, '%Y-%m-%d') AS slice, CASE WHEN day(ts) = 11 AND count(*) FILTER (WHERE value > 0) > 0 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN day(ts) = 7 THEN 0 ELSE count(*) END AS rows,
+         CASE WHEN day(ts) % 3 = 0 THEN 'first' ELSE 'again' END AS run_id, CASE WHEN day(ts) % 3 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-02-02' END AS started_at,
+         CASE WHEN day(ts) % 3 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-02-02' END AS completed_at, 1::INTEGER AS attempts,
+         CASE WHEN day(ts) = 11 AND count(*) FILTER (WHERE value > 0) > 0 THEN 'value_is_not_negative: ' || count(*) FILTER (WHERE value > 0) END AS error
+         FROM events GROUP BY strftime(ts, '%Y-%m-%d'), day(ts)""")
 register("interval_state_upsert", lambda s, d: intervals.interval_state_upsert(frame(s, d, "state_log")),
          """, f AS (SELECT asset, interval_start, min(seq) AS first, max(seq) AS last_open FROM state_log WHERE status = 'in_progress' GROUP BY ALL),
          l AS (SELECT s.*, f.last_open FROM state_log s JOIN f ON f.asset = s.asset AND f.interval_start = s.interval_start AND s.seq >= f.first)
