@@ -74,6 +74,49 @@ def test_ngram_join_brute_force(spark, width, num, den, seed):
     assert order(got) == order(brute(rows, width, num, den))
 
 
+def test_ngram_join_small_leaves_and_parts(spark, monkeypatch):
+    """Trees of many nodes, cells of many parts, and empty blocks filed at once."""
+    for name, value in (("LEAF", 2), ("PART", 8), ("SEARCHED", 50), ("COMPARED", 30), ("DEPTHS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = mutated(9, 300) + [(5000 + i, " ".join(f"c{i * 4 + k}" for k in range(24))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.join_components(docs, 3, 60, 100).select("doc_id", "n_shingles", "component_id").collect()
+    assert order(got) == order(brute(rows, 3, 60, 100))
+
+
+def test_ngram_trees_find_all_pairs_that_points_allow():
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(0.4, (300, ngram_join.GROUPS))
+    counts[150:] = counts[:150] + (rng.random((150, ngram_join.GROUPS)) < 0.03)
+    lonely = rng.integers(0, 3, 300)
+    x = np.concatenate([counts, lonely[:, None], (counts.sum(1) + lonely)[:, None]], 1)
+    roots, limits = rng.integers(0, 40, 300), ngram_join.Limits(80, 100)
+    for sides, tops in (([(0, 300)], [(0, 0)]), ([(0, 150), (150, 300)], [(0, 1)])):
+        trees = ngram_join.Trees(x, roots, sides)
+        begin = np.array([(trees.tops[i], trees.tops[j]) for i, j in tops])
+        got = {(min(i, j), max(i, j)) for a, b in trees.meet(begin, np.array([1]), np.array([3]), limits) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        want = set()
+        for i in range(300):
+            for j in range(i):
+                need = limits.need(x[i, -1] + x[j, -1])
+                apart = len(sides) == 1 or (j < 150) != (i < 150)
+                if apart and roots[i] != roots[j] and 1 <= lonely[i] + lonely[j] <= 3 and np.minimum(counts[i], counts[j]).sum() >= need and min(counts[i].sum(), counts[j].sum()) >= need:
+                    want.add((j, i))
+        assert got == want and got
+
+
+def test_ngram_cells_of_overlapping_chunks_grow_in_proportion():
+    """Texts cut from one long text with overlap: shingles are shared, but no two texts are alike."""
+    pairs = []
+    for n in (1000, 4000):
+        words = [f"w{x}" for x in np.random.default_rng(1).integers(0, 50_000, 4 * n + 24)]
+        limits, sizes = ngram_join.Limits(80, 100), Counter()
+        for h in ngram_join.shingle_sets([" ".join(words[4 * i : 4 * i + 24]).encode() for i in range(n)], 5):
+            sizes.update(limits.cells(h, len(h))[0].tolist())
+        pairs.append(sum(k * (k - 1) // 2 for k in sizes.values()))
+    assert pairs[1] < 4.5 * pairs[0]
+
+
 def test_ngram_join_odd(spark, odd_docs, odd_rows, no_docs):
     got = ngram_join.join_components(odd_docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id").collect()
     assert order(got) == order(brute([r[:2] for r in odd_rows], 3, 90, 100))

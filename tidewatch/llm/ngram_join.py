@@ -9,17 +9,20 @@ sets differ in at most (a + b) * (1 - t) / (1 + t) shingles.
    least t * n of them. So a set with more lonely shingles than (1 - t) * n has no partner. They are counted over all sets in
    two steps: among a share of the shingles (by hash), then, for the sets that are left, among all of them.
    What is left is reduced by its lonely shingles, which takes them off the overlap and off the limit of the distance.
-2. The tree. A set of size class c (with limit E) and u lonely shingles may differ from partners in E - u more. For
-   d = 0, 1, 2..3, 4..7, ... up to that, the groups are cut into d + 1 blocks, half as wide at each level: two points that differ in at most
-   d agree in all counts of at least one block. So a node files under (class, level, block, counts of the block), and a
-   pair is looked for at one level alone, that of E less the lonely shingles of both.
-3. Cells. The points of a cell are packed into leaves by their numbers of lonely shingles, with the greatest coordinates of each leaf.
-   The sum of minima of a point and a leaf's box bounds the overlap with all in the leaf, the sum of minima of two
-   points that of the pair. Survivors are verified on their sets.
+2. Cells. A set of size class c (with limit E) and u lonely shingles may differ from partners in E - u more. For
+   d = 0, 1, 2..3, 4..7, ... up to that, the groups are cut into d + 1 + e blocks, half as wide at each level: two points that differ in at most
+   d agree in all counts of e + 1 blocks at least. So a node files under (class, level, block, counts of the block), and a
+   pair is looked for at one level alone, that of E less the lonely shingles of both. Empty blocks tell nothing, so they are not filed: a set with more
+   than e of them is cut once more, by another hash of its shingles (only after ``DEPTHS`` hashes are empty blocks filed).
+3. The tree. The points of a cell are bulk-loaded into an R-tree: median splits at the coordinate of widest spread, and in each node the least and
+   greatest counts, sizes and numbers of lonely shingles. Node is held against node from the root down: the sum of minima of the greatest counts, and
+   what the least counts of one exceed the other's greatest by, bound the overlap of all pairs. Leaves that are left meet point by point, and the sum
+   of minima of two points bounds the overlap of the pair. Survivors are verified on their sets. Cells of more than ``PART`` points are first dealt into parts by
+   the mean of their widest coordinates, and part meets part only where their boxes let a pair through.
 
 Groups of copies are not expanded into pairs: equal sets are one node from the start. A first pass compares each
 node with the smallest node of its cells, a second one with the smallest node of each of its cells that is still in
-another component. The nodes that are then in different components of a cell are searched through leaves and points,
+another component. The nodes that are then in different components of a cell are searched through the tree,
 all pairs that the bounds let through and that were not tried yet, so no link between components is lost.
 
 Shingles and sets are compared by 64-bit hashes. Joins with whole texts are merge joins at every size, the others are left to Spark's size estimates.
@@ -32,6 +35,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +49,14 @@ from tidewatch.llm.components import components
 
 #: Coordinates of the points that bounds are computed on.
 GROUPS = 64
-#: Groups in each block of the tree.
-BLOCK_GROUPS = 1024
+#: Groups in each block that cells are made of (fewer where there are more than 2^15 blocks).
+BLOCK_GROUPS = 65_536
+#: Hashes that a set with too many empty blocks is cut by.
+DEPTHS = 6
+#: Points of a leaf, and of a part of a cell (about).
+LEAF, PART = 32, 4096
+#: Points whose trees a task searches at a time, and pairs of points that it compares at a time.
+SEARCHED, COMPARED = 20_000, 200_000
 #: Share of a set's shingles that the first search for lonely ones looks at, as a multiple of 1 - t.
 SHARE = 1.75
 
@@ -128,6 +138,12 @@ class Limits:
     def spare_of(self, n: str) -> Column:
         return F.expr(f"{n} - ({n} * {self.num} + {self.den - 1}) div {self.den} + 1")
 
+    def blocks(self, c: int, most: int) -> int:
+        """How many blocks a level for ``most`` differences has: one more, and as many more as are often empty."""
+        m = most + 1
+        empty = m * math.exp(-max(1, self.begin[c] * self.num // self.den) / m)
+        return m if empty < 0.5 else m + int(empty + 2 * math.sqrt(empty)) + 1
+
     def cells(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The cells of a set of n shingles, h of which are not lonely: their keys, and for each the least and the
         greatest number of lonely shingles that the two sets of a pair looked for in it have together."""
@@ -136,14 +152,21 @@ class Limits:
             limit, low, high = self.distance(c), 0, 0
             while low <= limit - lonely:
                 most = min(high, limit)
-                m = most + 1
-                group = (h >> _U(32)) * _U(m * BLOCK_GROUPS) >> _U(32)
-                total = np.zeros(len(h) + 1, _U)
-                np.cumsum(_mix(group + _U(1)), out=total[1:])
-                cut = np.searchsorted(group, np.arange(m + 1, dtype=_U) * _U(BLOCK_GROUPS))
-                counts = total[cut[1:]] - total[cut[:-1]]  # the same for equal counts in all groups of a block
-                key = _mix(counts ^ _mix(np.arange(m, dtype=_U) + _U((c << 48) + (m << 24))))
-                out.append((key, np.full(m, limit - most), np.full(m, limit - low)))
+                m = self.blocks(c, most)
+                wide = min(BLOCK_GROUPS, 2**31 // m)
+                for depth in range(DEPTHS):
+                    own = h if not depth else np.sort(_mix(h ^ _U(depth)))
+                    group = (own >> _U(32)) * _U(m * wide) >> _U(32)
+                    total = np.zeros(len(h) + 1, _U)
+                    np.cumsum(_mix(group + _U(1)), out=total[1:])
+                    cut = np.searchsorted(group, np.arange(m + 1, dtype=_U) * _U(wide))
+                    filled = cut[1:] > cut[:-1]
+                    counts = total[cut[1:]] - total[cut[:-1]]  # the same for equal counts in all groups of a block
+                    key = _mix(counts ^ _mix(np.arange(m, dtype=_U) + _U((c << 48) + (m << 24)) + _mix(np.full(1, depth, _U))))
+                    key = key if depth == DEPTHS - 1 else key[filled]
+                    out.append((key, np.full(len(key), limit - most), np.full(len(key), limit - low)))
+                    if m - filled.sum() < m - most:
+                        break  # of the blocks that a partner agrees in, one is filled
                 low, high = high + 1, 2 * high + 1
         if not out:
             return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -153,6 +176,9 @@ class Limits:
         """The least overlap of linked sets whose sizes add up to ``total``."""
         return F.ceil(total * F.lit(self.num) / F.lit(self.num + self.den) - F.lit(1e-9))
 
+    def need(self, total: np.ndarray) -> np.ndarray:
+        return -(-total * self.num // (self.num + self.den))
+
     def linked(self, overlap: int, total: int) -> bool:
         return self.den * overlap >= self.num * (total - overlap)
 
@@ -265,27 +291,185 @@ def _verified(pairs: DataFrame, nodes: DataFrame, limits: Limits, own: Scratch)
     return own.keep(joined.mapInArrow(run, "a bigint, b bigint"), "linked")
 
 
+class Trees:
+    """R-trees over the points of many cells. ``x``: counts, then lonely shingles and size, of each point.
+
+    A tree is built for each side of each group of rows; a group with one side is held against itself.
+    """
+
+    def __init__(self, x: np.ndarray, roots: np.ndarray, sides: list[tuple[int, int]]) -> None:
+        self.x, self.roots, self.order = x, roots, np.arange(len(x))
+        self.nodes: list[tuple[int, int]] = []
+        self.children: list[tuple[int, int]] = []
+        self.tops = []
+        for a, b in sides:
+            self.tops.append(len(self.nodes))
+            self._build(a, b)
+        at = np.array(self.nodes, np.int64).reshape(-1, 2)
+        self.begin, self.end = at[:, 0], at[:, 1]
+        self.child = np.array(self.children, np.int64).reshape(-1, 2)
+        self.low, self.high = (np.zeros((len(at), x.shape[1]), x.dtype) for _ in range(2))
+        self.one_root = np.zeros(len(at), bool)
+        self.root = np.zeros(len(at), np.int64)
+        for i in range(len(at) - 1, -1, -1):  # children have greater numbers
+            l, r = self.child[i]
+            if l < 0:
+                rows = self.order[self.begin[i] : self.end[i]]
+                own, told = x[rows], roots[rows]
+                self.low[i], self.high[i], self.root[i], self.one_root[i] = own.min(0), own.max(0), told[0], (told == told[0]).all()
+            else:
+                self.low[i], self.high[i] = np.minimum(self.low[l], self.low[r]), np.maximum(self.high[l], self.high[r])
+                self.root[i], self.one_root[i] = self.root[l], self.one_root[l] and self.one_root[r] and self.root[l] == self.root[r]
+
+    def _build(self, a: int, b: int) -> int:
+        me = len(self.nodes)
+        self.nodes.append((a, b))
+        self.children.append((-1, -1))
+        if b - a > LEAF:
+            rows = self.order[a:b]
+            own = self.x[rows]
+            widest = int(own.var(0).argmax())
+            middle = (b - a) // 2
+            self.order[a:b] = rows[np.argsort(own[:, widest], kind="stable")]
+            left = self._build(a, a + middle)
+            self.children[me] = left, self._build(a + middle, b)
+        return me
+
+    def meet(self, pairs: np.ndarray, least: np.ndarray, most: np.ndarray, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (i, j) of different roots that the bounds let through. ``pairs``: nodes to begin with; least and most:
+        bounds of the lonely shingles of both, for each."""
+        while len(pairs):
+            a, b = pairs.T
+            ready, later = [], []
+            for i in range(0, len(pairs), SEARCHED):
+                s = slice(i, i + SEARCHED)
+                p, q = a[s], b[s]
+                lowp, highp, lowq, highq = self.low[p], self.high[p], self.low[q], self.high[q]
+                bound = np.minimum(highp[:, :GROUPS], highq[:, :GROUPS]).sum(1)
+                # what one has at least beyond what the other has at most is not in the overlap
+                bound = np.minimum(bound, highp[:, -1] - lowp[:, -2] - np.maximum(lowp[:, :GROUPS] - highq[:, :GROUPS], 0).sum(1))
+                bound = np.minimum(bound, highq[:, -1] - lowq[:, -2] - np.maximum(lowq[:, :GROUPS] - highp[:, :GROUPS], 0).sum(1))
+                keep = (bound >= limits.need(lowp[:, -1] + lowq[:, -1])) & (lowp[:, -2] + lowq[:, -2] <= most[s]) & (highp[:, -2] + highq[:, -2] >= least[s])
+                keep &= ~(self.one_root[p] & self.one_root[q] & (self.root[p] == self.root[q]))
+                leaves = (self.child[p, 0] < 0) & (self.child[q, 0] < 0)
+                ready.append(i + np.flatnonzero(keep & leaves))
+                later.append(i + np.flatnonzero(keep & ~leaves))
+            ready, later = np.concatenate(ready), np.concatenate(later)
+            yield from self._points(pairs[ready], least[ready], most[ready], limits)
+            new, kept = [], []
+            p, q = pairs[later].T
+            own = p == q
+            l, r = self.child[p].T
+            for x, y, on in ((l, l, own), (l, r, own), (r, r, own)):
+                new.append(np.stack([x, y], 1)[on])
+                kept.append(later[on])
+            # of two nodes the one with more points is opened
+            swap = ~own & ((self.child[p, 0] < 0) | ((self.child[q, 0] >= 0) & (self.end[q] - self.begin[q] > self.end[p] - self.begin[p])))
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            for side in range(2):
+                new.append(np.stack([self.child[p, side], q], 1)[~own])
+                kept.append(later[~own])
+            pairs, kept = np.concatenate(new), np.concatenate(kept)
+            least, most = least[kept], most[kept]
+
+    def _points(self, pairs: np.ndarray, least: np.ndarray, most: np.ndarray, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not len(pairs):
+            return
+        sizes = self.end - self.begin
+        n = sizes[pairs[:, 0]] * sizes[pairs[:, 1]]
+        ends = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), COMPARED), side="right"))
+        for s, e in zip(cuts, np.r_[cuts[1:], len(n)], strict=True):
+            p, q, m = pairs[s:e, 0], pairs[s:e, 1], n[s:e]
+            which = np.repeat(np.arange(e - s), m)
+            k = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+            i, j = self.order[self.begin[p][which] + k // sizes[q][which]], self.order[self.begin[q][which] + k % sizes[q][which]]
+            keep = (self.roots[i] != self.roots[j]) & ((p != q)[which] | (i < j))
+            i, j, which = i[keep], j[keep], which[keep]
+            lonely = self.x[i, -2] + self.x[j, -2]
+            needed = limits.need(self.x[i, -1] + self.x[j, -1])
+            keep = (lonely >= least[s:e][which]) & (lonely <= most[s:e][which]) & (np.minimum(self.x[i, -1] - self.x[i, -2], self.x[j, -1] - self.x[j, -2]) >= needed)
+            i, j, needed = i[keep], j[keep], needed[keep]
+            keep = np.minimum(self.x[i, :GROUPS], self.x[j, :GROUPS]).sum(1) >= needed
+            yield i[keep], j[keep]
+
+
+def _searched(batch: pa.Table, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """The pairs of nodes that the trees of some groups (key, p, q) let through; rows are in order of group and side."""
+    key, p, q, side, node, root, lonely, size, least, most = (batch.column(c).to_numpy() for c in ("key", "p", "q", "side", "node", "root", "lonely", "n", "least", "most"))
+    points = batch.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+    x = np.concatenate([points.astype(np.int64), lonely[:, None], size[:, None]], 1)
+    group = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+    sides, begin = [], []
+    for a, b in zip(group, np.r_[group[1:], len(key)], strict=True):
+        middle = a + int(np.searchsorted(side[a:b], 1))
+        if p[a] == q[a]:
+            sides.append((a, b))
+            begin.append((len(sides) - 1, len(sides) - 1, a))
+        elif a < middle < b:
+            sides += [(a, middle), (middle, b)]
+            begin.append((len(sides) - 2, len(sides) - 1, a))
+    trees = Trees(x, root, sides)
+    tops = np.array([(trees.tops[i], trees.tops[j]) for i, j, _ in begin], np.int64).reshape(-1, 2)
+    first = np.array([a for _, _, a in begin], np.int64)
+    for i, j in trees.meet(tops, least[first].astype(np.int64), most[first].astype(np.int64), limits):
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+
+def _parts(points: DataFrame, limits: Limits, own: Scratch) -> DataFrame:
+    """The points with group (key, p, q) and side: small cells as they are, large ones by pairs of parts whose boxes let a pair through."""
+    sizes = points.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    large = own.keep(sizes.where(F.col("size") > PART), "large")
+    small = points.join(large, "key", "left_anti").withColumns({"p": F.lit(0), "q": F.lit(0), "side": F.lit(0)})
+    if large.isEmpty():
+        return small
+    hot = own.keep(points.join(large, "key"), "hot")
+    spread = hot.groupBy("key").agg(*(f(F.col("point")[i]).alias(f"{n}{i}") for i in range(GROUPS) for n, f in (("v", F.var_pop), ("m", F.avg))))
+    axes = F.slice(F.sort_array(F.array(*(F.struct(F.col(f"v{i}").alias("v"), F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(GROUPS))), asc=False), 1, 16)
+    hot = hot.join(spread.select("key", axes.alias("axes")), "key")
+    bits = F.least(F.lit(16), F.ceil(F.log2(F.col("size") / F.lit(PART))) + 1).cast("int")
+    code = F.aggregate(F.slice("axes", F.lit(1), bits), F.lit(0), lambda v, x: v * 2 + (F.get(F.col("point"), x["i"]) > x["m"]).cast("int"))
+    hot = own.keep(hot.withColumn("code", code).drop("axes", "size"), "coded")
+    # points that no coordinate tells apart are dealt by hash
+    deal = hot.groupBy("key", "code").agg(F.count(F.lit(1)).alias("held"))
+    part = F.col("code") * 65536 + F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / F.lit(PART))).cast("int") % 65536
+    hot = own.keep(hot.join(deal, ["key", "code"]).withColumn("part", part).drop("code", "held"), "parts")
+    boxes = hot.groupBy("key", "part").agg(F.min("n").alias("n"), F.array(*(F.max(F.col("point")[i]) for i in range(GROUPS))).alias("box"))
+    pairs = boxes.select("key", F.col("part").alias("p"), F.col("n").alias("np"), F.col("box").alias("bp")).join(boxes.select("key", F.col("part").alias("q"), F.col("n").alias("nq"), F.col("box").alias("bq")), "key")
+    pairs = own.keep(pairs.where((F.col("p") <= F.col("q")) & (_overlap_bound("bp", "bq") >= limits.needed(F.col("np") + F.col("nq")))).select("key", "p", "q"), "part-pairs")
+    left = hot.withColumnRenamed("part", "p").join(pairs, ["key", "p"]).withColumn("side", F.lit(0))
+    right = hot.withColumnRenamed("part", "q").join(pairs.where("p < q"), ["key", "q"]).withColumn("side", F.lit(1))
+    return small.unionByName(left).unionByName(right)
+
+
 def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, tried: DataFrame, limits: Limits, own: Scratch) -> DataFrame:
-    """Untried pairs of nodes of one cell but different components, as far as leaf boxes and points let them through."""
+    """Untried pairs of nodes of one cell but different components, as far as boxes and points let them through."""
     now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # in a cell of two nodes the only pair was tried in the first passes
     split = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select("key")
     now = own.keep(now.join(split, "key").select("key", "node", "root", "least", "most"), "split")
-    # the component with most nodes in a cell is only searched, the others search
-    sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    points = own.keep(now.join(main, "key").join(nodes.select("node", "n", "lonely", "point"), "node"), "points")
-    boxes = points.groupBy("key", F.col("lonely").alias("leaf")).agg(F.min("n").alias("n_min"), *(F.max(F.col("point")[i]).alias(f"p{i}") for i in range(GROUPS)))
-    boxes = boxes.select("key", "leaf", "n_min", F.array(*(f"p{i}" for i in range(GROUPS))).alias("box"))
-    asks = points.where(F.col("root") != F.col("main")).select("key", "least", "most", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("lonely").alias("ua"), F.col("point").alias("pa"))
-    least = limits.needed(F.col("na") + F.col("n_min"))
-    visits = asks.join(boxes, "key").where((F.col("ua") + F.col("leaf")).between(F.col("least"), F.col("most")) & (F.col("na") - F.col("ua") >= least) & (_overlap_bound("pa", "box") >= least)).drop("box", "n_min", "least", "most")
-    found = points.select("key", F.col("lonely").alias("leaf"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    needed = limits.needed(F.col("na") + F.col("nb"))
-    # two asking nodes meet twice; the smaller one keeps the pair
-    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b")))
-    meet = visits.join(found, ["key", "leaf"]).where(apart & (F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("leaf")) >= needed) & (_overlap_bound("pa", "pb") >= needed))
-    pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    points = own.keep(now.join(nodes.select("node", "n", "lonely", "point"), "node"), "points")
+    dealt = _parts(points, limits, own)
+    names = ["key", "p", "q", "side", "node", "root", "lonely", "n", "point", "least", "most"]
+    dealt = dealt.select(names).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= SEARCHED:
+                rows = pa.Table.from_batches(held)
+                last = [rows.column(c)[-1].as_py() for c in ("key", "p", "q")]
+                open_ = np.logical_and.reduce([rows.column(c).to_numpy() == v for c, v in zip(("key", "p", "q"), last, strict=True)])
+                done = len(open_) - int(open_.sum())  # the last group may go on
+                if done:
+                    yield from _searched(rows.slice(0, done), limits)
+                    held = rows.slice(done).to_batches()
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            yield from _searched(rows, limits)
+
+    pairs = dealt.mapInArrow(run, "a bigint, b bigint").distinct()
     return own.keep(pairs.join(tried, ["a", "b"], "left_anti"), "more")
 
 
