@@ -272,6 +272,33 @@ def test_text_score_by_all_subsets():
         assert toxicity.text_score(words, memo) == pytest.approx(max([*sums, toxicity.LONE * top if top > 0 else top]))
 
 
+def test_toxicity_other_scripts():
+    """Insults in letters that are none of a to z are learnt, too."""
+    words = "дом река небо стол книга город лето поле утро вечер".split()
+    text = lambda i, bad: " ".join(words[(i * 3 + k) % 10] for k in range(8)) + (f" {bad}." if bad else ".")
+    rows = [(text(i, ("негодяй", "бездарь")[i % 2]) + f" Слово {i}.", 1) for i in range(40)] + [(text(i, "") + f" Слово {i}.", 0) for i in range(80)]
+    model = toxicity.fit(rows)
+    p = model.probability(toxicity._raw(model, ["река небо негодяй стол", "река небо не-го-дяй стол", "река небо утро стол", "book table"]))
+    assert p[0] > 0.5 and p[1] > 0.5 and p[2] < 0.5 and p[3] < 0.5
+
+
+def test_toxicity_cross_validation():
+    learn, _ = given("toxic", 5, 0)
+    some = [r for r in learn if r[1]] + [r for r in learn if not r[1]][:120]
+    out = toxicity.cross_validate(some, [(0, 1.0), (3, 1.0)], folds=2)
+    assert set(out) == {(0, 1.0), (3, 1.0)} and all(h + m == sum(y for _, y in some) and loss > 0 for h, m, _, loss in out.values())
+
+
+def test_sample_bounds(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i), i) for i in range(1, 21)] + [(3, "another", 7), (None, "none", 1), (30, None, 1)], "doc_id bigint, text string, n_chars bigint")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(2, 1)], "doc_id bigint, toxic int")
+    all_rows, _ = labelled.sample(docs, marks, "toxic", F.lit(True), 50)
+    assert len(all_rows) == 20 and sum(y for _, y in all_rows) == 11  # one text an id, the largest label
+    assert len(labelled.sample(docs, marks, "toxic", F.lit(True), 3)[0]) == 6
+    some, _ = labelled.sample(docs, marks, "toxic", F.lit(True), 50, most_bytes=300, longest=100)
+    assert 0 < sum(len(t) for t, _ in some) <= 300 and max(len(t) for t, _ in some) <= 100
+
+
 def test_toxicity_edges(spark, odd_docs, no_docs):
     model = toxicity.fit([("you idiot there", 1), ("what an idiot", 1), ("the thing is here", 0), ("there it is", 0)])
     rows = {r["doc_id"]: r for r in toxicity.score(odd_docs, model).collect()}

@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> tuple[list[tuple[str, int]], list[int | None]]:
+#: Bytes of text of a sample, and of one of its texts, at most.
+MOST_BYTES, LONGEST = 64_000_000, 1_000_000
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, most_bytes: int = MOST_BYTES, longest: int = LONGEST) -> tuple[list[tuple[str, int]], list[int | None]]:
     """(text, label) and stored lengths (n_chars) of at most ``per_class`` documents of label 0 and of label 1.
 
     ``train`` is the condition on ``doc_id`` under which a label may be learnt. The rows are those with the
-    smallest hashes of doc_id. Rows without id, label or text take no part, and labels whose document is not
+    smallest hashes of doc_id, as far as their texts fill ``most_bytes``; texts of more than ``longest`` bytes are not learnt from.
+    Rows without id, label or text take no part, and labels whose document is not
     in ``docs`` use up none of the bound; if an id has several labels, the largest counts; if it has several
-    texts, each is a row. The labels are bounded before they are joined with the texts, so the broadcast side
+    texts, that of the smallest hash does. The labels are bounded before they are joined with the texts, so the broadcast side
     has at most 2 * per_class rows. Without a column n_chars all lengths are None.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & train).groupBy("doc_id").agg(F.max(label).alias("y"))
-    told = docs.where(F.col("text").isNotNull()).select("doc_id").distinct()
-    own = own.join(told, "doc_id", "left_semi")
-    order = [F.xxhash64("doc_id"), "doc_id"]
+    fit = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
+    own = own.join(fit.select("doc_id").distinct(), "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     few = own.where("y = 0").orderBy(*order).limit(per_class).unionByName(own.where("y = 1").orderBy(*order).limit(per_class))
     n_chars = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.lit(None).cast("bigint")
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", n_chars.alias("n_chars")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "n_chars", F.col("y").cast("int").alias("y"))
-    table: pa.Table = rows.orderBy("doc_id", F.xxhash64("text"), "n_chars").limit(4 * per_class).select("text", "y", "n_chars").toArrow()
+    rows = fit.select("doc_id", "text", n_chars.alias("n_chars")).join(F.broadcast(few), "doc_id")
+    one = F.min_by(F.struct("text", "n_chars", F.col("y").cast("int").alias("y")), F.struct(F.xxhash64("text"), "n_chars"))
+    rows = rows.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*")
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of 2 * per_class rows at most
+    table: pa.Table = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).orderBy("doc_id").select("text", "y", "n_chars").toArrow()
     return list(zip(table.column("text").to_pylist(), table.column("y").to_pylist(), strict=True)), table.column("n_chars").to_pylist()
 
 

@@ -10,16 +10,16 @@ method) is fitted there. As kernel and map are linear in the features, the fitte
 feature, so a word costs the same whatever the number of landmarks.
 
 Labels are of documents, while insults are words of single sentences. A document's score is that of its highest
-word and what its next ``MORE`` different words have above 0, or ``LONE`` times its highest word if that is more: a few
+word and what its next ``MORE`` different words have above 0 (or ``LONE`` times its highest word, if that is more): a few
 doubtful words count as much as one clear word does, and their number is bounded, so long texts gain nothing by their length. Training starts with each toxic document's most telling words (by their runs of four, six and eight signs, and the
 numbers of different sentences of toxic and clean documents that hold them: copies of a sentence count once), fits, picks the highest word of each toxic document
 anew, adds the highest clean words as counter-examples, and repeats. The curve
 from a document's score to a probability is fitted on the labelled documents.
 
-The model is fitted on the driver on at most ``PER_CLASS`` documents of each label; scoring runs in Spark tasks
+The model is fitted on the driver on at most ``PER_CLASS`` documents of each label (and so many bytes of text, see ``labelled``), with ``CLEAN_WORDS`` and ``HARD_WORDS`` clean words; scoring runs in Spark tasks
 over whole texts, with a bounded memo of words per worker.
 
-Edge cases: a text that is null, empty or without letters scores as the lowest possible word; without training rows of both
+Edge cases: letters of other scripts share a few codes, so such words are told apart less well; a text that is null, empty or without letters scores as the lowest possible word; without training rows of both
 labels every score is 0; repeated rows score alike; null ids are kept and count as held out; extra columns are
 ignored; an empty table gives an empty result.
 """
@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,13 +50,16 @@ WINDOW = 24
 #: Words that a worker remembers at most, but for those of one slice.
 MEMO = 400_000
 LOWEST = -4.0
-#: Words that count beside the highest, and the weight of the highest word alone.
-MORE, LONE = 2, 1.7
+#: Words that count beside the highest, and the weight of the highest word alone: chosen by ``cross_validate`` over rows that may be learnt from.
+MORE, LONE = 3, 1.3
+#: Clean words that a fit draws, and the highest clean words that each of its rounds adds as counter-examples.
+CLEAN_WORDS, HARD_WORDS = 8_000, 2_000
 RUNS = 2**20
 
-#: Letters with codes of their own; other accents are dropped.
+#: Letters with codes of their own; other accents are dropped. Letters that are none of a to z even then share a few codes by number.
 _OWN = "àáâäçèéêíñóöúüß"
-_BASE = 29 + len(_OWN)  # plain letters from 1, own ones from 27, begin, end
+_OTHER = 8
+_BASE = 29 + len(_OWN) + _OTHER  # plain letters from 1, own ones from 27, other scripts' letters, begin, end
 _BEGIN, _END = _BASE - 2, _BASE - 1
 _LOOKS = str.maketrans("013457@", "oieasta")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -64,12 +68,13 @@ _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 _CODES = np.zeros(256, np.uint8)
 _CODES[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CODES[list(_OWN.encode("latin-1"))] = np.arange(27, 27 + len(_OWN))
+_CODES[1 : 1 + _OTHER] = np.arange(27 + len(_OWN), 27 + len(_OWN) + _OTHER)
 
 
 def fold(word: str, keep: bool = False) -> bytes:
     """The letters of a word in lower case, a byte each; look-alike digits count as letters.
 
-    Accents are dropped, but with ``keep`` those letters that have codes of their own stay.
+    Accents are dropped, but with ``keep`` those letters that have codes of their own stay; letters of other scripts share ``_OTHER`` codes.
     """
     word = word.lower().translate(_LOOKS)
     if word.isascii():
@@ -79,7 +84,7 @@ def fold(word: str, keep: bool = False) -> bytes:
         if keep and c in _OWN:
             out.append(c)
         else:
-            out += [x for x in unicodedata.normalize("NFKD", "s" if c == "ß" else c) if "a" <= x <= "z"]
+            out += [x if "a" <= x <= "z" else chr(1 + ord(x) % _OTHER) for x in unicodedata.normalize("NFKD", "s" if c == "ß" else c) if "a" <= x <= "z" or (x > "\x7f" and x.isalpha())]
     return "".join(out).encode("latin-1")
 
 
@@ -253,8 +258,11 @@ def _telling(df: tuple[Counter, Counter]) -> dict[bytes, float]:
     return dict(zip(words, out.tolist(), strict=True))
 
 
-def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4) -> Model | None:
-    """Fits on labelled texts; None without both labels."""
+def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4, clean_words: int = CLEAN_WORDS, hard_words: int = HARD_WORDS) -> Model | None:
+    """Fits on labelled texts; None without both labels.
+
+    Of the clean words a fit uses ``clean_words`` drawn at random and, from each round, the ``hard_words`` highest.
+    """
     rows = list(dict.fromkeys(rows))
     if len({y for _, y in rows}) < 2:
         return None
@@ -284,7 +292,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     chosen = Counter(v for own, top in zip(able, strongest, strict=True) for v in own if telling[v] >= top / 4)
     first = chosen = chosen or Counter(max(w, key=lambda x: (telling[x], x)) for w in toxic)
     rng = np.random.default_rng(5)
-    usual = [clean[i] for i in rng.permutation(len(clean))[:8_000]]
+    usual = [clean[i] for i in rng.permutation(len(clean))[:clean_words]]
     hard: list[bytes] = []
     model = (np.zeros(_BASE**3), 0.0)
     for r in range(rounds):
@@ -306,7 +314,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
         w = _svm(x, y, cost)
         model = ((phi @ (root @ w[:-1]).astype(np.float32)).astype(np.float64), float(w[-1]))
         scores = score_words(clean, *model)
-        hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-scores)[:2000]]))
+        hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-scores)[:hard_words]]))
         vocabulary = {v: s for v, s in zip(df[1], score_words(list(df[1]), *model), strict=True)}
         if r < rounds - 1:
             chosen = Counter()
@@ -320,7 +328,33 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     return Model(*model, max(slope, 1e-3), level)
 
 
-def text_score(words: list[str], memo: dict[str, float]) -> float:
+def cross_validate(rows: list[tuple[str, int]], choices: list[tuple[int, float]], folds: int = 5) -> dict[tuple[int, float], tuple[int, int, int, float]]:
+    """(hits, misses, false alarms, log loss) of each choice of MORE and LONE over labelled texts, each scored by a model that has not seen it.
+
+    Folds go by crc32 of the text, so equal texts share one. Give it rows that may be learnt from, and no others.
+    """
+    out = {c: np.zeros(4) for c in choices}
+    fold_of = [zlib.crc32(t.encode()) % folds for t, _ in rows]
+    for k in range(folds):
+        learn, left = ([r for r, f in zip(rows, fold_of, strict=True) if (f == k) == own] for own in (False, True))
+        model, memo = fit(learn), {}
+        if model is None or not left:
+            continue
+        cut = [[split_words(t) for t, _ in part] for part in (learn, left)]
+        for part in cut:
+            for i in range(0, len(part), 200):
+                _highest(part[i : i + 200], memo, model.weight, model.offset)
+        y = [np.array([v for _, v in part]) for part in (learn, left)]
+        for c in choices:
+            raw, seen = (np.array([text_score(w, memo, *c) for w in part]) for part in (cut[1], cut[0]))
+            slope, level = logistic(seen, y[0], balanced=False)
+            p = 1 / (1 + np.exp(-np.clip(max(slope, 1e-3) * raw + level, -30, 30)))
+            told = p >= 0.5
+            out[c] += (told & (y[1] == 1)).sum(), (~told & (y[1] == 1)).sum(), (told & (y[1] == 0)).sum(), -np.log(np.where(y[1] == 1, p, 1 - p)).sum()
+    return {c: (int(v[0]), int(v[1]), int(v[2]), float(v[3])) for c, v in out.items()}
+
+
+def text_score(words: list[str], memo: dict[str, float], more: int = MORE, lone: float = LONE) -> float:
     """The score of a text's words together, by their own scores; different means: of different folded forms."""
     own = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
     best = float(own.max(initial=LOWEST))
@@ -330,7 +364,7 @@ def text_score(words: list[str], memo: dict[str, float]) -> float:
     for w in {words[k] for k in np.flatnonzero(own > 0)}:
         form = fold(w)
         held[form] = max(held.get(form, 0.0), memo[w])
-    return max(LONE * best, sum(sorted(held.values())[-1 - MORE :]))
+    return max(lone * best, sum(sorted(held.values())[-1 - more :]))
 
 
 def _highest(cut: list[list[str]], memo: dict[str, float], weight: np.ndarray, offset: float) -> list[float]:
