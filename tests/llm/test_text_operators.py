@@ -350,3 +350,15 @@ def test_line_dedup_oracle(spark):
     r = c.execute(line_dedup.ORACLE["op9_line_dedup"])
     at = [[d[0] for d in r.description].index(x) for x in df.columns]
     same(df.collect(), [tuple(x[i] for i in at) for x in r.fetchall()])
+
+
+def test_nnls_converges():
+    """Slopes of unused columns point down, those of used ones are level, at every size."""
+    rng = np.random.default_rng(8)
+    for m, n in ((3, 2), (20, 60), (65, 1100)):
+        a = (rng.random((m, n)) < 3 / m).astype(float)
+        b = rng.integers(0, 10**6, m).astype(float)
+        x = packing.nnls(a, b)
+        slope = a.T @ (b - a @ x)
+        scale = max(1.0, np.abs(a.T @ b).max())
+        assert (x >= 0).all() and slope.max() <= 1e-6 * scale and np.abs(slope[x > 0]).max(initial=0) <= 1e-6 * scale

@@ -68,7 +68,8 @@ def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND)
     row, away = fresh("row", docs), fresh("gone", docs)
     marked = gone.groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(away))
     cut = F.split("text", "\n")
-    kept = F.when(F.col(away).isNull(), F.col("text")).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains(away, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), away)  # by hashing: in proportion to the lines
+    kept = F.when(F.col(away).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n"))
     # a merge join at any size: marked positions grow with the corpus, so they are never sent whole to each task
     rows = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(marked.hint("merge"), row, "left")
     counts = {

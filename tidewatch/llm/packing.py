@@ -149,16 +149,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Non-negative x that minimises |a x - b|: Lawson and Hanson's active set on the normal equations."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Non-negative x that minimises |a x - b|: Lawson and Hanson's active set on the normal equations.
+
+    Goes on until no column would lower the error; raises if rounding keeps it from that.
+    """
     g, h = a.T @ a, a.T @ b
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
     slope = h.copy()
-    for _ in range(rounds or 3 * a.shape[0]):
+    for _ in range(100 * n + 100):
         slope[active] = -np.inf
         if active.all() or slope.max() <= 1e-9 * max(1.0, np.abs(h).max()):
-            break
+            return x
         active[int(slope.argmax())] = True
         while True:
             on = np.flatnonzero(active)
@@ -175,7 +178,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
             if not active.any():
                 break
         slope = h - g @ x
-    return x
+    raise ArithmeticError("the pattern counts don't converge")
 
 
 def patterns(classes: int) -> list[tuple[int, ...]]:
