@@ -28,7 +28,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that spread over ten sites or more; n_chars follows the text."""
-    cut = line_dedup.drop_lines(docs).select(docs.columns)
+    cut = line_dedup.drop_lines(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
     return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
 
 
