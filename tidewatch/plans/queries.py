@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import cast_to_currency, moment, sql_function
-from tidewatch.operators import checks, intervals, models, monitor, outcomes, suite
+from tidewatch.operators import checks, digests, intervals, models, monitor, outcomes, suite
 from tidewatch.plans.fixtures import AS_OF, cte, frame, table
 from tidewatch.sources.scratch import shared_folder
 from tidewatch.sources.slices import rule_audit
@@ -180,6 +180,29 @@ def check_summary(s: SparkSession, d: str) -> DataFrame:
 
 register("check_summary", check_summary, _SUITE_SQL.replace("SELECT check_name, 'error' AS severity, violations,", "SELECT check_name, violations, least(violations, 100) AS samples,"), "staged")
 
+# ---- checks at size ------------------------------------------------------------------------------------------
+
+register("source_completeness_digests", lambda s, d: digests.source_completeness(table(s, d, "orders").where("o_orderkey % 7 <> 0 OR o_orderkey % 3 <> 0"), "o_orderkey", table(s, d, "orders").where("o_orderkey % 97 <> 0"), "o_orderkey", "o_orderdate", "2001-01-01 05:00:00"),
+         """SELECT o_orderkey AS pk, CASE WHEN o_orderkey % 97 = 0 THEN 'MISSING_FROM_STAGING' ELSE 'MISSING_FROM_SOURCE' END AS issue_type
+         FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' AND (o_orderkey % 21 = 0) <> (o_orderkey % 97 = 0)""")
+register("completeness_digests", lambda s, d: digests.completeness(table(s, d, "orders").where("o_orderkey % 31 <> 0"), "o_orderkey", table(s, d, "orders").where("o_orderkey % 29 <> 0"), "o_orderkey"),
+         """SELECT *, (missing_count + unexpected_count) / expected_count AS drift_ratio, 'COMPLETENESS_IMBALANCE' AS issue_type FROM (SELECT count(*) FILTER (WHERE o_orderkey % 29 <> 0) AS expected_count, count(*) FILTER (WHERE o_orderkey % 31 <> 0) AS entity_count,
+         count(*) FILTER (WHERE o_orderkey % 29 <> 0 AND o_orderkey % 31 = 0) AS missing_count, count(*) FILTER (WHERE o_orderkey % 29 = 0 AND o_orderkey % 31 <> 0) AS unexpected_count FROM orders)""")
+
+
+def _keyed(s: SparkSession, d: str) -> tuple[intervals.SliceTable, DataFrame]:
+    """Bitmaps of the orders by slice, loaded in two runs, and the orders: every 13th once more, in another slice."""
+    rows = table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).cast("string").alias("slice"))
+    rows = rows.unionByName(rows.where("o_orderkey % 13 = 0").withColumn("slice", F.lit("again")))
+    index, slices = intervals.SliceTable(s, _path(s, "bitmaps")), rows.select("slice").distinct()
+    digests.update_bitmaps(index, rows, slices.where("slice < '3'"), "o_orderkey", "one", "2024-02-01 00:00:00")
+    digests.update_bitmaps(index, rows, slices.where("slice >= '2'"), "o_orderkey", "two", "2024-02-01 00:00:00")
+    return index, rows
+
+
+register("unique_grain_bitmaps", lambda s, d: digests.repeated_keys(*_keyed(s, d), "o_orderkey"), "SELECT o_orderkey, 2::BIGINT AS cnt FROM orders WHERE o_orderkey % 13 = 0")
+register("distinct_keys_bitmaps", lambda s, d: digests.distinct_keys(_keyed(s, d)[0]), "SELECT count(*) + count(*) FILTER (WHERE o_orderkey % 13 = 0) AS rows, count(*) AS keys FROM orders")
+
 # ---- outcomes -----------------------------------------------------------------------------------------------
 
 register("check_signal", lambda s, d: outcomes.check_signal(frame(s, d, "results").where("node LIKE 'check:%'").selectExpr("node AS check_name", "status"), frame(s, d, "results").selectExpr("node AS check_name", "severity", "blocking")),

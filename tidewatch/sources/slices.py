@@ -109,7 +109,7 @@ class SliceTable:
         return StructType.fromJson(self._told(version)["schema"]) if version else None
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The live rows with ``slice`` (text). Folders that aren't live are pruned at run time."""
+        """The live rows with ``slice`` (text). Commits that aren't live are not listed as input."""
         version = self.version() if version is None else version
         if not version:
             raise ValueError(f"no version at {self.path}")
@@ -119,7 +119,8 @@ class SliceTable:
         if not self._fs().exists(self._at("data")):
             return self.spark.createDataFrame([], schema).withColumn("slice", F.lit(None).cast("string"))
         files = self.spark.read.schema(StructType([*schema.fields]).add("commit", "string").add("slice", "string")).parquet(f"{self.path}/data")
-        return files.join(live, ["commit", "slice"]).select(*(F.col(f"`{c}`") for c in schema.names), "slice")
+        commits = [r["commit"] for r in live.select("commit").distinct().collect()]  # one for each load that is still read
+        return files.where(F.col("commit").isin(commits)).join(live, ["commit", "slice"]).select(*(F.col(f"`{c}`") for c in schema.names), "slice")
 
     # ---- loading
 
