@@ -55,8 +55,8 @@ BLOCK_GROUPS = 65_536
 DEPTHS = 6
 #: Points of a leaf, and of a part of a cell (about).
 LEAF, PART = 32, 4096
-#: Points whose trees a task searches at a time, and pairs of points that it compares at a time.
-SEARCHED, COMPARED = 20_000, 200_000
+#: Points whose trees a task holds at a time, and pairs of nodes or points that it compares at a time.
+SEARCHED, COMPARED = 20_000, 10_000
 #: Share of a set's shingles that the first search for lonely ones looks at, as a multiple of 1 - t.
 SHARE = 1.75
 
@@ -177,7 +177,7 @@ class Limits:
         return F.ceil(total * F.lit(self.num) / F.lit(self.num + self.den) - F.lit(1e-9))
 
     def need(self, total: np.ndarray) -> np.ndarray:
-        return -(-total * self.num // (self.num + self.den))
+        return -(-total.astype(np.int64) * self.num // (self.num + self.den))
 
     def linked(self, overlap: int, total: int) -> bool:
         return self.den * overlap >= self.num * (total - overlap)
@@ -341,8 +341,8 @@ class Trees:
         while len(pairs):
             a, b = pairs.T
             ready, later = [], []
-            for i in range(0, len(pairs), SEARCHED):
-                s = slice(i, i + SEARCHED)
+            for i in range(0, len(pairs), COMPARED):
+                s = slice(i, i + COMPARED)
                 p, q = a[s], b[s]
                 lowp, highp, lowq, highq = self.low[p], self.high[p], self.low[q], self.high[q]
                 bound = np.minimum(highp[:, :GROUPS], highq[:, :GROUPS]).sum(1)
@@ -398,7 +398,7 @@ def _searched(batch: pa.Table, limits: Limits) -> Iterator[pa.RecordBatch]:
     """The pairs of nodes that the trees of some groups (key, p, q) let through; rows are in order of group and side."""
     key, p, q, side, node, root, lonely, size, least, most = (batch.column(c).to_numpy() for c in ("key", "p", "q", "side", "node", "root", "lonely", "n", "least", "most"))
     points = batch.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-    x = np.concatenate([points.astype(np.int64), lonely[:, None], size[:, None]], 1)
+    x = np.concatenate([points, lonely[:, None].astype(np.int32), size[:, None].astype(np.int32)], 1)
     group = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
     sides, begin = [], []
     for a, b in zip(group, np.r_[group[1:], len(key)], strict=True):
