@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +26,12 @@ def worker_memo(owner: object) -> dict:
     """What this Python worker remembers for ``owner``. Spark reuses workers, so only one operator's memo is kept:
     when another one asks, the memory is given back."""
     if owner not in _MEMO:
-        _MEMO.clear()
+        if _MEMO:
+            _MEMO.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+                trim(0)
         _MEMO[owner] = {}
     return _MEMO[owner]
 

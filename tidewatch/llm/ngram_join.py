@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Scratch, fresh, read, stash, text_slices
+from tidewatch.llm.common import Scratch, fresh, read, stash, text_slices, worker_memo
 from tidewatch.llm.components import components
 
 #: Coordinates of the points that bounds are computed on.
@@ -209,6 +209,7 @@ def signatures(docs: DataFrame, width: int, share: float) -> DataFrame:
     most = _U(min(2**64 - 1, int(share * 2**64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo("ngram join")  # other operators' memos leave memory
         for batch in batches:
             for i, j in text_slices(batch, 2):
                 part = batch.slice(i, j - i)
