@@ -79,18 +79,29 @@ def _peel(edges: DataFrame, nodes: DataFrame, into: str) -> tuple[DataFrame, Dat
     edges = written(edges.select("parent", "child").distinct(), "peel")
     need = edges.groupBy(F.col(into).alias("node")).agg(F.count(F.lit(1)).alias("need"))
     need = written(nodes.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0).cast("bigint")).alias("need")), "peel")
-    free, level, met = written(need.where("need = 0").select("node", F.lit(0).alias("level")), "peel"), 0, None
-    peeled = free
+    free = written(need.where("need = 0").select("node", F.lit(0).alias("level")), "peel")
+    peeled, level, met = free, 0, None
+
+    def freed(of: DataFrame, before: DataFrame | None, at: int) -> DataFrame:
+        """The nodes that lose an edge as ``of`` go: all that they have lost so far (met), and ``at`` as level if that is all they had."""
+        lost = edges.join(of.select(F.col("node").alias(away)), away).groupBy(F.col(into).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        if before is not None:
+            known = before.join(lost.select("node"), "node", "left_semi").groupBy("node").agg(F.max("met").alias("m"))
+            lost = lost.join(known, "node", "left").select("node", (F.col("n") + F.coalesce("m", F.lit(0).cast("bigint"))).alias("n"))
+        return lost.join(need, "node").select("node", F.col("n").alias("met"), F.when(F.col("n") == F.col("need"), F.lit(at)).alias("level"))
+
     while not free.isEmpty():
-        level += 1
-        # only nodes that lose an edge now can become free: a round writes these and their counts, not the graph
-        lost = written(edges.join(free.select(F.col("node").alias(away)), away).groupBy(F.col(into).alias("node")).agg(F.count(F.lit(1)).alias("n")), "peel")
-        met = lost if met is None else met.unionByName(lost)
-        so_far = met.join(lost.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"))
-        free = written(so_far.join(need, "node").where("n = need").select("node", F.lit(level).alias("level")), "peel")
-        peeled = peeled.unionByName(free)
-        if level % 8 == 0:
-            peeled, met = written(peeled, "peel"), written(met.groupBy("node").agg(F.sum("n").alias("n")), "peel")
+        # two levels a job; a job writes the nodes that lose an edge and their counts, not the graph
+        one = freed(free, met, level + 1)
+        all_met = one.select("node", "met") if met is None else met.unionByName(one.select("node", "met"))
+        two = freed(one.where("level IS NOT NULL"), all_met, level + 2)
+        step = written(one.unionByName(two), "peel")
+        level += 2
+        peeled = peeled.unionByName(step.where("level IS NOT NULL").select("node", "level"))
+        met = step.select("node", "met") if met is None else met.unionByName(step.select("node", "met"))
+        free = step.where(F.col("level") == level)
+        if level % 16 == 0:
+            peeled, met = written(peeled, "peel"), written(met.groupBy("node").agg(F.max("met").alias("met")), "peel")
     left = need.select("node").join(peeled.select("node"), "node", "left_anti")
     return peeled, left, edges.join(peeled.select(F.col("node").alias(away)), away, "left_anti").select("parent", "child")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import history, intervals, lineage, monitor, runlog
+from tidewatch.operators import graphs, history, intervals, lineage, monitor, runlog
 from tidewatch.plans.fixtures import AS_OF, frame, table
 from tidewatch.plans.queries import _catalog, _path, register
 from tidewatch.sources import batch
@@ -169,11 +169,33 @@ def _seed(s: SparkSession, d: str, cond: str) -> DataFrame:
     return table(s, d, "part").where(cond).select(F.col("p_partkey").alias("node"))
 
 
-_DOWN = ", walk(node) AS (SELECT p_partkey FROM part WHERE {c} UNION SELECT e.child FROM walk w JOIN edges e ON e.parent = w.node) "
-_UP = ", walk(node) AS (SELECT p_partkey FROM part WHERE {c} UNION SELECT e.parent FROM walk w JOIN edges e ON e.child = w.node) "
-register("descendants", lambda s, d: lineage.descendants(frame(s, d, "edges"), _seed(s, d, "p_size = 11")).select("node"),
-         _DOWN.format(c="p_size = 11") + "SELECT node FROM walk WHERE node NOT IN (SELECT p_partkey FROM part WHERE p_size = 11)", "edges")
-register("ancestors", lambda s, d: lineage.ancestors(frame(s, d, "edges"), _seed(s, d, "p_size = 11"), include_seeds=True).select("node"), _UP.format(c="p_size = 11") + "SELECT node FROM walk", "edges")
+_LEVELS = ", walk(node, level) AS (SELECT p_partkey, 0 FROM part WHERE p_size = 11 UNION SELECT {way} = w.node) "
+register("descendants", lambda s, d: lineage.descendants(frame(s, d, "edges"), _seed(s, d, "p_size = 11")),
+         _LEVELS.format(way="e.child, w.level + 1 FROM walk w JOIN edges e ON e.parent") + "SELECT node, min(level) AS level FROM walk GROUP BY node HAVING min(level) > 0", "edges")
+register("ancestors", lambda s, d: lineage.ancestors(frame(s, d, "edges"), _seed(s, d, "p_size = 11"), include_seeds=True),
+         _LEVELS.format(way="e.parent, w.level + 1 FROM walk w JOIN edges e ON e.child") + "SELECT node, min(level) AS level FROM walk GROUP BY node", "edges")
+
+
+def _runs_seeds(s: SparkSession, d: str) -> DataFrame:
+    """Failed assets of many runs: sizes of parts are runs, every fifth part and a name that no edge knows have failed."""
+    parts = table(s, d, "part").where("p_partkey % 5 = 0").select(F.col("p_size").alias("run_id"), F.lit("asset_failed").alias("event_type"), F.col("p_partkey").alias("asset"))
+    return parts.unionByName(parts.select("run_id", "event_type", F.lit(-1).cast("bigint").alias("asset")).distinct())
+
+
+def reachability_query(s: SparkSession, d: str) -> DataFrame:
+    """Both ways from one index."""
+    index, seeds = graphs.Reachability.build(frame(s, d, "edges")), _seed(s, d, "p_size = 11")
+    return index.descendants(seeds).withColumn("way", F.lit("down")).unionByName(index.ancestors(seeds, include_seeds=True).withColumn("way", F.lit("up")))
+
+
+register("reachability", reachability_query,
+         _LEVELS.format(way="e.child, w.level + 1 FROM walk w JOIN edges e ON e.parent") + _LEVELS.format(way="e.parent, w.level + 1 FROM up w JOIN edges e ON e.child").replace("walk(", "up(")
+         + "SELECT node, min(level) AS level, 'down' AS way FROM walk GROUP BY node HAVING min(level) > 0 UNION ALL SELECT node, min(level), 'up' FROM up GROUP BY node", "edges")
+register("rerun_sets", lambda s, d: graphs.Reachability.build(frame(s, d, "edges")).rerun_sets(_runs_seeds(s, d)),
+         """, failed AS (SELECT p_size AS run_id, p_partkey AS node FROM part WHERE p_partkey % 5 = 0), known AS (SELECT parent AS node FROM edges UNION SELECT child FROM edges),
+         walk(run_id, node) AS (SELECT run_id, node FROM failed WHERE node IN (FROM known) UNION SELECT w.run_id, e.child FROM walk w JOIN edges e ON e.parent = w.node)
+         SELECT run_id, node AS asset, CASE WHEN (run_id, node) IN (FROM failed) THEN 'failed' ELSE 'downstream' END AS kind FROM walk
+         UNION ALL SELECT DISTINCT run_id, -1::BIGINT, 'missing' FROM failed UNION ALL SELECT run_id, node, 'missing' FROM failed WHERE node NOT IN (FROM known)""", "edges")
 
 
 def rerun_query(s: SparkSession, d: str) -> DataFrame:
@@ -195,11 +217,30 @@ def cycle_query(s: SparkSession, d: str) -> DataFrame:
     return lineage.find_cycles(edges.unionByName(back))
 
 
+_REACH = """, reach(source, node) AS (SELECT parent, child FROM c UNION SELECT r.source, c.child FROM reach r JOIN c ON c.parent = r.node),
+         strong AS (SELECT a.source AS node, min(a.node) AS component, count(*) AS size FROM reach a JOIN reach b ON b.source = a.node AND b.node = a.source GROUP BY a.source)
+"""
 register("find_cycles", cycle_query,
-         """, c AS (SELECT parent, child FROM edges UNION SELECT child, parent FROM edges WHERE child = parent * 2 AND parent BETWEEN 5 AND 9),
-         core(node) AS (SELECT unnest([5, 6, 7, 8, 9, 10, 12, 14, 16, 18])::BIGINT),
-         down(node) AS (SELECT node FROM core UNION SELECT c.child FROM down JOIN c ON c.parent = down.node), up(node) AS (SELECT node FROM core UNION SELECT c.parent FROM up JOIN c ON c.child = up.node)
+         """, c AS (SELECT parent, child FROM edges UNION SELECT child, parent FROM edges WHERE child = parent * 2 AND parent BETWEEN 5 AND 9)""" + _REACH + """,
+         down(node) AS (SELECT node FROM strong UNION SELECT c.child FROM down JOIN c ON c.parent = down.node), up(node) AS (SELECT node FROM strong UNION SELECT c.parent FROM up JOIN c ON c.child = up.node)
          SELECT node FROM down WHERE node IN (FROM up)""", "edges")
+
+
+def _looped(s: SparkSession, d: str) -> DataFrame:
+    """The lineage edges with back edges all over the graph, from doubles of multiples of 40 and triples of multiples of 70, and some edges from a node to itself."""
+    edges = frame(s, d, "edges")
+    back = edges.where("(child = parent * 2 AND parent % 40 = 0) OR (child = parent * 3 AND parent % 70 = 0)").select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    return edges.unionByName(back).unionByName(edges.where("parent % 90 = 0").select("parent", F.col("parent").alias("child")))
+
+
+_LOOPED = """, c AS (SELECT parent, child FROM edges UNION SELECT child, parent FROM edges WHERE (child = parent * 2 AND parent % 40 = 0) OR (child = parent * 3 AND parent % 70 = 0) UNION SELECT parent, parent FROM edges WHERE parent % 90 = 0)""" + _REACH
+register("strong_components", lambda s, d: graphs.strong_components(_looped(s, d)), _LOOPED + "SELECT * FROM strong", "edges")
+register("cycle_paths", lambda s, d: graphs.cycle_paths(_looped(s, d)),
+         _LOOPED + """, within AS (SELECT a.component, c.parent, c.child FROM c JOIN strong a ON a.node = c.parent JOIN strong b ON b.node = c.child WHERE a.component = b.component),
+         ways AS (SELECT component, child AS node, [parent, child] AS path FROM within WHERE parent = component
+                  UNION ALL SELECT w.component, e.child, list_append(w.path, e.child) FROM ways w JOIN within e ON e.component = w.component AND e.parent = w.node WHERE w.node <> w.component AND (e.child = w.component OR NOT list_contains(w.path, e.child))),
+         closed AS (SELECT component, path FROM ways WHERE node = component QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(path), path) = 1)
+         SELECT component, any_value(size) AS size, any_value(path) AS path FROM strong JOIN closed USING (component) GROUP BY component""", "edges")
 register("topo_levels", lambda s, d: lineage.topo_levels(frame(s, d, "edges")),
          ", walk(node, level) AS (SELECT 1::BIGINT, 0 FROM region WHERE r_regionkey = 0 UNION SELECT e.child, w.level + 1 FROM walk w JOIN edges e ON e.parent = w.node) SELECT node, max(level) AS level FROM (FROM walk UNION ALL SELECT DISTINCT parent, 0 FROM edges WHERE parent NOT IN (SELECT child FROM edges)) GROUP BY node", "edges")
 register("layer_violations", lambda s, d: lineage.layer_violations(frame(s, d, "edges").select(*(F.concat(F.lit("n"), F.col(c).cast("string")).alias(c) for c in ("parent", "child"))), frame(s, d, "nodes")),
