@@ -168,7 +168,7 @@ def test_suite_equals_single_checks(spark):
     own = suite.check_suite(spec, df, "2025-06-01 00:00:00")
     summary = {r["check_name"]: r["violations"] for r in suite.check_summary(df, own).collect()}
     assert summary == {c.name: c.rows.count() for c in own}
-    assert summary == {"unique_grain": 1, "not_null_grain": 1, "not_empty": 0, "no_future_timestamps": 1, "updated_gte_created": 1, "not_null:s": 1, "accepted_values:s": 2}
+    assert summary == {"unique_grain": 1, "not_null_grain": 1, "not_empty": 0, "no_future_timestamps": 1, "updated_at_gte_created_at": 1, "not_null:s": 1, "accepted_values:s": 2}
     assert suite.check_suite(suite.TableSpec("t", "staging", ("id",), default_checks=False), df, "2025-06-01 00:00:00") == []
 
 

@@ -38,9 +38,14 @@ def check_errors(results: DataFrame, pipeline: str, run_at) -> DataFrame:
     """Current errors from check results (node, status, message): failed are errors, skipped are warnings.
 
     Names are ``check:<asset>:<rest>``; the rest may hold colons, and nodes without it are no checks. The details hold
-    status and error. These rows replace those of the run before (write them with ``overwrite``).
+    status, error and, where the results have them, stdout, stderr and the entries of metadata (a map, whose values count before the others), by name. These rows replace those of the run before (write them with ``overwrite``).
     """
     parts = F.split("node", ":", 3)
+    told = [F.struct(F.lit(c).alias("key"), F.col(x).cast("string").alias("value")) for c, x in (("error", "message"), ("status", "status"), ("stdout", "stdout"), ("stderr", "stderr")) if x in results.columns]
+    own = F.filter(F.array(*told), lambda e: e["value"] != "")
+    if "metadata" in results.columns:
+        more = F.coalesce(F.map_entries("metadata"), F.array().cast("array<struct<key: string, value: string>>"))
+        own = F.concat(F.filter(own, lambda e: ~F.coalesce(F.map_contains_key("metadata", e["key"]), F.lit(False))), more)
     rows = results.where(F.col("node").startswith("check:") & (F.size(parts) == 3) & F.col("status").isin("failed", "skipped"))
     return rows.select(
         F.lit(pipeline).alias("pipeline"),
@@ -48,6 +53,6 @@ def check_errors(results: DataFrame, pipeline: str, run_at) -> DataFrame:
         F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("check_name"),
         F.when(F.col("status") == "failed", "error").otherwise("warning").alias("severity"),
         F.coalesce(F.nullif("message", F.lit("")), F.concat_ws(" ", "node", "status")).alias("message"),
-        F.to_json(F.struct(F.nullif("message", F.lit("")).alias("error"), "status")).alias("details_json"),
+        F.to_json(F.map_from_entries(F.array_sort(own))).alias("details_json"),
         moment(run_at).alias("run_at"),
     )

@@ -46,15 +46,20 @@ def event_filter(events: DataFrame, run_id=None, pipeline=None, asset=None, even
 
 
 def run_summary(events: DataFrame) -> DataFrame:
-    """One row a started run: times, status, counts from the end event's details; without an end it is running."""
+    """One row a started run, by its last end event; without an end it is running.
+
+    ``run_completed``: status and duration_seconds of the details (empty, 0); ``run_failed``: failed, and duration_ms. Counts are those of run_completed.
+    """
     start, done = F.col("event_type") == "run_started", F.col("event_type").isin("run_completed", "run_failed")
     last = F.max_by(F.struct("event_type", "timestamp", "duration_ms", "details"), F.when(done, F.struct("timestamp", "event_id")))
-    rows = events.where(start | done).groupBy("run_id").agg(F.first("pipeline").alias("pipeline"), F.min(F.when(start, F.col("timestamp"))).alias("started_at"), last.alias("e"))
-    rows = rows.where("started_at IS NOT NULL").select("run_id", "pipeline", "started_at", "e.*")
-    ended = F.col("event_type").isNotNull()
-    status = F.when(~ended, "running").when(F.col("event_type") == "run_failed", "failed").otherwise(F.coalesce(_detail("status"), F.lit("completed")))
-    counts = [F.when(ended, F.coalesce(_detail(c).cast("int"), F.lit(0))).alias(c) for c in ("succeeded", "failed", "skipped", "total_nodes")]
-    return rows.select("run_id", "pipeline", "started_at", F.col("timestamp").alias("completed_at"), status.alias("status"), F.coalesce(_detail("duration_seconds").cast("double"), F.col("duration_ms") / 1000).alias("duration_s"), *counts)
+    told = F.max_by("details", F.when(F.col("event_type") == "run_completed", F.struct("timestamp", "event_id")))
+    rows = events.where(start | done).groupBy("run_id").agg(F.first("pipeline").alias("pipeline"), F.min(F.when(start, F.col("timestamp"))).alias("started_at"), last.alias("e"), told.alias("told"))
+    rows = rows.where("started_at IS NOT NULL").select("run_id", "pipeline", "started_at", "e.*", "told")
+    ended, failed = F.col("event_type").isNotNull(), F.col("event_type") == "run_failed"
+    status = F.when(~ended, "running").when(failed, "failed").otherwise(F.coalesce(_detail("status"), F.lit("")))
+    seconds = F.when(failed, F.coalesce(F.col("duration_ms") / 1000, F.lit(0.0))).when(ended, F.coalesce(_detail("duration_seconds").cast("double"), F.lit(0.0)))
+    counts = [F.when(ended, F.coalesce(F.get_json_object("told", f"$.{c}").cast("int"), F.lit(0))).alias(c) for c in ("succeeded", "failed", "skipped", "total_nodes")]
+    return rows.select("run_id", "pipeline", "started_at", F.col("timestamp").alias("completed_at"), status.alias("status"), seconds.alias("duration_s"), *counts)
 
 
 def list_runs(events: DataFrame, n: int = 20) -> DataFrame:

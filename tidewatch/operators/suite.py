@@ -93,7 +93,7 @@ def check_suite(spec: TableSpec, df: DataFrame, as_of, upstream: DataFrame | Non
             default("not_empty", checks.not_empty(df))
             if spec.created and spec.updated:
                 row("no_future_timestamps", F.coalesce((F.col(spec.created) > now) | (F.col(spec.updated) > now), F.lit(False)), blocking=spec.blocking)
-                row("updated_gte_created", F.coalesce((F.col(spec.updated) < F.col(spec.created)) & (F.col(spec.created) > moment(spec.since)), F.lit(False)), blocking=spec.blocking)
+                row("updated_at_gte_created_at", F.coalesce((F.col(spec.updated) < F.col(spec.created)) & (F.col(spec.created) > moment(spec.since)), F.lit(False)), blocking=spec.blocking)
                 if source:
                     default("source_completeness", checks.source_completeness(source[0], source[1] or grain[0], df, grain[0], spec.created, as_of, None))
         if spec.layer == "intermediate" and upstream is not None:
@@ -101,7 +101,7 @@ def check_suite(spec: TableSpec, df: DataFrame, as_of, upstream: DataFrame | Non
                 default("fan_out", checks.fan_out(df, upstream))
             default("row_retention", checks.row_retention(df, upstream, spec.min_retention))
         if spec.layer == "report":
-            default("row_count_nonzero", checks.row_count_nonzero(df))
+            default("row_count", checks.row_count_nonzero(df))
     for c in spec.not_null:
         row(f"not_null:{c}", F.col(c).isNull(), blocking=True)
     for c, values in spec.accepted.items():

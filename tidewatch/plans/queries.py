@@ -140,7 +140,7 @@ _SUITE_SQL = """
     UNION ALL SELECT 'not_null_grain', count(*) FROM orders WHERE o_orderkey IS NULL
     UNION ALL SELECT 'not_empty', CASE WHEN EXISTS (FROM orders) THEN 0 ELSE 1 END
     UNION ALL SELECT 'no_future_timestamps', count(*) FROM staged WHERE created_at > TIMESTAMP '2000-06-01' OR updated_at > TIMESTAMP '2000-06-01'
-    UNION ALL SELECT 'updated_gte_created', count(*) FROM staged WHERE updated_at < created_at AND created_at > TIMESTAMP '1998-01-01'
+    UNION ALL SELECT 'updated_at_gte_created_at', count(*) FROM staged WHERE updated_at < created_at AND created_at > TIMESTAMP '1998-01-01'
     UNION ALL SELECT 'not_null:priority', count(*) FROM staged WHERE priority IS NULL
     UNION ALL SELECT 'accepted_values:o_orderstatus', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
     UNION ALL SELECT 'fk_not_null:o_custkey', count(*) FROM orders WHERE o_custkey IS NULL
@@ -214,6 +214,12 @@ register("check_errors", lambda s, d: outcomes.check_errors(frame(s, d, "results
          CASE WHEN message = '' THEN '{"status":"' || status || '"}' ELSE '{"error":"' || message || '","status":"' || status || '"}' END AS details_json, TIMESTAMP '2024-01-30 12:00:00' AS run_at FROM results WHERE node LIKE 'check:%:%' AND status IN ('failed', 'skipped')""", "results")
 
 
+register("check_error_details", lambda s, d: outcomes.check_errors(frame(s, d, "results").withColumns({"stdout": F.when(F.col("blocking"), "two rows"), "stderr": F.lit(""), "metadata": F.when(F.col("severity") == "error", F.create_map(F.lit("rows"), F.lit("2"), F.lit("status"), F.lit("again")))}), "p1", "2024-01-30 12:00:00").select("asset", "check_name", "details_json"),
+         """SELECT string_split(node, ':')[2] AS asset, array_to_string(string_split(node, ':')[3:], ':') AS check_name,
+         '{' || CASE WHEN message = '' THEN '' ELSE '"error":"' || message || '",' END || CASE WHEN severity = 'error' THEN '"rows":"2","status":"again"' ELSE '"status":"' || status || '"' END
+         || CASE WHEN blocking THEN ',"stdout":"two rows"' ELSE '' END || '}' AS details_json FROM results WHERE node LIKE 'check:%:%' AND status IN ('failed', 'skipped')""", "results")
+
+
 def _failed_parts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("asset"), F.when(F.col("p_partkey") % 2 == 0, "upstream_failed").otherwise("blocked_by_check:grain").alias("reason"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import graphs, history, intervals, lineage, monitor, runlog
+from tidewatch.operators import graphs, history, intervals, lineage, monitor, runlog, sketches
 from tidewatch.plans.fixtures import AS_OF, frame, table
 from tidewatch.plans.queries import _catalog, _path, register
-from tidewatch.sources import batch
+from tidewatch.sources import batch, files
+from tidewatch.sources.slices import SliceTable
 from tidewatch.streaming import flows
 
 # ---- monitoring ---------------------------------------------------------------------------------------------
@@ -64,6 +65,22 @@ register("table_profile", lambda s, d: monitor.table_profile(frame(s, d, "contac
 register("schema_catalog", lambda s, d: _catalog(s, d).join(table(s, d, "region").agg(F.count(F.lit(1)).alias("regions")), F.lit(True)).select("run_seq", "table_name", "column_name", "ordinal", "regions"),
          "SELECT 1 AS run_seq, table_name, column_name, column_index AS ordinal, (SELECT count(*) FROM region) AS regions FROM duckdb_columns() WHERE table_name IN ('orders', 'customer', 'events')")
 
+
+
+def sketch_query(s: SparkSession, d: str) -> DataFrame:
+    """Medians by segment from sketches that were stored by day in two runs and merged: how far their ranks are from the middle, in steps of the bound."""
+    rows = table(s, d, "events").withColumn("slice", F.date_format("ts", "yyyy-MM-dd"))
+    store, slices = SliceTable(s, _path(s, "sketches")), rows.select("slice").distinct()
+    for run, part in (("one", "slice < '2024-01-15'"), ("two", "slice >= '2024-01-10'")):
+        sketches.update_sketches(store, rows, slices.where(part), ["value"], run, AS_OF, "event_type")
+    middle = sketches.quantile_metrics(store.read(), "events", {"median": 0.5}, True)
+    exact = table(s, d, "events").withColumn("segment_value", F.concat(F.lit("event_type="), "event_type")).join(middle.select("segment_value", F.col("value").alias("m")), "segment_value")
+    off = F.greatest(F.avg((F.col("value") < F.col("m")).cast("double")) - 0.5, 0.5 - F.avg((F.col("value") <= F.col("m")).cast("double")), F.lit(0.0))
+    return exact.groupBy("segment_value").agg(F.count("value").alias("n"), (off <= 1.7 / sketches.K).alias("within_bound"))
+
+
+register("quantile_sketches", sketch_query, "SELECT 'event_type=' || event_type AS segment_value, count(value) AS n, true AS within_bound FROM events GROUP BY event_type")
+
 # ---- run log ------------------------------------------------------------------------------------------------
 
 
@@ -85,6 +102,13 @@ _OK, _BAD = "event_type = 'asset_succeeded'", "event_type = 'asset_failed'"
 register("event_filter", lambda s, d: runlog.event_filter(_events(s, d), pipeline="p1", event_types="asset_failed,asset_skipped", min_severity="error", since="2024-01-03 00:00:00", until="2024-01-25 00:00:00").select("event_id", "run_id", "severity"),
          "SELECT event_id, run_id, severity FROM run_events WHERE pipeline = 'p1' AND event_type IN ('asset_failed', 'asset_skipped') AND severity IN ('error', 'critical') AND \"timestamp\" BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25'", "run_events")
 register("run_summary", _runs, _RUNS + "SELECT * FROM runs", "run_events")
+register("run_outcomes", lambda s, d: runlog.run_summary(_events(s, d).withColumns({"event_type": F.when((F.col("event_type") == "run_completed") & (F.col("run_id") % 7 == 3), "run_failed").otherwise(F.col("event_type")), "details": F.when(F.col("run_id") % 7 == 4, "{}").otherwise(F.col("details"))})),
+         _RUNS + """, ends AS (SELECT run_id, duration_ms FROM run_events WHERE event_type = 'run_completed')
+         SELECT r.run_id, pipeline, started_at, completed_at, CASE WHEN status = 'running' THEN status WHEN r.run_id % 7 = 3 THEN 'failed' WHEN r.run_id % 7 = 4 THEN '' ELSE status END AS status,
+         CASE WHEN r.run_id % 7 = 3 THEN duration_ms / 1000 WHEN r.run_id % 7 = 4 AND status <> 'running' THEN 0 ELSE duration_s END AS duration_s,
+         CASE WHEN r.run_id % 7 IN (3, 4) AND status <> 'running' THEN 0 ELSE succeeded END AS succeeded, CASE WHEN r.run_id % 7 IN (3, 4) AND status <> 'running' THEN 0 ELSE failed END AS failed,
+         CASE WHEN r.run_id % 7 IN (3, 4) AND status <> 'running' THEN 0 ELSE skipped END AS skipped, CASE WHEN r.run_id % 7 IN (3, 4) AND status <> 'running' THEN 0 ELSE total_nodes END AS total_nodes
+         FROM runs r LEFT JOIN ends e ON e.run_id = r.run_id""", "run_events")
 register("list_runs", lambda s, d: runlog.list_runs(_events(s, d), 15).select("run_id", "started_at"), _RUNS + "SELECT run_id, started_at FROM runs ORDER BY started_at DESC, run_id LIMIT 15", "run_events")
 register("run_history", lambda s, d: runlog.run_history(_runs(s, d), "p1", "2024-01-10 00:00:00", ["completed"], 10).select("run_id", "started_at", "status"),
          _RUNS + "SELECT run_id, started_at, status FROM runs WHERE pipeline = 'p1' AND started_at >= TIMESTAMP '2024-01-10' AND status = 'completed' ORDER BY started_at DESC, run_id LIMIT 10", "run_events")
@@ -121,6 +145,29 @@ register("duration_histogram", lambda s, d: runlog.duration_histogram(_runs(s, d
          SELECT r.pipeline, b.le, count(*) FILTER (WHERE r.duration_s <= b.bound) AS n FROM runs r, b GROUP BY r.pipeline, b.le""", "run_events")
 register("run_totals", lambda s, d: runlog.run_totals(_runs(s, d)), _RUNS + "SELECT pipeline, status, count(*) AS runs, coalesce(sum(total_nodes), 0)::BIGINT AS nodes FROM runs GROUP BY ALL", "run_events")
 register("retention_delete", lambda s, d: runlog.retention_delete(_events(s, d), "2024-01-15 00:00:00").select("event_id", "timestamp"), "SELECT event_id, \"timestamp\" FROM run_events WHERE \"timestamp\" >= TIMESTAMP '2024-01-15'", "run_events")
+
+
+def delete_query(s: SparkSession, d: str) -> DataFrame:
+    """Events in files by time: those wholly before the cutoff go, those on both sides are rewritten, and the count of what went is told."""
+    path = _path(s, "events")
+    _events(s, d).select("event_id", "timestamp").repartitionByRange(6, "timestamp").write.parquet(path)
+    gone = files.delete_before(s, path, "timestamp", "2024-01-15 00:00:00")
+    again = files.delete_before(s, path, "timestamp", "2024-01-15 00:00:00")
+    return s.read.parquet(path).select("event_id", "timestamp", F.lit(gone.rows).cast("bigint").alias("deleted"), F.lit(again.rows).cast("bigint").alias("deleted_again"))
+
+
+register("retention_delete_files", delete_query, "SELECT event_id, \"timestamp\", (SELECT count(*) FROM run_events WHERE \"timestamp\" < TIMESTAMP '2024-01-15') AS deleted, 0::BIGINT AS deleted_again FROM run_events WHERE \"timestamp\" >= TIMESTAMP '2024-01-15'", "run_events")
+
+
+def prune_query(s: SparkSession, d: str) -> DataFrame:
+    """The archive's own files say which runs may go."""
+    path = _path(s, "archive")
+    batch.archive_runs(_runs(s, d).where("run_id % 3 <> 0"), _events(s, d).withColumnRenamed("timestamp", "happened_at"), path)
+    return runlog.prune_archived(_runs(s, d), _events(s, d), files.archived_runs(s, path), AS_OF, 10)[0].select("run_id", "status")
+
+
+register("prune_archived_files", prune_query,
+         _RUNS + "SELECT run_id, status FROM runs WHERE NOT coalesce(run_id % 3 <> 0 AND status <> 'running' AND completed_at < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 DAY, false)", "run_events")
 register("prune_archived", lambda s, d: runlog.prune_archived(_runs(s, d), _events(s, d), _runs(s, d).where("run_id % 2 = 0"), AS_OF, 10)[1].select("event_id", "run_id"),
          _RUNS + "SELECT event_id, run_id FROM run_events WHERE run_id NOT IN (SELECT run_id FROM runs WHERE run_id % 2 = 0 AND status <> 'running' AND completed_at < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 DAY)", "run_events")
 register("prune_intervals", lambda s, d: runlog.prune_intervals(intervals.interval_state_upsert(frame(s, d, "state_log")), AS_OF, 10).select("asset", "interval_start", "status"),
@@ -310,6 +357,22 @@ def multi_output_query(s: SparkSession, d: str) -> DataFrame:
 register("multi_output", multi_output_query, "SELECT event_id, event_type, event_type AS kind FROM events WHERE event_type IN ('click', 'error', 'view')")
 
 
+def reuse_query(s: SparkSession, d: str) -> DataFrame:
+    """Two calls for one source and day compute it once; another day is computed for itself."""
+    kept, calls = files.Results(s, _path(s, "results")), []
+    path = _path(s, "multi")
+
+    def source(day: int):
+        return lambda: calls.append(day) or table(s, d, "events").where(F.dayofmonth("ts") == day).select("event_id", "event_type")
+
+    for day, kind in ((3, "click"), (3, "view"), (4, "click")):
+        kept.outputs("events", day, source(day), {kind: lambda df, kind=kind: df.where(F.col("event_type") == kind)}, lambda k, df, day=day: df.write.parquet(f"{path}/kind={k}/day={day}"))
+    return s.read.parquet(path).select("event_id", "kind", "day").withColumn("computed", F.lit(len(calls)))
+
+
+register("multi_output_once", reuse_query, "SELECT event_id, event_type AS kind, day(ts)::INTEGER AS day, 2::INTEGER AS computed FROM events WHERE (day(ts) = 3 AND event_type IN ('click', 'view')) OR (day(ts) = 4 AND event_type = 'click')")
+
+
 def archive_query(s: SparkSession, d: str) -> DataFrame:
     path = _path(s, "archive")
     batch.archive_runs(_runs(s, d), _events(s, d).withColumnRenamed("timestamp", "happened_at"), path)
