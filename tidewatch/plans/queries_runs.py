@@ -10,7 +10,7 @@ from tidewatch.plans.fixtures import AS_OF, frame, table
 from tidewatch.plans.queries import _catalog, _path, register
 from tidewatch.sources import batch, files
 from tidewatch.sources.slices import SliceTable
-from tidewatch.streaming import flows
+from tidewatch.streaming import flows, freshness
 
 # ---- monitoring ---------------------------------------------------------------------------------------------
 
@@ -402,6 +402,39 @@ def ingest_stream_query(s: SparkSession, d: str) -> DataFrame:
 register("ingest_stream", ingest_stream_query, "SELECT event_id, run_id, event_type FROM run_events", "run_events")
 
 
+def unique_stream_query(s: SparkSession, d: str) -> DataFrame:
+    """All files come twice under other names, a third of the events once more in a later run; files of batches that are done are moved away."""
+    found, target, mark, away = _path(s, "found"), _path(s, "unique"), _path(s, "mark"), _path(s, "away")
+    rows = _events(s, d)
+    for part in (rows, rows.where("event_id % 2 = 0")):
+        part.write.mode("append").json(found)
+    flows.ingest_stream(s, found, "*.json", "json", _EVENT_SCHEMA, target, mark, away, unique=["event_id"], time_column="timestamp", delay="60 days", max_files=4).awaitTermination()
+    rows.where("event_id % 3 = 0").write.mode("append").json(found)
+    flows.ingest_stream(s, found, "*.json", "json", _EVENT_SCHEMA, target, mark, away, unique=["event_id"], time_column="timestamp", delay="60 days", max_files=4).awaitTermination()
+    moved = s.read.option("recursiveFileLookup", True).text(away).select(F.col("_metadata.file_path")).distinct().count() > 0
+    return s.read.parquet(target).select("event_id", "run_id", "event_type").withColumn("files_moved", F.lit(moved))
+
+
+register("ingest_stream_unique", unique_stream_query, "SELECT event_id, run_id, event_type, true AS files_moved FROM run_events", "run_events")
+
+
+def alarm_query(s: SparkSession, d: str) -> DataFrame:
+    """Completions of event types in files by time, read a file a batch in two runs of one checkpoint."""
+    found, target, mark = _path(s, "found"), _path(s, "alarms"), _path(s, "mark")
+    done = table(s, d, "events").where("event_type <> 'view'").select(F.concat_ws("-", "event_type", F.col("user_id") % 20).alias("asset"), F.col("ts").alias("completed_at"))
+    for low, high in ((0, 9), (9, 18), (18, 40)):
+        done.where(f"day(completed_at) > {low} AND day(completed_at) <= {high}").coalesce(2).write.mode("append").json(found)
+        stream = flows.file_stream(s, found, "*.json", "json", "asset string, completed_at timestamp", max_files=1)
+        freshness.freshness_alarms(stream, 30, "12 days").writeStream.format("parquet").option("path", target).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(freshness.ALARMS).parquet(target).select("asset", F.col("last_completed").cast("timestamp_ntz").alias("last_completed"), F.col("due_at").cast("timestamp_ntz").alias("due_at"))
+
+
+register("freshness_alarms", alarm_query,
+         """WITH done AS (SELECT event_type || '-' || (user_id % 20) AS asset, date_trunc('millisecond', ts) AS t FROM events WHERE event_type <> 'view'), mark AS (SELECT max(t) - INTERVAL 12 DAY AS m FROM done),
+         gaps AS (SELECT asset, t, t + INTERVAL 30 HOUR AS due, lead(t) OVER (PARTITION BY asset ORDER BY t) AS next FROM done)
+         SELECT asset, t AS last_completed, due AS due_at FROM gaps, mark WHERE due < m AND (next IS NULL OR next > due)""")
+
+
 def event_sink_query(s: SparkSession, d: str) -> DataFrame:
     runs, failures = _path(s, "runs"), _path(s, "failures")
     stream = flows.file_stream(s, _event_files(s, d), "*.json", "json", _EVENT_SCHEMA, max_files=2)

@@ -24,9 +24,26 @@ def file_stream(spark: SparkSession, path: str, pattern: str, fmt: str, schema,
     return reader.load(path)
 
 
-def ingest_stream(spark: SparkSession, path: str, pattern: str, fmt: str, schema, target: str, checkpoint: str, archive: str | None = None, trigger: str = "available_now") -> StreamingQuery:
-    """Loads new files into a Parquet table."""
-    rows = file_stream(spark, path, pattern, fmt, schema, archive)
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State of streams that start from now on is kept in RocksDB, outside the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def first_of_each(stream: DataFrame, keys: list[str], time_column: str, delay: str = "1 day") -> DataFrame:
+    """The stream without rows whose keys came before, within ``delay`` of event time; state leaves as the watermark passes."""
+    stamp = stream.withColumn("event_time", F.col(time_column).cast("timestamp")).withWatermark("event_time", delay)
+    return stamp.dropDuplicatesWithinWatermark(keys).drop("event_time")
+
+
+def ingest_stream(
+    spark: SparkSession, path: str, pattern: str, fmt: str, schema, target: str, checkpoint: str, archive: str | None = None, trigger: str = "available_now",
+    unique: list[str] | None = None, time_column: str | None = None, delay: str = "1 day", max_files: int = 1000,
+) -> StreamingQuery:
+    """Loads new files into a Parquet table. With ``archive``, files of batches that are done are moved there; with ``unique`` and ``time_column`` rows that are delivered again (in another file, or by a sender that crashed) are dropped."""
+    rows = file_stream(spark, path, pattern, fmt, schema, archive, max_files)
+    if unique:
+        keep_state_in_rocksdb(spark)
+        rows = first_of_each(rows, unique, time_column, delay)
     return _started(rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append"), trigger)
 
 
@@ -52,8 +69,3 @@ def event_sink_stream(stream: DataFrame, runs_path: str, failures_path: str, che
             batch.unpersist()
 
     return _started(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
-
-
-def kafka_messages(stream: DataFrame) -> DataFrame:
-    """key and value of events for a message bus."""
-    return stream.select(F.concat_ws(":", "pipeline", "run_id").alias("key"), F.to_json(F.struct("*")).alias("value"))
