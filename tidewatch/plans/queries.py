@@ -264,11 +264,11 @@ register("clean_events", lambda s, d: models.clean_events(table(s, d, "events").
 
 def rename_json_query(s: SparkSession, d: str) -> DataFrame:
     a, b = _path(s, "people"), _path(s, "people")
-    table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).write.json(a)
+    table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).write.json(a)
     return models.rename_json_field(s, a, "name", "full_name", b).select("id", "full_name")
 
 
-register("rename_json_field", rename_json_query, "SELECT n_nationkey::BIGINT AS id, n_name AS full_name FROM nation")
+register("rename_json_field", rename_json_query, "SELECT c_custkey AS id, c_name AS full_name FROM customer")
 register("test_window", lambda s, d: models.test_window(table(s, d, "events"), "ts", "2w", AS_OF).select("event_id", "ts"),
          "SELECT event_id, ts FROM events WHERE ts::DATE BETWEEN DATE '2024-01-30' - 14 AND DATE '2024-01-30'")
 

@@ -10,6 +10,7 @@ from tidewatch.plans.fixtures import AS_OF, frame, table
 from tidewatch.plans.queries import _catalog, _path, register
 from tidewatch.sources import batch, files
 from tidewatch.sources.slices import SliceTable
+from tidewatch.sources.statelog import StateLog
 from tidewatch.streaming import flows, freshness
 
 # ---- monitoring ---------------------------------------------------------------------------------------------
@@ -324,15 +325,57 @@ register("ingest_files", ingest_query, "SELECT o_orderkey, o_orderstatus, CASE W
 def export_query(s: SparkSession, d: str) -> DataFrame:
     path = _path(s, "export")
     for day in ("2024-01-02 00:00:00", "2024-01-03 00:00:00", "2024-01-03 00:00:00"):
-        batch.export_files(table(s, d, "nation"), path, "json", day)
-    return s.read.schema("n_nationkey int, n_name string, dt date").json(path).select("n_nationkey", "n_name", "dt")
+        batch.export_files(table(s, d, "part").select("p_partkey", "p_brand"), path, "json", day)
+    return s.read.schema("p_partkey bigint, p_brand string, dt date").json(path)
 
 
-register("export_files", export_query, "SELECT n_nationkey, n_name, unnest([DATE '2024-01-02', DATE '2024-01-03']) AS dt FROM nation")
+register("export_files", export_query, "SELECT p_partkey, p_brand, unnest([DATE '2024-01-02', DATE '2024-01-03']) AS dt FROM part")
 register("materialize", lambda s, d: batch.materialize(table(s, d, "orders"), _path(s, "mat"), "o_orderdate", "month", ["o_custkey"]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least")),
          "SELECT date_trunc('month', o_orderdate)::DATE AS part, count(*) AS n, min(o_orderkey) AS least FROM orders GROUP BY ALL")
 
 
+def zorder_query(s: SparkSession, d: str) -> DataFrame:
+    """All orders in Z-order, and whether predicates on its two columns hit fewer files together than with lexicographic order."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    ordered = batch.materialize_zorder(orders, _path(s, "zorder"), ["o_custkey", "o_totalprice"], 16)
+    plain = _path(s, "plain")
+    orders.repartitionByRange(16, "o_custkey", "o_totalprice").write.parquet(plain)
+    spans = {c: orders.agg(F.percentile_approx(c, [0.4, 0.45])).first()[0] for c in ("o_custkey", "o_totalprice")}
+    hit = [sum(batch.files_hit(t, c, *v) for c, v in spans.items()) for t in (ordered, s.read.parquet(plain))]
+    return ordered.withColumn("fewer_files", F.lit(hit[0] < hit[1]))
+
+
+register("materialize_zorder", zorder_query, "SELECT o_orderkey, o_custkey, o_totalprice, true AS fewer_files FROM orders")
+register("materialize_rows", lambda s, d: batch.materialize(table(s, d, "orders"), _path(s, "mat"), "o_orderdate", "month", ["o_custkey"]).select("o_orderkey", "o_custkey", "o_totalprice", "part"),
+         "SELECT o_orderkey, o_custkey, o_totalprice, date_trunc('month', o_orderdate)::DATE AS part FROM orders")
+
+
+def catalogue_query(s: SparkSession, d: str) -> DataFrame:
+    """A source whose tables are in the catalogue."""
+    table(s, d, "orders").createOrReplaceTempView("source_orders")
+    return batch.read_source(s, batch.SourceSpec("shop", "table", ""), "source_orders").select("o_orderkey", "o_orderstatus")
+
+
+register("read_source_catalogue", catalogue_query, "SELECT o_orderkey, o_orderstatus FROM orders")
+
+
+def state_log_query(s: SparkSession, d: str) -> DataFrame:
+    """The state log appended in four parts and compacted after the second and third."""
+    log, rows = StateLog(s, _path(s, "statelog")), frame(s, d, "state_log")
+    n = rows.agg(F.max("seq")).first()[0] + 1
+    for k in range(4):
+        log.append(rows.where(f"seq >= {n * k // 4} AND seq < {n * (k + 1) // 4}"))
+        if k in (1, 2):
+            log.compact(AS_OF)
+    return log.state()
+
+
+register("state_log_compacted", state_log_query,
+         """, f AS (SELECT asset, interval_start, min(seq) AS first, max(seq) AS last_open FROM state_log WHERE status = 'in_progress' GROUP BY ALL),
+         l AS (SELECT s.*, f.last_open FROM state_log s JOIN f ON f.asset = s.asset AND f.interval_start = s.interval_start AND s.seq >= f.first)
+         SELECT asset, interval_start, arg_max(status, seq) AS status, arg_max(run_id, seq) AS run_id, max("at") FILTER (WHERE seq = last_open) AS started_at, CASE WHEN arg_max(status, seq) <> 'in_progress' THEN arg_max("at", seq) END AS completed_at FROM l GROUP BY asset, interval_start""", "state_log")
+
+
 def load_stats_query(s: SparkSession, d: str) -> DataFrame:
     """Counters that the write itself has observed, next to the rows read back."""
     import uuid
@@ -373,6 +416,19 @@ def reuse_query(s: SparkSession, d: str) -> DataFrame:
 register("multi_output_once", reuse_query, "SELECT event_id, event_type AS kind, day(ts)::INTEGER AS day, 2::INTEGER AS computed FROM events WHERE (day(ts) = 3 AND event_type IN ('click', 'view')) OR (day(ts) = 4 AND event_type = 'click')")
 
 
+def archive_rows_query(s: SparkSession, d: str) -> DataFrame:
+    """Every line of the archive, and its place."""
+    path = _path(s, "archive")
+    batch.archive_runs(_runs(s, d), _events(s, d).withColumnRenamed("timestamp", "happened_at"), path)
+    schema = "kind string, run_id bigint, event_id bigint, status string, asset string, duration_ms bigint, pipeline string, year int, month int"
+    return s.read.schema(schema).json(path)
+
+
+register("archive_rows", archive_rows_query,
+         _RUNS + """SELECT 'run' AS kind, run_id, NULL::BIGINT AS event_id, status, NULL AS asset, NULL::BIGINT AS duration_ms, pipeline, year(started_at)::INTEGER AS year, month(started_at)::INTEGER AS month FROM runs
+         UNION ALL SELECT 'event', e.run_id, e.event_id, NULL, e.asset, e.duration_ms, e.pipeline, year(r.started_at)::INTEGER, month(r.started_at)::INTEGER FROM run_events e JOIN runs r ON r.run_id = e.run_id""", "run_events")
+
+
 def archive_query(s: SparkSession, d: str) -> DataFrame:
     path = _path(s, "archive")
     batch.archive_runs(_runs(s, d), _events(s, d).withColumnRenamed("timestamp", "happened_at"), path)
@@ -386,7 +442,7 @@ register("archive_runs", archive_query,
 def _event_files(s: SparkSession, d: str) -> str:
     """The run events as JSON files, for the streams to find."""
     path = _path(s, "found")
-    _events(s, d).repartition(4).write.json(path)
+    _events(s, d).write.json(path)
     return path
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import moment
@@ -110,6 +110,42 @@ def materialize(df: DataFrame, path: str, partition_by: str | None = None, granu
     return df.sparkSession.read.parquet(path)
 
 
+def _rank(bounds: Column, value: Column) -> Column:
+    return F.coalesce(F.size(F.filter(bounds, lambda v: v < value)), F.lit(0))
+
+
+def z_value(df: DataFrame, columns: list[str], bits: int = 6) -> Column:
+    """A column's rank among ``2 ** bits`` equal shares, for each of the columns, their bits interleaved: rows near in all columns are near in this order.
+
+    Ranks come from approximate percentiles, one row in all; nulls are first.
+    """
+    shares = [k / 2**bits for k in range(1, 2**bits)]
+    cuts = df.agg(*(F.percentile_approx(c, shares, 10_000).alias(f"c{i}") for i, c in enumerate(columns))).first()
+    out = F.lit(0).cast("bigint")
+    for i, c in enumerate(columns):
+        told = df.schema[c].dataType
+        bounds = F.array(*(F.lit(v).cast(told) for v in cuts[i] or []))
+        rank = _rank(bounds, F.col(c))
+        for b in range(bits):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(rank, b).bitwiseAND(F.lit(1)).cast("bigint"), b * len(columns) + i))
+    return out
+
+
+def materialize_zorder(df: DataFrame, path: str, cluster_by: list[str], files: int, bits: int = 6) -> DataFrame:
+    """Replaces the table at ``path`` by ``files`` files in Z-order of several columns, so that a predicate on any of them leaves files out."""
+    taken = {c.lower() for c in df.columns}
+    z = "z" if "z" not in taken else "__z"
+    ordered = df.withColumn(z, z_value(df, cluster_by, bits)).repartitionByRange(files, z).sortWithinPartitions(z).drop(z)
+    ordered.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def files_hit(table: DataFrame, column: str, low, high) -> int:
+    """How many files hold values of a column between low and high, going by each file's least and greatest value."""
+    span = table.select(F.col("_metadata.file_path").alias("f"), F.col(column).alias("v")).groupBy("f").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return span.where((F.col("a") <= F.lit(high)) & (F.col("b") >= F.lit(low))).count()
+
+
 def load_stats(df: DataFrame, name: str, time_column: str | None = None) -> tuple[DataFrame, Observation]:
     """The frame with counters attached: rows and, if asked, first and last time, without a second scan."""
     seen = Observation(name)
