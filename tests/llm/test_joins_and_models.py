@@ -209,6 +209,24 @@ def test_topk_search(spark):
     assert topk_search.top_k(docs.limit(0), F.col("id") % 50 == 0).isEmpty()
 
 
+def test_topk_search_many_groups(spark, monkeypatch):
+    """Queries are sent only to groups that can answer: few in clusters, and none is missed."""
+    for name, value in (("GROUP_ROWS", 50), ("SAMPLE", 60)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(12)
+    centre = rng.normal(0, 30, (8, 20))
+    rows = [(i, (centre[i % 8] + rng.normal(0, 1, 20)).round(2).tolist()) for i in range(500)] + [(1000 + i, [1.0] * 20) for i in range(200)]
+    docs = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, score string").repartition(5)
+    assert order(topk_search.top_k(docs, F.col("id") % 50 == 0, query_block=4).collect()) == order(search(rows))
+    x = np.array([v for _, v in rows[:500]])
+    bounds = [np.stack(b) for b in zip(*(topk_search._group_bounds(x[g::8]) for g in range(8)), strict=True)]
+    reach = topk_search._reach(x, *bounds)
+    score = x @ x.T
+    assert all((reach[:, g] >= score[:, g::8].max(1)).all() for g in range(8))
+    kth = np.sort(score, 1)[:, -6]
+    assert (reach >= kth[:, None]).mean() < 0.5
+
+
 def test_topk_search_repeated_queries(spark):
     """Equal query rows give one answer of k different neighbours; different rows of one id are answered each."""
     rng = np.random.default_rng(11)
