@@ -34,6 +34,26 @@ def blocked_assets(edges: DataFrame, failed: DataFrame) -> DataFrame:
     return best.select(F.col("node").alias("asset"), F.col("m.tag").alias("reason"))
 
 
+def skipped_assets(edges: DataFrame, results: DataFrame) -> DataFrame:
+    """asset, reason, blocked_by_check of the nodes that a run skips.
+
+    ``results``: asset, status, seq (order in which results came), severity and blocking (of checks, else null). A failed node skips all below it; a failed check that
+    blocks (blocking or critical) also skips all below the assets that it checks, that is, its parents. The result that came first gives the reason; one result's own
+    dependants come before those of its parents. Nodes with a result of their own are not skipped; failed checks of severity info and warning count as passed.
+    """
+    check = F.col("asset").startswith("check:")
+    failed = results.where((F.col("status") == "failed") & ~(check & F.coalesce(F.col("severity").isin("info", "warning"), F.lit(False))))
+    blocks = check & (F.coalesce("blocking", F.lit(False)) | (F.coalesce("severity", F.lit("")) == "critical"))
+    tag = F.format_string("%019d%d%s", F.col("seq"), F.col("step"), F.col("asset"))
+    own = failed.withColumn("step", F.lit(0)).select(F.col("asset").alias("node"), tag.alias("tag"))
+    above = failed.where(blocks).withColumn("step", F.lit(1)).join(edges.select(F.col("child").alias("asset"), F.col("parent").alias("node")), "asset").select("node", tag.alias("tag"))
+    reached = descendants(edges, own.unionByName(above), carry="tag").groupBy("node").agg(F.min("tag").alias("tag"))
+    told = reached.join(results.select(F.col("asset").alias("node")), "node", "left_anti").withColumns({"step": F.substring("tag", 20, 1), "by": F.expr("substring(tag, 21)")})
+    blocked = F.col("step") == "1"
+    reason = F.when(blocked, F.concat(F.lit("skipped: blocked_by_check:"), "by")).otherwise(F.concat(F.lit("skipped: dependency "), F.col("by"), F.lit(" failed")))
+    return told.select(F.col("node").alias("asset"), reason.alias("reason"), F.when(blocked, F.col("by")).alias("blocked_by_check"))
+
+
 def check_errors(results: DataFrame, pipeline: str, run_at) -> DataFrame:
     """Current errors from check results (node, status, message): failed are errors, skipped are warnings.
 

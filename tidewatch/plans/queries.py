@@ -230,6 +230,29 @@ register("blocked_assets", lambda s, d: outcomes.blocked_assets(frame(s, d, "edg
          , first AS (SELECT node, tag, min(level) AS level FROM walk GROUP BY ALL), seeds AS (SELECT node, tag FROM walk WHERE level = 0)
          SELECT node AS asset, arg_min(tag, {'l': level, 't': tag}) AS reason FROM first WHERE (node, tag) NOT IN (FROM seeds) GROUP BY node""", "edges")
 
+
+
+def skipped_query(s: SparkSession, d: str) -> DataFrame:
+    """Parts as nodes, each eleventh with a check: some nodes fail, some succeed, checks fail with all severities."""
+    edges = frame(s, d, "edges").select(*(F.concat(F.lit("n"), F.col(c).cast("string")).alias(c) for c in ("parent", "child")))
+    parts = table(s, d, "part")
+    name = F.concat(F.lit("n"), F.col("p_partkey").cast("string"))
+    checks_of = parts.where("p_partkey % 11 = 0").select(name.alias("parent"), F.concat(F.lit("check:"), name, F.lit(":grain")).alias("child"), "p_partkey")
+    severity = F.element_at(F.array(*(F.lit(x) for x in ("info", "warning", "error", "critical"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    told = checks_of.select(F.col("child").alias("asset"), F.lit("failed").alias("status"), (F.col("p_partkey") * 13 % 5003).alias("seq"), severity.alias("severity"), (F.col("p_partkey") % 3 == 0).alias("blocking"))
+    nodes = parts.where("p_size IN (7, 8)").select(name.alias("asset"), F.when(F.col("p_size") == 7, "failed").otherwise("success").alias("status"), (F.col("p_partkey") * 17 % 5009).alias("seq"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("boolean").alias("blocking"))
+    return outcomes.skipped_assets(edges.unionByName(checks_of.select("parent", "child")), nodes.unionByName(told))
+
+
+register("skipped_assets", skipped_query,
+         """, e AS (SELECT 'n' || parent AS parent, 'n' || child AS child FROM edges UNION ALL SELECT 'n' || p_partkey, 'check:n' || p_partkey || ':grain' FROM part WHERE p_partkey % 11 = 0),
+         r AS (SELECT 'n' || p_partkey AS asset, p_size = 7 AS bad, p_partkey * 17 % 5009 AS seq, false AS blocks FROM part WHERE p_size IN (7, 8)
+               UNION ALL SELECT 'check:n' || p_partkey || ':grain', p_partkey % 4 >= 2, p_partkey * 13 % 5003, p_partkey % 3 = 0 OR p_partkey % 4 = 3 FROM part WHERE p_partkey % 11 = 0),
+         seeds AS (SELECT asset AS node, {'q': seq, 's': 0, 'a': asset} AS tag FROM r WHERE bad UNION ALL SELECT e.parent, {'q': seq, 's': 1, 'a': asset} FROM r JOIN e ON e.child = r.asset WHERE bad AND blocks),
+         walk(node, tag) AS (SELECT e.child, s.tag FROM seeds s JOIN e ON e.parent = s.node UNION SELECT e.child, w.tag FROM walk w JOIN e ON e.parent = w.node),
+         best AS (SELECT node, min(tag) AS tag FROM walk WHERE node NOT IN (SELECT asset FROM r) GROUP BY node)
+         SELECT node AS asset, CASE WHEN tag.s = 1 THEN 'skipped: blocked_by_check:' || tag.a ELSE 'skipped: dependency ' || tag.a || ' failed' END AS reason, CASE WHEN tag.s = 1 THEN tag.a END AS blocked_by_check FROM best""", "edges")
+
 # ---- models -------------------------------------------------------------------------------------------------
 
 register("stg_orders", lambda s, d: _double(models.stg_orders(frame(s, d, "raw_orders")), "order_total"),
