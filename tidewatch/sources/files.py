@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import moment
+from tidewatch.sources.scratch import renamed
 
 _KEPT = "kept-"
 
@@ -101,7 +102,7 @@ class Results:
         if not fs.exists(at(f"{path}/_SUCCESS")):
             df, staged = compute(), f"{path}.new-{uuid.uuid4().hex}"
             df.write.parquet(staged)
-            if fs.exists(at(path)) or not fs.rename(at(staged), at(path)):
+            if not renamed(self.spark, staged, path):
                 fs.delete(at(staged), True)
         return self.spark.read.parquet(path)
 

@@ -27,3 +27,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> bool:
+    """Renames a file or folder in one step; False, and nothing done, where ``new`` exists."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(old)
+    context = jvm.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    kinds = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    kinds[0] = getattr(jvm.Options.Rename, "NONE")
+    try:
+        context.rename(context.makeQualified(at), context.makeQualified(jvm.Path(new)), kinds)
+    except Exception as e:
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+    return True

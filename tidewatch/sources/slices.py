@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from tidewatch.functions.expressions import moment
 from tidewatch.operators.checks import unique_grain
+from tidewatch.sources.scratch import renamed
 
 STATE = "slice string, status string, live string, rows bigint, run_id string, started_at timestamp_ntz, completed_at timestamp_ntz, attempts int, error string"
 
@@ -83,17 +84,10 @@ class SliceTable:
         stream = fs.create(tmp, False)
         stream.write(json.dumps(told).encode())
         stream.close()
-        context = self.jvm.FileContext.getFileContext(tmp.toUri(), self.conf)
-        kinds = self.spark.sparkContext._gateway.new_array(self.jvm.Options.Rename, 1)
-        kinds[0] = getattr(self.jvm.Options.Rename, "NONE")
-        try:
-            context.rename(context.makeQualified(tmp), context.makeQualified(self._at(f"versions/{version:012d}")), kinds)
-        except Exception as e:
-            fs.delete(tmp, False)
-            if "FileAlreadyExistsException" in str(e):
-                return False
-            raise
-        return True
+        if renamed(self.spark, tmp.toString(), f"{self.path}/versions/{version:012d}"):
+            return True
+        fs.delete(tmp, False)
+        return False
 
     # ---- reading
 
