@@ -88,14 +88,14 @@ def _catalog(s: SparkSession, d: str, run: int = 1) -> DataFrame:
 
 
 _COLUMNS = "catalog AS (SELECT table_name, column_name FROM duckdb_columns() WHERE table_name IN ('orders', 'customer', 'events'))"
-register("expected_columns", lambda s, d: checks.expected_columns(table(s, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "orders").otherwise("customer").alias("table_name"), F.when(F.col("n_nationkey") < 5, "c_name").when(F.col("n_nationkey") < 10, "O_ORDERKEY").otherwise(F.col("n_name")).alias("column_name")).distinct(), _catalog(s, d)),
-         f"""WITH {_COLUMNS}, e AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'orders' ELSE 'customer' END AS table_name, CASE WHEN n_nationkey < 5 THEN 'c_name' WHEN n_nationkey < 10 THEN 'O_ORDERKEY' ELSE n_name END AS column_name FROM nation)
+register("expected_columns", lambda s, d: checks.expected_columns(table(s, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, "orders").otherwise("customer").alias("table_name"), F.when(F.col("p_partkey") < 5, "c_name").when(F.col("p_partkey") < 10, "O_ORDERKEY").otherwise(F.col("p_name")).alias("column_name")).distinct(), _catalog(s, d)),
+         f"""WITH {_COLUMNS}, e AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'orders' ELSE 'customer' END AS table_name, CASE WHEN p_partkey < 5 THEN 'c_name' WHEN p_partkey < 10 THEN 'O_ORDERKEY' ELSE p_name END AS column_name FROM part)
          SELECT *, 'COLUMN_MISSING' AS issue_type FROM e WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.table_name = e.table_name AND c.column_name = e.column_name)""")
 
-_LAYOUT = "n_name AS table_name, 'c' || CAST(n_nationkey % {a} AS VARCHAR(20)) AS partition_column, CASE WHEN n_nationkey % 3 = 0 THEN 'DAY' ELSE '{b}' END AS partition_type, CASE WHEN n_nationkey % 4 <> {c} THEN 'x,y' END AS clustering"
+_LAYOUT = "'t' || CAST(p_partkey AS VARCHAR(20)) AS table_name, 'c' || CAST(p_partkey % {a} AS VARCHAR(20)) AS partition_column, CASE WHEN p_partkey % 3 = 0 THEN 'DAY' ELSE '{b}' END AS partition_type, CASE WHEN p_partkey % 4 <> {c} THEN 'x,y' END AS clustering"
 _SPEC, _ACTUAL = _LAYOUT.format(a=4, b="month", c=0), _LAYOUT.format(a=5, b="MONTH", c=1)
-register("partition_layout", lambda s, d: checks.partition_layout(table(s, d, "nation").selectExpr(*_cols(_SPEC)), table(s, d, "nation").where("n_nationkey <> 3").selectExpr(*_cols(_ACTUAL))),
-         f"""WITH e AS (SELECT {_SPEC} FROM nation), a AS (SELECT {_ACTUAL} FROM nation WHERE n_nationkey <> 3),
+register("partition_layout", lambda s, d: checks.partition_layout(table(s, d, "part").selectExpr(*_cols(_SPEC)), table(s, d, "part").where("p_partkey <> 3").selectExpr(*_cols(_ACTUAL))),
+         f"""WITH e AS (SELECT {_SPEC} FROM part), a AS (SELECT {_ACTUAL} FROM part WHERE p_partkey <> 3),
          l AS (SELECT table_name, unnest([{{'field': 'partition_column', 'expected': e.partition_column, 'actual': a.partition_column}}, {{'field': 'partition_type', 'expected': e.partition_type, 'actual': a.partition_type}}, {{'field': 'clustering', 'expected': e.clustering, 'actual': a.clustering}}]) AS r FROM e FULL JOIN a USING (table_name))
          SELECT table_name, r.field AS field, r.expected AS expected, r.actual AS actual FROM l WHERE CASE WHEN r.field = 'partition_type' THEN upper(r.expected) IS DISTINCT FROM upper(r.actual) ELSE r.expected IS DISTINCT FROM r.actual END""")
 
