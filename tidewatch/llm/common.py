@@ -94,12 +94,15 @@ class Scratch:
         """As ``stash``, in this folder."""
         return _written(df, f"{self.path}/{tag}-{uuid.uuid4().hex}")
 
+    def delete(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.delete()
 
 
 def fresh(name: str, df: DataFrame) -> str:
