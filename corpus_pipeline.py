@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import line_dedup, ngram_join, packing, quality, toxicity
-from tidewatch.llm.common import read, stash
+from tidewatch.llm.common import Scratch, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; a stage's table is deleted once the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        own = Scratch(spark, name)
+        docs = own.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.delete()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
