@@ -56,15 +56,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def short_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Spark removes the shuffle files of the queries run inside as soon as each has ended."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+#: Bytes of a batch that goes between Spark and a Python worker while a table is written.
+BATCH_BYTES = "16m"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of the queries run inside as soon as each has ended, and sends small batches to Python."""
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        yield
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:

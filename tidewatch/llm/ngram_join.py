@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +54,8 @@ GROUPS = 64
 BLOCK_GROUPS = 65_536
 #: Hashes that a set with too many empty blocks is cut by.
 DEPTHS = 6
+#: Shingles of the sets whose cells a task makes at a time.
+FILED = 200_000
 #: Points of a leaf, and of a part of a cell (about).
 LEAF, PART = 32, 4096
 #: Points whose trees a task holds at a time, and pairs of nodes or points that it compares at a time.
@@ -246,9 +249,13 @@ def _filed(sets: DataFrame, limits: Limits) -> DataFrame:
     names = ["node", "n", "lonely", "point", "shingles", "keys", "least", "most"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo("ngram join")
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            # so many rows at a time that cells of long sets don't pile up
+            size = np.cumsum(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64) + 400) // FILED
+            cuts = np.flatnonzero(np.r_[True, size[1:] != size[:-1]][: len(size)])
+            for i, j in zip(cuts, np.r_[cuts[1:], len(size)], strict=True):
+                part = batch.slice(i, j - i)
                 at, n, held, cells = [], [], [], []
                 for k in range(part.num_rows):
                     h, alone = (np.asarray(part.column(c)[k].values).astype(np.int64).view(_U) if part.column(c)[k].is_valid else np.empty(0, _U) for c in (1, 2))
