@@ -85,6 +85,18 @@ def test_suffix_array_is_in_order():
         assert got == sorted(got) and sorted(a.order) == list(np.flatnonzero(text))
 
 
+def test_search_near_the_end_of_a_text():
+    """Windows of all lengths, some settled while others are still searched, in texts whose least suffix is the last one."""
+    rng = np.random.default_rng(6)
+    texts = [np.array([2, 3, 1])] + [np.r_[rng.integers(0, 4, n) + (rng.random(n) < 0.5), 1] for n in (1, 5, 30, 200)]
+    for text in texts:
+        a = op.SuffixArray(text)
+        windows = np.array([list(w[:k]) + [0] * (4 - k) for k in (1, 2, 3, 4) for w in rng.integers(1, 5, (60, 4))])
+        lengths = (windows > 0).sum(1)
+        for low, high, w, k in zip(*a.search(windows, lengths), windows, lengths, strict=True):
+            assert sorted(a.order[low:high]) == [i for i in range(len(text) - k + 1) if (text[i : i + k] == w[:k]).all()]
+
+
 def test_odd_input(spark, odd_docs, odd_rows, no_docs):
     items = [(1, odd_rows[0][1]), (2, "d \U0001f642 é"), (3, odd_rows[10][1])]
     b = spark.createDataFrame(items, "item_id bigint, text string")

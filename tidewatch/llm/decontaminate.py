@@ -137,11 +137,11 @@ class SuffixArray:
 
     def _bound(self, low: np.ndarray, high: np.ndarray, depth: int, want: np.ndarray, after: bool) -> np.ndarray:
         low, high = low.copy(), high.copy()
-        while (more := low < high).any():
-            mid = (low + high) >> 1
-            seen = self.text[self.order[np.where(more, mid, 0)] + depth]
-            right = more & ((seen <= want) if after else (seen < want))
-            low, high = np.where(right, mid + 1, low), np.where(more & ~right, mid, high)
+        while len(more := np.flatnonzero(low < high)):
+            mid = (low[more] + high[more]) >> 1
+            seen = self.text[self.order[mid] + depth]  # these suffixes have depth words at least, and the text ends in 0
+            right = (seen <= want[more]) if after else (seen < want[more])
+            low[more], high[more] = np.where(right, mid + 1, low[more]), np.where(right, high[more], mid)
         return low
 
     def search(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
