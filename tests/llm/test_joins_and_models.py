@@ -1,6 +1,7 @@
 """Near copies and search against brute force; classifiers on held-out rows; the pipeline's stages."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -290,6 +291,25 @@ def test_text_score_by_all_subsets():
         assert toxicity.text_score(words, memo) == pytest.approx(max([*sums, toxicity.LONE * top if top > 0 else top]))
 
 
+def test_toxicity_fit_takes_little_memory():
+    """The map of the landmarks holds their own features only, and gives the same kernels."""
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 123, int(rng.integers(4, 12))))) for _ in range(600)]
+    text = lambda bad: " ".join(words[k] for k in rng.integers(0, 590, 20)) + (f" {words[590 + int(rng.integers(10))]}." if bad else ".")
+    rows = [(text(i % 3 == 0), int(i % 3 == 0)) for i in range(300)]
+    tracemalloc.start()
+    model = toxicity.fit(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+    assert toxicity.score_words([w.encode() for w in words[590:]], model.weight, model.offset).min() > toxicity.score_words([w.encode() for w in words[:590]], model.weight, model.offset).max()
+    points, others = ([w.encode() for w in part] for part in (words[:50], words[50:]))
+    used, row = toxicity._rows(points)
+    phi = toxicity._dense(points)
+    assert np.array_equal(toxicity._dense(points, row)[:-1], phi[used]) and not phi[row == len(used)].any()
+    assert np.array_equal(toxicity._kernel(others, toxicity._dense(points, row), row), toxicity._kernel(others, phi))
+
+
 def test_toxicity_other_scripts():
     """Insults in letters that are none of a to z are learnt, too."""
     words = "дом река небо стол книга город лето поле утро вечер".split()

@@ -22,16 +22,21 @@ SLICE_BYTES = 2_000_000
 _MEMO: dict[object, dict] = {}
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system; glibc and Arrow keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def worker_memo(owner: object) -> dict:
     """What this Python worker remembers for ``owner``. Spark reuses workers, so only one operator's memo is kept:
     when another one asks, the memory is given back."""
     if owner not in _MEMO:
         if _MEMO:
             _MEMO.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
-                trim(0)
+            give_back()
         _MEMO[owner] = {}
     return _MEMO[owner]
 

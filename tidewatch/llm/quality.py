@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import id_crc, read, text_slices, worker_memo
+from tidewatch.llm.common import give_back, id_crc, read, text_slices, worker_memo
 from tidewatch.llm.labelled import logistic, sample
 
 PER_CLASS = 2500
@@ -36,6 +36,8 @@ BINS = 10
 FACTORS = 6
 #: Words that a worker remembers at most, but for those of one slice.
 MEMO = 400_000
+#: Texts that a fit cuts into words at a time.
+BLOCK = 200
 
 _KINDS = 6
 _KIND = np.full(256, 5, np.uint8)  # other signs
@@ -93,8 +95,12 @@ def fit(rows: list[tuple[str, int]], n_chars: list[int | None] | None = None, ep
     """Fits on labelled texts; None without both labels."""
     if len({y for _, y in rows}) < 2:
         return None
-    stats, words = structure([t for t, _ in rows], n_chars or [None] * len(rows))
-    numbers = [np.fromiter(map(word_number, w), np.int64, len(w)) for w in words]
+    n_chars, parts, numbers = n_chars or [None] * len(rows), [], []
+    for i in range(0, len(rows), BLOCK):  # the words of a few texts at a time
+        own, words = structure([t for t, _ in rows[i : i + BLOCK]], n_chars[i : i + BLOCK])
+        parts.append(own)
+        numbers += [np.fromiter(map(word_number, w), np.int64, len(w)) for w in words]
+    stats = np.concatenate(parts)
     y = np.array([y for _, y in rows], np.float64)
     edges = np.stack([np.quantile(stats[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(stats.shape[1])])
     rng = np.random.default_rng(10)
@@ -121,7 +127,8 @@ def fit(rows: list[tuple[str, int]], n_chars: list[int | None] | None = None, ep
             m.w[unique] -= rate * dw / np.sqrt(gw[unique])
             m.v[unique] -= rate * dv / np.sqrt(gv[unique])
             m.w0 -= rate * float(d.sum()) / g0**0.5
-    m.slope, m.level = logistic(m.raw(*m.encode(stats, numbers)), y)
+    raw = [m.raw(*m.encode(stats[i : i + BLOCK], numbers[i : i + BLOCK])) for i in range(0, len(rows), BLOCK)]
+    m.slope, m.level = logistic(np.concatenate(raw), y)
     return m
 
 
@@ -178,8 +185,10 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """Fits on labels of ids whose crc32 mod 4 is not 2, with the texts' stored lengths."""
-    return fit(*sample(docs, labels, "quality", id_crc() % 4 != 2, per_class))
+    """Fits on labels of ids whose crc32 mod 4 is not 2, with the texts' stored lengths. The driver gives the memory of the fit back."""
+    model = fit(*sample(docs, labels, "quality", id_crc() % 4 != 2, per_class))
+    give_back()
+    return model
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

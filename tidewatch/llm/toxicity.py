@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import id_crc, read, text_slices, worker_memo
+from tidewatch.llm.common import give_back, id_crc, read, text_slices, worker_memo
 from tidewatch.llm.labelled import logistic, sample
 
 PER_CLASS = 2000
@@ -49,6 +49,8 @@ SPAN, DECAY = 6, 0.6
 WINDOW = 24
 #: Words that a worker remembers at most, but for those of one slice.
 MEMO = 400_000
+#: Rows that a fit multiplies at a time.
+BLOCK = 2_000
 LOWEST = -4.0
 #: Words that count beside the highest, and the weight of the highest word alone: chosen by ``cross_validate`` over rows that may be learnt from.
 MORE, LONE = 3, 1.3
@@ -144,30 +146,42 @@ def score_words(words: list[bytes], weight: np.ndarray, offset: float) -> np.nda
     return out
 
 
-def _dense(words: list[bytes]) -> np.ndarray:
-    """Normalised features (BASE ** 3, n) of a few words of at most WINDOW letters."""
-    out = np.zeros((_BASE**3, len(words)), np.float32)
+def _rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that words have, and each feature's row among them (one more row: of all features that none has)."""
+    known = np.zeros(_BASE**3, bool)
+    for n, _, own in _by_length(words):
+        for _, x in _features(_coded(own, n)):
+            known[x] = True
+    used = np.flatnonzero(known)
+    row = np.full(_BASE**3, len(used), np.int32)
+    row[used] = np.arange(len(used))
+    return used, row
+
+
+def _dense(words: list[bytes], row: np.ndarray | None = None) -> np.ndarray:
+    """Normalised features (BASE ** 3, n) of a few words of at most WINDOW letters; with ``row`` only rows of their own."""
+    out = np.zeros((_BASE**3 if row is None else int(row.max(initial=0)) + 1, len(words)), np.float32)
     for n, at, own in _by_length(words):
         for f, x in _features(_coded(own, n)):
-            np.add.at(out, (x, at[:, None]), f / _weights(n + 2))
+            np.add.at(out, (x if row is None else row[x], at[:, None]), f / _weights(n + 2))
     return out
 
 
-def _kernel(words: list[bytes], phi: np.ndarray) -> np.ndarray:
-    """Kernels (n, landmarks) of words with the landmarks whose features are ``phi`` (BASE ** 3, landmarks)."""
+def _kernel(words: list[bytes], phi: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
+    """Kernels (n, landmarks) of words with the landmarks whose features are ``phi`` (BASE ** 3 or by ``row``, landmarks)."""
     out = np.zeros((len(words), phi.shape[1]), np.float32)
     for n, at, own in _by_length(words):
         total = np.zeros((len(own), phi.shape[1]), np.float32)
         for f, x in _features(_coded(own, n)):
+            x = x if row is None else row[x]
             for place in range(x.shape[1]):
                 total += np.float32(f) * phi[x[:, place]]
         out[at] = total / np.float32(_weights(n + 2))
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Weights and offset (last) of a linear SVM with squared hinge loss, by Newton's method."""
-    a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+def _svm(a: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Weights and offset (last) of a linear SVM with squared hinge loss, by Newton's method; the last column of a is 1."""
     w = np.zeros(a.shape[1])
     ridge = np.ones(a.shape[1])
     ridge[-1] = 1e-3
@@ -177,10 +191,13 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np
 
     best = value(w)
     for _ in range(rounds):
-        on = y * (a @ w) < 1
-        own, c = a[on], cost[on]
-        g = ridge * w - own.T @ (c * (y[on] - own @ w))
-        step = np.linalg.solve((own * c[:, None]).T @ own + np.diag(ridge), g)
+        on = np.flatnonzero(y * (a @ w) < 1)
+        g, h = ridge * w, np.diag(ridge)
+        for i in range(0, len(on), BLOCK):
+            own, c = a[on[i : i + BLOCK]], cost[on[i : i + BLOCK]]
+            g -= own.T @ (c * (y[on[i : i + BLOCK]] - own @ w))
+            h += (own * c[:, None]).T @ own
+        step = np.linalg.solve(h, g)
         size = 1.0
         while size > 1e-4 and value(w - size * step) > best:
             size /= 2
@@ -266,7 +283,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     rows = list(dict.fromkeys(rows))
     if len({y for _, y in rows}) < 2:
         return None
-    held: list[list[bytes]] = []
+    toxic: list[list[bytes]] = []  # the words of each toxic text
     seen: set[tuple[int, int]] = set()
     df = (Counter(), Counter())
     one: dict[bytes, bytes] = {}  # equal words are one object
@@ -278,8 +295,9 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
             if words and (y, hash(s)) not in seen:
                 seen.add((y, hash(s)))
                 df[y].update(words)
-        held.append(sorted(own))
-    toxic = [w for w, (_, y) in zip(held, rows, strict=True) if y and w]
+        if y and own:
+            toxic.append(sorted(own))
+    del one, seen
     clean = sorted(df[0])
     if not toxic or not clean:
         return None
@@ -288,6 +306,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     clean = [w for w in clean if df[1][w] < 20 * df[0][w]]
     usable = {w for w, n in df[1].items() if n >= 20 * df[0][w]}
     able = [[v for v in own if v in usable and telling[v] >= 2] for own in toxic]
+    offered = sorted(set().union(*able))
     strongest = [max((telling[v] for v in own), default=0) for own in able]
     chosen = Counter(v for own, top in zip(able, strongest, strict=True) for v in own if telling[v] >= top / 4)
     first = chosen = chosen or Counter(max(w, key=lambda x: (telling[x], x)) for w in toxic)
@@ -298,7 +317,8 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
     for r in range(rounds):
         strong = [w for w, _ in chosen.most_common(landmarks // 2)]
         points = list(dict.fromkeys(strong + hard[: landmarks // 4] + usual))[:landmarks]
-        phi = _dense(points)
+        used, row = _rows(points)
+        phi = _dense(points, row)
         k = (phi.T @ phi).astype(np.float64)
         values, vectors = np.linalg.eigh(k)
         keep = values > 1e-6 * values[-1]
@@ -307,15 +327,20 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 4
         padded = [_padded(w, i) for i, w in enumerate(good)]
         bad = list(dict.fromkeys(usual + hard))
         words = good + padded + bad
-        x = _kernel(words, phi).astype(np.float64) @ root
+        x = np.ones((len(words), root.shape[1] + 1))
+        for i in range(0, len(words), BLOCK):
+            x[i : i + BLOCK, :-1] = _kernel(words[i : i + BLOCK], phi, row).astype(np.float64) @ root
         y = np.r_[np.ones(2 * len(good)), -np.ones(len(bad))]
         times = np.array([min(chosen[w], 20) for w in good], float)
         cost = 20 * np.r_[times / times.sum(), 0.5 * times / times.sum(), np.full(len(bad), 4.0 / len(bad))] * len(words) / 20
         w = _svm(x, y, cost)
-        model = ((phi @ (root @ w[:-1]).astype(np.float32)).astype(np.float64), float(w[-1]))
+        weight = np.zeros(_BASE**3)
+        weight[used] = phi[: len(used)] @ (root @ w[:-1]).astype(np.float32)
+        model = (weight, float(w[-1]))
+        del x, phi
         scores = score_words(clean, *model)
         hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-scores)[:hard_words]]))
-        vocabulary = {v: s for v, s in zip(df[1], score_words(list(df[1]), *model), strict=True)}
+        vocabulary = dict(zip(offered, score_words(offered, *model).tolist(), strict=True))
         if r < rounds - 1:
             chosen = Counter()
             for own, top in zip(able, strongest, strict=True):
@@ -423,8 +448,10 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """Fits on labels of ids whose crc32 mod 5 is not 0."""
-    return fit(sample(docs, labels, "toxic", id_crc() % 5 != 0, per_class)[0])
+    """Fits on labels of ids whose crc32 mod 5 is not 0. The driver gives the memory of the fit back."""
+    model = fit(sample(docs, labels, "toxic", id_crc() % 5 != 0, per_class)[0])
+    give_back()
+    return model
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
