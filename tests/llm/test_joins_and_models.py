@@ -291,6 +291,18 @@ def test_text_score_by_all_subsets():
         assert toxicity.text_score(words, memo) == pytest.approx(max([*sums, toxicity.LONE * top if top > 0 else top]))
 
 
+@pytest.mark.parametrize(("more", "lone"), [(0, 1.0), (1, 1.7), (2, 1.7), (3, 1.3), (toxicity.MORE, toxicity.LONE)])
+def test_text_score_by_all_subsets_of_any_size(more, lone):
+    rng = np.random.default_rng(10)
+    for n in range(10):
+        words = [f"{'abcdefg'[int(rng.integers(7))] * 4}{'.!,'[int(rng.integers(3))]}" for _ in range(n)]
+        memo = {w: float(rng.normal(0, 1)) for w in words}
+        best = {form: max(memo[w] for w in words if w[:4] == form) for form in {w[:4] for w in words}}
+        top = max(best.values(), default=toxicity.LOWEST)
+        sums = [sum(x) for k in range(1, more + 2) for x in combinations(best.values(), k) if k == 1 or min(x) > 0]
+        assert toxicity.text_score(words, memo, more, lone) == pytest.approx(max([*sums, lone * top if top > 0 else top]))
+
+
 def test_toxicity_fit_takes_little_memory():
     """The map of the landmarks holds their own features only, and gives the same kernels."""
     rng = np.random.default_rng(8)
